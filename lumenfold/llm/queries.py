@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import chat, decontaminate, exact_dedup, language_id, mixing, sharding, token_counts, url_filter
+from lumenfold.llm import chat, decontaminate, exact_dedup, language_id, mixing, near_dedup, sharding, token_counts, url_filter
 from lumenfold.llm.common import table
 
 RULES = [url_filter.Rule("org/", True), url_filter.Rule("example.org/es/", False), url_filter.Rule("example.org/en/1", False), url_filter.Rule("com/fr/", True), url_filter.Rule("com/de/", False)]
@@ -41,6 +41,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 8)
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+    return near.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -51,7 +56,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_chat_formatting, op3_url_filters, op4_mix_sources, op5_language_id, op6_decontamination, op7_sharding, op9_exact_dedup, op10_token_counts)
+    for f in (op2_chat_formatting, op3_url_filters, op4_mix_sources, op5_language_id, op6_decontamination, op7_sharding, op8_near_dedup, op9_exact_dedup, op10_token_counts)
 }
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
