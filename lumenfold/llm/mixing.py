@@ -8,9 +8,7 @@ takes the documents. Nothing is sorted by document and no source meets in one ta
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import materialize
@@ -55,10 +53,22 @@ def _by_source(left: DataFrame, right: DataFrame, few: bool) -> DataFrame:
     return left.join(right, ["_k", "_salt"]).drop("_k", "_salt")
 
 
-def sized(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    bits = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("bigint")
-    return docs.select(*carry, "source", size.alias("size"), bits.alias("h"))
+def size_of(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
+def hash_of(doc_id: Column) -> Column:
+    """48 bits of the md5 of doc_id as text; null counts as empty."""
+    text = F.coalesce(doc_id.cast("string"), F.lit(""))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("bigint")
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id")).alias("h"))
+
+
+#: Copies of a row by its hash h and its source's plan.
+COPIES = "if(source_size = 0, 0, base + if(h <= last, 1, 0))"
 
 
 def mix(rows: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -73,6 +83,14 @@ def mix(rows: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0
     the hash is md5 of doc_id. Empty in, empty out.
     """
     rows = materialize(rows, "sizes")
+    plan, few = thresholds(rows, weights, share, cap)
+    return _by_source(rows, plan, few).withColumn("copies", F.expr(COPIES)).drop("base", "last")
+
+
+def thresholds(rows: DataFrame, weights, share: float, cap: float) -> tuple[DataFrame, bool]:
+    """rows(source, size, h) -> a row per source (source_size, target, base, last), and
+    whether those are few enough to broadcast."""
+    rows = materialize(rows.select("source", "size", "h"), "sizes") if getattr(rows, "_lumenfold_path", None) is None else rows
     shift = sum(LEVELS) - LEVELS[0]
     hist = materialize(rows.groupBy("source", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("s")), "histogram")
     sources = hist.groupBy("source").agg(F.sum("s").alias("source_size"))
@@ -98,6 +116,20 @@ def mix(rows: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0
     takes_edge = F.abs(F.col("upto") - F.col("goal")) < F.abs(F.col("goal") - F.col("before"))
     at = at.select("source", F.when(takes_edge, F.col("prefix")).otherwise(F.col("prefix") - 1).alias("last"))
     plan = goals.withColumn("h", F.lit(0).cast("bigint"))
-    plan = _by_source(plan, at, few).drop("h", "goal")
-    out = _by_source(rows, plan, few)
-    return out.withColumn("copies", F.when(F.col("source_size") == 0, 0).otherwise(F.col("base") + F.when(F.col("h") <= F.col("last"), 1).otherwise(0))).drop("base", "last")
+    return _by_source(plan, at, few).drop("h", "goal"), few
+
+
+def mix_rows(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """docs with each row as often as the mix takes it, all its columns and no others.
+
+    The thresholds come from mix() over doc_id, source and size alone; the whole rows
+    are then filtered and repeated where they are read, without a shuffle.
+    """
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    at = {c: F.col(f"c{names.index(c)}") for c in ("doc_id", "text", "source")}
+    rows = plain.withColumns({"_source": at["source"], "_size": size_of(at["text"]), "_h": hash_of(at["doc_id"])})
+    plan, few = thresholds(rows.select(F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_h").alias("h")), weights, share, cap)
+    named = rows.withColumnsRenamed({"_source": "source", "_h": "h"}).drop("_size")
+    out = _by_source(named, plan, few).withColumn("_n", F.explode(F.expr("array_repeat(0, " + COPIES + ")")))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
