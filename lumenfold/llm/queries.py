@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import chat, decontaminate, exact_dedup, language_id, mixing, near_dedup, sharding, token_counts, url_filter
+from lumenfold.llm import chat, decontaminate, exact_dedup, language_id, line_dedup, mixing, near_dedup, sharding, token_counts, url_filter
 from lumenfold.llm.common import table
 
 RULES = [url_filter.Rule("org/", True), url_filter.Rule("example.org/es/", False), url_filter.Rule("example.org/en/1", False), url_filter.Rule("com/fr/", True), url_filter.Rule("com/de/", False)]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -56,7 +60,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_chat_formatting, op3_url_filters, op4_mix_sources, op5_language_id, op6_decontamination, op7_sharding, op8_near_dedup, op9_exact_dedup, op10_token_counts)
+    for f in (op1_line_dedup, op2_chat_formatting, op3_url_filters, op4_mix_sources, op5_language_id, op6_decontamination, op7_sharding, op8_near_dedup, op9_exact_dedup, op10_token_counts)
 }
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
