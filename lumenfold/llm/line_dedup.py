@@ -1,9 +1,8 @@
 """Operator 1, fuzzy line dedup by MinHash, in SQL functions only.
 
-Distinct normalised lines get 60 minimum hashes of character shingles, banded 3 by 20.
-Signatures use 8-character shingles at every place of short lines, and 12-character
-shingles at each word start (each place not behind a lower-case letter) of longer ones;
-lines of SHORT..MIDDLE characters have both. Links are confirmed by the exact Jaccard
+Distinct normalised lines get 36 minimum hashes of 8-character shingles, in 12 bands of
+3. Short lines use shingles at every place, longer ones at each word start (each place
+not behind a lower-case letter); lines of SHORT..MIDDLE characters have both. Links are confirmed by the exact Jaccard
 similarity of all 5-character shingles, and union-find keeps one line per component.
 
 Members of a bucket are compared with its least and its greatest line; after components
@@ -13,25 +12,23 @@ link between members of a bucket is lost and no bucket's pairs are all written o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import connected_components, discard, fold_ascii, materialize
+from lumenfold.llm.common import connected_components, discard, materialize
 
-VALUES, ROWS = 60, 3
+VALUES, ROWS = 36, 3
 SHORT, MIDDLE = 64, 100
-#: Of 60 one-bit samples of two signatures at most this many differ; at the threshold 12 do on average.
-DIFFER = 27
-PRIME = 2147483647
+#: Up to so many lines with candidates are broadcast to pick their texts, more are joined by a shuffle.
+BROADCAST_ROWS = 4_000_000
 
-# Multipliers and addends of the hash family, from a rule.
-_MUL = [(48271 * (i + 1) ** 3 + 16807 * i) % (PRIME - 1) + 1 for i in range(VALUES)]
-_ADD = [(69621 * (i + 7) ** 3 + 39373 * i) % PRIME for i in range(VALUES)]
+# Odd multipliers of the hash family, from a rule.
+_MUL = [(48271 * (i + 1) ** 3 + 16807 * i) % (2**31 - 1) | 1 for i in range(VALUES)]
 
 
 def normalize(line: Column) -> Column:
-    """A-Z lower-cased, ends trimmed of white space."""
-    return F.regexp_replace(fold_ascii(line), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    """Lower-cased, ends trimmed of white space."""
+    return F.btrim(F.lower(line), F.lit(" \t\n\x0b\x0c\r"))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -46,52 +43,56 @@ def shingles(norm: str, width: int) -> Column:
 
 
 def band_keys(texts: DataFrame) -> DataFrame:
-    """texts(line, norm), distinct -> (kind, line, bits, keys): 20 band keys of each line and kind."""
-    places = F.when(F.col("kind") == 0, F.when(F.length("norm") < 8, F.array("norm")).otherwise(F.regexp_extract_all("norm", F.lit(r"(?s)(?=(.{8}))"), F.lit(1)))).otherwise(F.regexp_extract_all("norm", F.lit(r"(?s)(?<!\p{Ll})(?=(.{1,12}))"), F.lit(1)))
+    """texts(line, norm), a row a line -> (line, key): the band keys of each line and kind.
+
+    Where texts is partitioned by line, as after a groupBy, nothing here is shuffled.
+    """
+    every, starts = F.regexp_extract_all("norm", F.lit(r"(?s)(?=(.{8}))"), F.lit(1)), F.regexp_extract_all("norm", F.lit(r"(?s)(?<!\p{Ll})(?=(.{1,8}))"), F.lit(1))
+    places = F.when(F.col("kind") == 1, starts).when(F.length("norm") < 8, F.array("norm")).otherwise(every)
     kinds = F.array_compact(F.array(F.when(F.length("norm") <= MIDDLE, 0), F.when(F.length("norm") >= SHORT, 1)))
     rows = texts.select("line", "norm", F.explode(kinds).alias("kind"))
     rows = rows.select("line", "kind", F.explode(places).alias("s"))
-    h = F.pmod(F.xxhash64("s"), F.lit(PRIME)).alias("h")
-    least = [F.min((F.col("h") * _MUL[i] + _ADD[i]) % PRIME).cast("int").alias(f"m{i}") for i in range(VALUES)]
+    h = F.xxhash64("s").bitwiseAND(F.lit(2**31 - 1)).alias("h")
+    least = [F.min((F.col("h") * _MUL[i]).bitwiseAND(F.lit(2**44 - 1))).alias(f"m{i}") for i in range(VALUES)]
     signed = rows.select("line", "kind", h).groupBy("line", "kind").agg(*least)
     keys = F.array(*[F.xxhash64("kind", F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(VALUES // ROWS)])
-    bits = F.expr(" + ".join(f"shiftleft(cast(m{i} & 1 as bigint), {i})" for i in range(VALUES)))
-    return signed.select("line", bits.alias("bits"), keys.alias("keys"))
+    return signed.select("line", F.explode(keys).alias("key"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) that are similar on full sets."""
-    left = sets.select(F.col("line").alias("a"), F.col("set").alias("sa"))
-    right = sets.select(F.col("line").alias("b"), F.col("set").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) that are similar on the full sets of 5-character shingles."""
+    left = texts.select(F.col("line").alias("a"), F.col("norm").alias("ta"))
+    right = texts.select(F.col("line").alias("b"), F.col("norm").alias("tb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", shingles("ta", 5).alias("sa"), shingles("tb", 5).alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(shared * 100 >= (F.size("sa") + F.size("sb") - shared) * percent).select("a", "b")
 
 
-def line_components(texts: DataFrame, percent: int = 80) -> DataFrame:
-    """texts(line, norm), distinct lines -> (line, comp) of the lines that have links."""
-    keyed = materialize(band_keys(texts), "bands")
-    exploded = keyed.select("line", "bits", F.explode("keys").alias("key"))
-    counts = exploded.groupBy("key").agg(F.count("*").alias("k"), F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi")
-    members = materialize(exploded.join(counts, "key"), "members")
-    some = members.select("line").distinct()
-    sets = materialize(texts.join(some, "line", "left_semi").select("line", shingles("norm", 5).alias("set")), "sets")
+def line_components(lines: DataFrame, percent: int = 80) -> DataFrame:
+    """lines(line, norm), repeats and all -> (line, comp) of the lines that have links."""
+    texts = lines.groupBy("line").agg(F.first("norm").alias("norm"))
+    bucket = Window.partitionBy("key")
+    members = band_keys(texts).withColumns({"lo": F.min("line").over(bucket), "hi": F.max("line").over(bucket)}).where("lo <> hi")
+    members = materialize(members, "members")
+    some = materialize(members.select("line").distinct(), "some")
+    few = F.broadcast(some) if some.count() <= BROADCAST_ROWS else some
+    texts = materialize(lines.join(few, "line", "left_semi").distinct(), "texts")
 
     ends = members.select("line", F.explode(F.array("lo", "hi")).alias("end")).where("line <> end").select(F.least("line", "end").alias("a"), F.greatest("line", "end").alias("b")).distinct()
-    links = materialize(_verified(ends, sets, percent), "links")
+    links = materialize(_verified(ends, texts, percent), "links")
     found = materialize(connected_components(links), "comps")
 
     # what the ends did not join: those outside a bucket's largest component against all
-    named = members.select("key", "line", "bits").join(found.withColumnRenamed("node", "line"), "line", "left").withColumn("comp", F.coalesce("comp", "line"))
-    open_ = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    named = members.select("key", "line").join(found.withColumnRenamed("node", "line"), "line", "left").withColumn("comp", F.coalesce("comp", "line"))
+    open_ = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("k")).where("x <> y and k > 2").select("key")
     named = materialize(named.join(open_, "key"), "open")
-    main = named.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-    out = named.join(main, "key").where("comp <> main").select("key", F.col("line").alias("a"), F.col("bits").alias("ba"), F.col("comp").alias("ca"))
-    near = (F.col("ca") != F.col("comp")) & (F.bit_count(F.col("ba").bitwiseXOR(F.col("bits"))) <= DIFFER)
-    pairs = out.join(named.withColumnRenamed("key", "k2"), (F.col("key") == F.col("k2")) & near).select(F.least("a", "line").alias("a"), F.greatest("a", "line").alias("b")).distinct()
-    more = _verified(pairs, sets, percent)
+    main = named.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"))
+    out = named.join(main, "key").where("comp <> main").select("key", F.col("line").alias("a"), F.col("comp").alias("ca"))
+    pairs = out.join(named.select(F.col("key").alias("k2"), "line", "comp"), (F.col("key") == F.col("k2")) & (F.col("ca") != F.col("comp"))).select(F.least("a", "line").alias("a"), F.greatest("a", "line").alias("b")).distinct()
+    pairs = pairs.join(ends, ["a", "b"], "left_anti")
+    more = _verified(pairs, texts, percent)
     comps = connected_components(links.union(materialize(more, "links")))
-    for used in (keyed, members, sets, found, named):
+    for used in (members, texts, found, named, some):
         discard(used)
     return comps.select(F.col("node").alias("line"), "comp")
 
@@ -106,15 +107,13 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """
     lines = lines_of(docs).withColumn("line", F.when(F.col("norm") != "", F.xxhash64("norm")))
     narrow = materialize(lines.select("doc_id", "line_no", "line"), "lines")
-    texts = materialize(lines.where("line is not null").select("line", "norm").distinct(), "texts")
-    comps = line_components(texts, percent)
+    comps = line_components(lines.where("line is not null").select("line", "norm"), percent)
     rows = narrow.join(comps, "line", "left").withColumn("comp", F.coalesce("comp", "line"))
     rows = materialize(rows, "rows")
     best = rows.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")).alias("w"))
     out = rows.join(best, "comp", "left")
     blank = F.col("comp").isNull()
     keep_doc, keep_line = F.when(blank, F.col("doc_id")).otherwise(F.col("w.doc_id")), F.when(blank, F.col("line_no")).otherwise(F.col("w.line_no"))
-    discard(texts)
     return out.select("doc_id", "line_no", (keep_doc.eqNullSafe(F.col("doc_id")) & (keep_line == F.col("line_no"))).alias("kept"), keep_doc.alias("keep_doc_id"), keep_line.alias("keep_line_no"))
 
 

@@ -65,7 +65,7 @@ def test_keep_one(docs, rows):
 
 def test_line_dedup(docs, rows):
     got = line_dedup.dedup_lines(docs).collect()
-    lines = [(r[0], k, brute.fold(x).strip(" \t\n\r\x0b\x0c")) for r in rows if r[1] is not None for k, x in enumerate(r[1].split("\n"))]
+    lines = [(r[0], k, x.lower().strip(" \t\n\r\x0b\x0c")) for r in rows if r[1] is not None for k, x in enumerate(r[1].split("\n"))]
     sets = [{t[i : i + 5] for i in range(len(t) - 4)} if len(t) >= 5 else {t} for _, _, t in lines]
     links = [(a, b) for a in range(len(lines)) for b in range(a) if lines[a][2] and lines[b][2] and brute.similar(sets[a], sets[b])]
     comp = brute.components(len(lines), links)
