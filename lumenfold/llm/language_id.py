@@ -5,7 +5,7 @@ word falls back to its character n-grams of 5, 4, 3, 2 and at last 1 characters:
 longest order of which the model knows any n-gram scores it.
 
 The model is fitted on a bounded sample of labelled rows (SAMPLE_DOCS a language, by
-hash of doc_id) and keeps at most MAX_WORDS words and MAX_GRAMS n-grams, so that what
+hash of doc_id, the MAX_LANGS most frequent languages) and keeps at most MAX_WORDS words and MAX_GRAMS n-grams, so that what
 is broadcast has a fixed bound. Prediction reads every whole text.
 """
 
@@ -97,8 +97,14 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, max_words: int = MA
     """labelled(doc_id, text, lang) -> Model. The sample is the same on every run: of each
     language the rows with the least hash of doc_id. Rows without text, lang or letters teach nothing."""
     rows = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    least = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id"))
-    sample = rows.withColumn("_n", least).where(F.col("_n") <= sample_docs)
+    # a hash threshold takes about twice the sample where rows are read, so that the
+    # window meets few rows of a language however many there are
+    h = F.xxhash64(F.col("doc_id").cast("string"))
+    per_lang = rows.groupBy("lang").agg(F.count("*").alias("_k")).orderBy(F.col("_k").desc(), "lang").limit(MAX_LANGS)
+    share = F.shiftrightunsigned(h, 11) / F.lit(float(2**53))
+    some = rows.join(F.broadcast(per_lang), "lang").where(share * F.col("_k") < 2.0 * sample_docs + 50)
+    least = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned(h, 11), "doc_id"))
+    sample = some.withColumn("_n", least).where(F.col("_n") <= sample_docs)
     per_word = sample.select("lang", F.explode(F.pandas_udf(_words, "array<string>")("text")).alias("w")).groupBy("w", "lang").agg(F.count("*").alias("n"))
     per_word = materialize(per_word, "words")
     langs = sorted(r[0] for r in per_word.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGS).select("lang").collect())
