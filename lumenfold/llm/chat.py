@@ -89,17 +89,19 @@ def best_branches(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     # hop k: each node's ancestor 2^k up; total, steps and top grow with it
     state = m.select("node", "up", F.col("score").alias("total"), F.lit(1).cast("bigint").alias("steps"), F.col("node").alias("top"))
     hops, rounds = [m.select("node", "up").where("up is not null")], 0
-    while rounds < 40:
-        above = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("t2"), F.col("steps").alias("s2"), F.col("top").alias("top2"))
-        state = state.join(above, "up", "left").select("node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"), (F.col("steps") + F.coalesce("s2", F.lit(0))).alias("steps"), F.coalesce("top2", "top").alias("top"))
-        state = materialize(state, "tree")
+    done, active = state.where("up is null"), state.where("up is not null")
+    n = m.count()
+    while 1 << rounds <= n:
+        # only messages that have not reached a root go on; the rest is written once
+        above = done.union(active).select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("t2"), F.col("steps").alias("s2"), F.col("top").alias("top2"))
+        state = materialize(active.join(above, "up").select("node", F.col("up2").alias("up"), (F.col("total") + F.col("t2")).alias("total"), (F.col("steps") + F.col("s2")).alias("steps"), F.col("top2").alias("top")), "tree")
         rounds += 1
-        far = state.select("node", "up").where("up is not null")
-        if far.isEmpty():
+        done, active = done.union(state.where("up is null")), state.where("up is not null")
+        if active.isEmpty():
             break
-        hops.append(far)
-    else:  # only a cycle still has ancestors after 2^40 steps
-        state = state.where("up is null")
+        hops.append(active.select("node", "up"))
+    # after as many steps as there are messages only a cycle is still active
+    state = done
     leaves = state.where("up is null").join(m.select(F.col("up").alias("node")).distinct(), "node", "left_anti")
     rank = F.row_number().over(Window.partitionBy("top").orderBy(F.col("total").desc(), "node"))
     chosen = leaves.withColumn("rank", rank).where(F.col("rank") <= per_tree)
