@@ -53,7 +53,7 @@ SIGNED = "doc_id bigint, row_hash bigint, n_shingles bigint, g bigint, sig binar
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) >= 100_000:
             self.clear()
         v = self[word] = xxhash.xxh64_intdigest(word)
         return v
