@@ -25,7 +25,8 @@ SAMPLE_DOCS, MAX_LANGS, MAX_WORDS, MAX_GRAMS, ORDERS = 1000, 200, 120_000, 80_00
 #: Words longer than this are scored by n-grams of their pieces of this length.
 PIECE = 40
 FLOOR = 0.5
-CACHE = 200_000
+#: Unseen words whose scores a Python worker keeps.
+CACHE = 30_000
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -42,44 +43,51 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies: a row of the matrix for each known word and n-gram, a column a language."""
+    """Log frequencies less their mean: a row of one matrix for each known word and n-gram, a column a language."""
 
     def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]):
-        self.langs, self.cache = langs, {}
+        self.langs, self.unseen = langs, {}
         width = len(langs)
         totals = {0: np.full(width, 1.0)} | {n: np.full(width, 1.0) for n in ORDERS}
         for v in words.values():
             totals[0] += v
         for g, v in grams.items():
             totals[len(g)] += v
-        self.rows: dict[str, np.ndarray] = {}
-        for w, v in words.items():
-            self.rows["w" + w] = np.log((v + FLOOR) / (totals[0] + FLOOR * max(1, len(words))))
-        for g, v in grams.items():
-            self.rows["g" + g] = np.log((v + FLOOR) / (totals[len(g)] + FLOOR * max(1, len(grams))))
-
-    def word(self, w: str) -> np.ndarray:
-        """Log likelihoods of a word by language, less their mean."""
-        got = self.cache.get(w)
+        rows = [np.log((v + FLOOR) / (totals[0] + FLOOR * max(1, len(words)))) for v in words.values()]
+        rows += [np.log((v + FLOOR) / (totals[len(g)] + FLOOR * max(1, len(grams)))) for g, v in grams.items()]
+        matrix = np.array(rows).reshape(len(rows), width)
+        self.matrix = (matrix - matrix.mean(axis=1, keepdims=True)).astype(np.float32) if width else matrix
+        self.words = {w: i for i, w in enumerate(words)}
+        self.grams = {g: i for i, g in enumerate(grams, len(words))}
+
+    def unseen_word(self, w: str) -> np.ndarray:
+        """Mean of the longest n-grams known; zeros where none is."""
+        got = self.unseen.get(w)
         if got is None:
-            got = self.rows.get("w" + w)
-            for n in ORDERS if got is None else ():
-                known = [r for g in grams_of(w, n) if (r := self.rows.get("g" + g)) is not None]
+            got = np.zeros(len(self.langs), np.float32)
+            for n in ORDERS:
+                known = [i for g in grams_of(w, n) if (i := self.grams.get(g)) is not None]
                 if known:
-                    got = np.mean(known, axis=0)
+                    got = self.matrix[known].mean(axis=0)
                     break
-            got = np.zeros(len(self.langs)) if got is None else got - got.mean()
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[w] = got
+            if len(self.unseen) >= CACHE:
+                self.unseen.clear()
+            self.unseen[w] = got
         return got
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text) if text else []
         if not words or not self.langs or not any(c.isalpha() for w in words for c in w):
             return "und", 0.0
-        counts = Counter(words)
-        sums = np.array([self.word(w) for w in counts]).T @ np.fromiter(counts.values(), float, len(counts))
+        sums, known, times = np.zeros(len(self.langs)), [], []
+        for w, n in Counter(words).items():
+            i = self.words.get(w)
+            if i is None:
+                sums += n * self.unseen_word(w)
+            else:
+                known.append(i)
+                times.append(n)
+        sums += np.array(times, np.float64) @ self.matrix[np.array(known, np.int64)]
         odds = np.exp(sums - sums.max())
         best = int(odds.argmax())
         return self.langs[best], float(odds[best] / odds.sum())
@@ -123,30 +131,16 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, max_words: int = MA
 
 def predictor(spark, model: Model):
     """A column function text -> struct(lang_pred, score)."""
-    shared = spark.sparkContext.broadcast((model.langs, model.rows))
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        own = _worker_model(shared)
+        own = shared.value
         return pd.DataFrame([own.predict(t) for t in texts], columns=["lang_pred", "score"])
 
     return predict
 
 
-_LOADED: dict[int, Model] = {}
-
-
-def _worker_model(shared) -> Model:
-    """One model, with its word cache, a Python worker."""
-    langs, rows = shared.value
-    if id(rows) not in _LOADED:
-        _LOADED.clear()
-        m = Model(langs, {}, {})
-        m.rows = rows
-        _LOADED[id(rows)] = m
-    return _LOADED[id(rows)]
-
-
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0
 
