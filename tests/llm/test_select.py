@@ -2,6 +2,8 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
+
 from lumenfold.llm import chat, decontaminate, language_id, mixing, sharding, token_counts, url_filter
 from lumenfold.llm.queries import RULES
 from tests.llm import brute
@@ -192,3 +194,25 @@ def test_token_counts(docs, rows, empty):
     assert cut == {n: (sum(min(x, n) for x in have), sum(x > n for x in have)) for n in (5, 200)}
     assert token_counts.quantiles(hist, [0.5]).first().n_tokens == sorted(have)[(len(have) + 1) // 2 - 1]
     assert token_counts.length_histogram(token_counts.token_lengths(empty)).count() == 0
+
+
+def test_language_model_backs_off():
+    words = {"bonjour": np.array([0.0, 9.0]), "hello": np.array([9.0, 0.0])}
+    grams = {"^bonj": np.array([0.0, 5.0]), "ello$": np.array([5.0, 0.0]), "lo": np.array([2.0, 1.0]), "o": np.array([1.0, 2.0])}
+    model = language_id.Model(["en", "fr"], words, grams)
+    assert model.predict("Hello hello")[0] == "en" and model.predict("BONJOUR")[0] == "fr"
+    # unseen words: the longest order with a known n-gram decides, shorter ones are not asked
+    assert model.predict("bonjoxlo")[0] == "fr" and model.predict("cello")[0] == "en"
+    assert model.predict("xlo")[0] == "en" and model.predict("xo")[0] == "fr"
+    # nothing known: all languages are as likely
+    assert model.predict("zzz") == ("en", 0.5)
+    assert [model.predict(t) for t in (None, "", "12 _ !")] == [("und", 0.0)] * 3
+    assert language_id.Model([], {}, {}).predict("hello") == ("und", 0.0)
+    assert len(model.unseen) == 5
+
+
+def test_language_model_keeps_few_unseen_words(monkeypatch):
+    monkeypatch.setattr(language_id, "CACHE", 3)
+    model = language_id.Model(["a", "b"], {}, {"q": np.array([3.0, 1.0])})
+    got = [model.predict(f"q{'x' * k}") for k in range(20)]
+    assert len(set(got)) == 1 and len(model.unseen) <= 3
