@@ -8,6 +8,10 @@ similarity of all 5-character shingles, and union-find keeps one line per compon
 Members of a bucket are compared with its least and its greatest line; after components
 are found, those outside a bucket's largest component are compared with all of it. So no
 link between members of a bucket is lost and no bucket's pairs are all written out.
+
+A comparison starts with a bound: each shingle sets one of BITS bits of its line, and each
+bit that differs takes a shingle that only one line has, so lines with too many such bits
+can't be similar. Pairs that fail it never leave the join; the rest meet on full sets.
 """
 
 from __future__ import annotations
@@ -19,6 +23,11 @@ from lumenfold.llm.common import connected_components, discard, materialize
 
 VALUES, ROWS = 36, 3
 SHORT, MIDDLE = 64, 100
+#: Bits of a line's mark, in longs of 64.
+WORDS = 16
+BITS = 64 * WORDS
+#: Rows outside a bucket's largest component that one part of it compares.
+BLOCK = 256
 #: Up to so many lines with candidates are broadcast to pick their texts, more are joined by a shuffle.
 BROADCAST_ROWS = 4_000_000
 
@@ -59,6 +68,28 @@ def band_keys(texts: DataFrame) -> DataFrame:
     return signed.select("line", F.explode(keys).alias("key"))
 
 
+def marks(texts: DataFrame) -> DataFrame:
+    """texts(line, norm), a row a line -> (line, mark): the bits its 5-character shingles set, then its shingle places."""
+    every = F.regexp_extract_all("norm", F.lit(r"(?s)(?=(.{5}))"), F.lit(1))
+    rows = texts.select("line", F.length("norm").alias("chars"), F.explode(F.when(F.length("norm") < 5, F.array("norm")).otherwise(every)).alias("s"))
+    rows = rows.select("line", "chars", F.xxhash64("s").alias("h"))
+    rows = rows.select("line", "chars", F.expr(f"h & {WORDS - 1}").alias("word"), F.expr("shiftleft(1L, cast(shiftright(h, 8) & 63 AS INT))").alias("bit"))
+    words = [F.coalesce(F.bit_or(F.when(F.col("word") == i, F.col("bit"))), F.lit(0).cast("bigint")) for i in range(WORDS)]
+    places = F.greatest(F.first("chars") - 4, F.lit(1)).cast("bigint")
+    return rows.groupBy("line").agg(F.array(*words, places).alias("mark"))
+
+
+def may_link(one: str, other: str, percent: int) -> Column:
+    """No bar to a similarity of percent: true for every pair that has it.
+
+    With d shingles in one line alone and sizes x and y, similarity p is
+    (x + y - d) / (x + y + d) >= p, so d * (100 + percent) <= (x + y) * (100 - percent).
+    Bits that differ are at most d, places at least the sizes.
+    """
+    differ = " + ".join(f"bit_count({one}[{i}] ^ {other}[{i}])" for i in range(WORDS))
+    return F.expr(f"({differ}) * {100 + percent} <= ({one}[{WORDS}] + {other}[{WORDS}]) * {100 - percent}")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) that are similar on the full sets of 5-character shingles."""
     left = texts.select(F.col("line").alias("a"), F.col("norm").alias("ta"))
@@ -79,20 +110,27 @@ def line_components(lines: DataFrame, percent: int = 80) -> DataFrame:
     texts = materialize(lines.join(few, "line", "left_semi").distinct(), "texts")
 
     ends = members.select("line", F.explode(F.array("lo", "hi")).alias("end")).where("line <> end").select(F.least("line", "end").alias("a"), F.greatest("line", "end").alias("b")).distinct()
-    links = materialize(_verified(ends, texts, percent), "links")
+    marked = materialize(marks(texts), "marks")
+    left, right = marked.toDF("a", "mark_a"), marked.toDF("b2", "mark_b")
+    likely = ends.join(left, "a").join(right, (F.col("b") == F.col("b2")) & may_link("mark_a", "mark_b", percent)).select("a", "b")
+    links = materialize(_verified(likely, texts, percent), "links")
     found = materialize(connected_components(links), "comps")
 
     # what the ends did not join: those outside a bucket's largest component against all
     named = members.select("key", "line").join(found.withColumnRenamed("node", "line"), "line", "left").withColumn("comp", F.coalesce("comp", "line"))
     open_ = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("k")).where("x <> y and k > 2").select("key")
-    named = materialize(named.join(open_, "key"), "open")
-    main = named.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"))
-    out = named.join(main, "key").where("comp <> main").select("key", F.col("line").alias("a"), F.col("comp").alias("ca"))
-    pairs = out.join(named.select(F.col("key").alias("k2"), "line", "comp"), (F.col("key") == F.col("k2")) & (F.col("ca") != F.col("comp"))).select(F.least("a", "line").alias("a"), F.greatest("a", "line").alias("b")).distinct()
+    open_lines = named = materialize(named.join(open_, "key").join(marked, "line"), "open")
+    size = named.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("all"))
+    parts = size.select("key", F.col("m.comp").alias("main"), F.ceil((F.col("all") - F.col("m.c")) / BLOCK).cast("int").alias("parts"))
+    named = named.join(parts, "key")
+    out = named.where("comp <> main").withColumn("part", F.pmod(F.xxhash64("line"), F.col("parts")).cast("int")).select("key", "part", F.col("line").alias("a"), F.col("comp").alias("ca"), F.col("mark").alias("mark_a"))
+    every = named.select(F.col("key").alias("k2"), "line", "comp", "mark", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p2"))
+    meet = (F.col("key") == F.col("k2")) & (F.col("part") == F.col("p2")) & (F.col("ca") != F.col("comp")) & may_link("mark_a", "mark", percent)
+    pairs = out.join(every, meet).select(F.least("a", "line").alias("a"), F.greatest("a", "line").alias("b")).distinct()
     pairs = pairs.join(ends, ["a", "b"], "left_anti")
     more = _verified(pairs, texts, percent)
     comps = connected_components(links.union(materialize(more, "links")))
-    for used in (members, texts, found, named, some):
+    for used in (members, texts, found, open_lines, some, marked):
         discard(used)
     return comps.select(F.col("node").alias("line"), "comp")
 

@@ -93,3 +93,14 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 102), (5, 5)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()))
     assert {got[i] for i in range(41)} == {0} and {got[i] for i in (100, 101, 102)} == {100}
+
+
+def test_marks_never_bar_a_link(spark):
+    """The bits of two lines differ in no more places than their shingles do, short, repetitive and long lines included."""
+    texts = ["abc", "abcd", "a" * 40, prose(5, 30), edited(prose(5, 30), 3), prose(5, 31), prose(6, 400), edited(prose(6, 400), 9), prose(7, 30)]
+    marked = line_dedup.marks(spark.createDataFrame(list(enumerate(texts)), "line bigint, norm string"))
+    pairs = marked.toDF("a", "x").crossJoin(marked.toDF("b", "y")).select("a", "b", line_dedup.may_link("x", "y", 80).alias("may")).collect()
+    sets = [{t[i : i + 5] for i in range(len(t) - 4)} or {t} for t in texts]
+    assert len(pairs) == len(texts) ** 2
+    assert all(r.may for r in pairs if brute.similar(sets[r.a], sets[r.b]))
+    assert not next(r.may for r in pairs if (r.a, r.b) == (3, 8))
