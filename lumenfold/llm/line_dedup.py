@@ -1,9 +1,9 @@
 """Operator 1, fuzzy line dedup by MinHash, in SQL functions only.
 
-Distinct normalised lines get 36 minimum hashes of 8-character shingles, in 12 bands of
-3. Short lines use shingles at every place, longer ones at each word start (each place
-not behind a lower-case letter); lines of SHORT..MIDDLE characters have both. Links are confirmed by the exact Jaccard
-similarity of all 5-character shingles, and union-find keeps one line per component.
+Distinct normalised lines get 95 minimum hashes of their 5-character shingles at every
+place, in 19 bands of 5. Links are confirmed by the exact Jaccard similarity of the same
+shingles, and union-find keeps one line per component. Two lines of similarity 0.8 share
+a band with probability 1 - (1 - 0.8^5)^19 = 0.9995, of 0.85 with 0.99999.
 
 Members of a bucket are compared with its least and its greatest line; after components
 are found, those outside a bucket's largest component are compared with all of it. So no
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm.common import connected_components, discard, materialize
 
-VALUES, ROWS = 36, 3
-SHORT, MIDDLE = 64, 100
+#: More than 99 values take the aggregate out of code generation (spark.sql.codegen.maxFields).
+VALUES, ROWS = 95, 5
 #: Bits of a line's mark, in longs of 64.
 WORDS = 16
 BITS = 64 * WORDS
@@ -45,26 +45,27 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("doc_id", "line_no", normalize(F.col("line")).alias("norm"))
 
 
-def shingles(norm: str, width: int) -> Column:
-    """Distinct hashes of all shingles; a shorter line is one shingle."""
+def places(norm: str, width: int) -> Column:
+    """The shingles at all places; a shorter line is one shingle."""
     every = F.regexp_extract_all(F.col(norm), F.lit(rf"(?s)(?=(.{{{width}}}))"), F.lit(1))
-    return F.array_distinct(F.transform(F.when(F.length(norm) < width, F.array(F.col(norm))).otherwise(every), lambda s: F.xxhash64(s)))
+    return F.when(F.length(norm) < width, F.array(F.col(norm))).otherwise(every)
+
+
+def shingles(norm: str, width: int) -> Column:
+    """Distinct hashes of all shingles."""
+    return F.array_distinct(F.transform(places(norm, width), lambda s: F.xxhash64(s)))
 
 
 def band_keys(texts: DataFrame) -> DataFrame:
-    """texts(line, norm), a row a line -> (line, key): the band keys of each line and kind.
+    """texts(line, norm), a row a line -> (line, key): the band keys of each line.
 
     Where texts is partitioned by line, as after a groupBy, nothing here is shuffled.
     """
-    every, starts = F.regexp_extract_all("norm", F.lit(r"(?s)(?=(.{8}))"), F.lit(1)), F.regexp_extract_all("norm", F.lit(r"(?s)(?<!\p{Ll})(?=(.{1,8}))"), F.lit(1))
-    places = F.when(F.col("kind") == 1, starts).when(F.length("norm") < 8, F.array("norm")).otherwise(every)
-    kinds = F.array_compact(F.array(F.when(F.length("norm") <= MIDDLE, 0), F.when(F.length("norm") >= SHORT, 1)))
-    rows = texts.select("line", "norm", F.explode(kinds).alias("kind"))
-    rows = rows.select("line", "kind", F.explode(places).alias("s"))
+    rows = texts.select("line", F.explode(places("norm", 5)).alias("s"))
     h = F.xxhash64("s").bitwiseAND(F.lit(2**31 - 1)).alias("h")
     least = [F.min((F.col("h") * _MUL[i]).bitwiseAND(F.lit(2**44 - 1))).alias(f"m{i}") for i in range(VALUES)]
-    signed = rows.select("line", "kind", h).groupBy("line", "kind").agg(*least)
-    keys = F.array(*[F.xxhash64("kind", F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(VALUES // ROWS)])
+    signed = rows.select("line", h).groupBy("line").agg(*least)
+    keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(VALUES // ROWS)])
     return signed.select("line", F.explode(keys).alias("key"))
 
 

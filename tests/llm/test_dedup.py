@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 
@@ -83,6 +84,23 @@ def test_line_dedup(docs, rows):
     assert line_dedup.rewrite(docs.where("doc_id = 16"), decided).first().text == "line a\nline b\n"
 
 
+def test_line_candidates_by_the_link_shingles(spark):
+    """Separators, unbroken long lines and lines of 8 and 9 characters link as brute force says."""
+    r = random.Random(11)
+    texts = ["-" * n for n in (4, 5, 7, 8, 63, 64, 100, 101, 300)] + ["=" * 6, "=" * 120]
+    for n in (62, 99, 101, 160, 400):
+        dna = "".join(r.choice("acgt") for _ in range(n))
+        texts += [dna, dna[1:], dna[:-1], "g" + dna, dna[: n // 2] + "tttt" + dna[n // 2 :]]
+    for _ in range(20):
+        eight = "".join(r.choice("abcdefghij") for _ in range(8))
+        texts += [eight, eight + "x", "y" + eight, eight[:7]]
+    texts = sorted(set(texts))
+    sets = [{t[i : i + 5] for i in range(len(t) - 4)} or {t} for t in texts]
+    comp = brute.components(len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if brute.similar(sets[a], sets[b])])
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert [x.keep_doc_id for x in sorted(got)] == comp
+
+
 def test_empty_tables(empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
     assert near_dedup.near_duplicates(empty).count() == 0
