@@ -338,11 +338,17 @@ def _blocks(large: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns, with one row of each component: that of the least
-    doc_id (of several texts with it, the least row_hash). Rows without words all stay."""
+    doc_id (of several texts with it, the least row_hash; of several rows with both, the
+    least hash of the other columns). Rows without words all stay, repeated ones too."""
     near = near_duplicates(docs, width, percent)
     winners = near.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("w"))
-    winners = winners.select(F.col("w.doc_id").alias("_kept_id"), F.col("w.row_hash").alias("_kept_hash")).union(near.where("comp is null").select("doc_id", "row_hash"))
-    winners = winners.distinct()
-    hashed = docs.withColumn("_row_hash", F.xxhash64(docs["doc_id"], docs["text"]))
-    kept = hashed.join(winners, (F.col("_row_hash") == F.col("_kept_hash")) & docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi").drop("_row_hash")
-    return kept.dropDuplicates()
+    winners = winners.select(F.col("w.doc_id").alias("_kept_id"), F.col("w.row_hash").alias("_kept_hash"))
+    bare = F.col("text").isNull() | ~F.col("text").rlike(r"[^ \t-\r]")
+    # null flags: a hash passes over nulls, whichever column they are in
+    other = [x for c in docs.columns if c not in ("doc_id", "text") for x in (docs[c], docs[c].isNull())]
+    hashed = docs.where(~bare).withColumns({"_row_hash": F.xxhash64("doc_id", "text"), "_other_hash": F.xxhash64(F.lit(0), *other)})
+    least = hashed.groupBy(F.col("doc_id").alias("_least_id"), F.col("_row_hash").alias("_least_hash")).agg(F.min("_other_hash").alias("_kept_other"))
+    winners = winners.join(least, (F.col("_kept_hash") == F.col("_least_hash")) & F.col("_kept_id").eqNullSafe(F.col("_least_id")))
+    same = (F.col("_row_hash") == F.col("_kept_hash")) & (F.col("_other_hash") == F.col("_kept_other")) & F.col("doc_id").eqNullSafe(F.col("_kept_id"))
+    kept = hashed.join(winners, same, "left_semi").drop("_row_hash", "_other_hash")
+    return kept.dropDuplicates().union(docs.where(bare))

@@ -1,4 +1,6 @@
 import corpus_pipeline
+from tests.llm import brute
+from tests.llm.conftest import SCHEMA, edited, prose
 
 
 def test_stages_on_edge_rows(spark, docs, tmp_path_factory, empty):
@@ -22,3 +24,22 @@ def test_language_stage_keeps_all_with_letters(spark, docs):
 def test_run(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.select("shard").distinct().count() == 8
+
+
+def test_near_stage_against_brute_force(spark):
+    """One row of each group, whatever the other columns of rows with one doc_id hold; rows without words all stay."""
+    base, other = prose(31, 80), prose(32, 80)
+    row = lambda i, t, lang, source: (i, t, lang, source, len(t or ""), "x", 1, 2, 3, "l")
+    rows = [row(i, t, lang, s) for i, t in ((1, base), (None, other), (2, edited(base, 40))) for lang, s in (("en", "s1"), ("en", "s2"), ("en", None), (None, "en"), ("en", "s1"))]
+    rows += [row(3, prose(33, 80), "en", "s1"), row(4, " ", "en", "s1"), row(4, " ", "en", "s1"), row(5, None, None, "s1"), row(5, None, None, "s1"), row(None, "", "en", "s2")]
+    sets = [brute.shingles(r[1], 5) for r in rows]
+    comp = brute.components(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if brute.similar(sets[a], sets[b])])
+    groups = {}
+    for k, c in enumerate(comp):
+        groups.setdefault(c, []).append(k)
+    want = [min((rows[k][0] is None, rows[k][0] or 0) for k in g) for g in groups.values()]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA).repartition(5), "").collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted(want)
+    assert all(tuple(r) in rows for r in got)
+    again = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows[::-1], SCHEMA).repartition(2), "").collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
