@@ -18,9 +18,11 @@ SHARDS = 8
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in no language: null texts and texts without a letter."""
+    """Rejects documents in no language: null texts and texts without a letter.
+
+    All others stay, also where the model learned no language or one named "und"."""
     predict = language_id.predictor(spark, language_id.fit(docs.where(~language_id.held_out())))
-    return docs.where(predict(docs["text"])["lang_pred"] != "und")
+    return docs.where(predict(docs["text"])["letters"])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,6 +37,10 @@ def words_of(text: str) -> list[str]:
     return found
 
 
+def has_letter(text: str | None) -> bool:
+    return any(c.isalpha() for c in text or "")
+
+
 def grams_of(word: str, n: int) -> list[str]:
     padded = f"^{word}$" if n > 1 else word
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
@@ -130,13 +134,13 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, max_words: int = MA
 
 
 def predictor(spark, model: Model):
-    """A column function text -> struct(lang_pred, score)."""
+    """A column function text -> struct(lang_pred, score, letters)."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, letters boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
         own = shared.value
-        return pd.DataFrame([own.predict(t) for t in texts], columns=["lang_pred", "score"])
+        return pd.DataFrame([(*own.predict(t), has_letter(t)) for t in texts], columns=["lang_pred", "score", "letters"])
 
     return predict
 

@@ -21,6 +21,15 @@ def test_language_stage_keeps_all_with_letters(spark, docs):
     assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in got.collect()} == {0, 1, 2, 14}
 
 
+def test_language_stage_without_labels(spark, docs):
+    """Nothing to learn from, or a language that is called und: only texts without a letter go."""
+    for lang in ("cast(null as string)", "'und'"):
+        start = docs.selectExpr("doc_id", "text", f"{lang} as lang")
+        got = corpus_pipeline.identify_language(spark, start, "")
+        assert got.columns == start.columns
+        assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in got.collect()} == {0, 1, 2, 14}
+
+
 def test_run(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.select("shard").distinct().count() == 8
