@@ -39,6 +39,19 @@ def test_against_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+def test_saves_and_commands_cover_all_characters(spark, monkeypatch):
+    """Every character is saved and parsed, every one gets a command."""
+    seen = {}
+    parse, close = queries.snapshot.parse, queries.segments.close_on_command
+    monkeypatch.setattr(queries.snapshot, "parse", lambda saves: seen.setdefault("parsed", parse(saves)))
+    monkeypatch.setattr(queries.segments, "close_on_command", lambda s, c: close(s, seen.setdefault("commands", c)))
+    queries.save_and_restore(spark, D)
+    queries.commands_close_segments(spark, D)
+    every = {(r.house, r.id) for r in queries.entities(spark, D).select("house", "id").collect()}
+    assert {(r.house, int(s.id)) for r in seen["parsed"].collect() for s in r.sims} == every
+    assert {(r.house, r.id) for r in seen["commands"].where("at_s is not null").collect()} == every
+
+
 def test_entry(spark):
     import __spark_entry__
 
