@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 # Points a need loses in a game hour.
 DECAY = {"hunger": 4.5, "energy": 3.2, "fun": 5.0, "social": 4.2}
+# What a character does at an object of each kind, and else.
+VERBS = {"sleep": "Sleeping in", "sit": "Lounging on", "dance": "Dancing at", "bounce": "Bouncing on"}
+USING, WALKING, CHATTING, NOBODY, OTHERWISE = "Using", "Walking...", "Chatting with ", "a friend", "Hanging out"
 #: Draws are whole multiples of 1/DRAWS.
 DRAWS = 1048576
 
@@ -55,8 +58,11 @@ def most_urgent(weights: dict[str, Column]) -> Column:
 
 def activity(state: Column, partner: Column, anim: Column, label: Column) -> Column:
     """O-14: what a character is doing, in words."""
-    verb = F.when(anim == "sleep", "Sleeping in").when(anim == "sit", "Lounging on").when(anim == "dance", "Dancing at").when(anim == "bounce", "Bouncing on").otherwise("Using")
-    return F.when(state == "walking", "Walking...").when(state == "chatting", F.concat(F.lit("Chatting with "), F.coalesce(partner, F.lit("a friend")))).when((state == "using") & label.isNotNull(), F.concat(verb, F.lit(" the "), label)).otherwise("Hanging out")
+    verbs = F.create_map(*[F.lit(x) for pair in VERBS.items() for x in pair])
+    verb = F.coalesce(F.try_element_at(verbs, anim), F.lit(USING))
+    chat = F.concat(F.lit(CHATTING), F.coalesce(partner, F.lit(NOBODY)))
+    use = F.concat(verb, F.lit(" the "), label)
+    return F.when(state == "walking", WALKING).when(state == "chatting", chat).when((state == "using") & label.isNotNull(), use).otherwise(OTHERWISE)
 
 
 def clock_text(minutes: Column) -> Column:

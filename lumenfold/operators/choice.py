@@ -47,6 +47,29 @@ def pair_lines(chats: DataFrame, dynamics: DataFrame) -> DataFrame:
     return chats.withColumn("_lo", lo).withColumn("_hi", hi).join(keyed, ["_lo", "_hi"]).drop("_lo", "_hi")
 
 
+def dialogue(chats: DataFrame, dynamics: DataFrame, seed: str) -> DataFrame:
+    """O-30, O-35, O-68: chats(house, a, b), a having come to b, with who says what: with odds
+    0.65 a random exchange of the pair's own, if it has any, the answer 2.6 s later; else a
+    greets and b falls back to small talk after 2.4 s.
+
+    house, a, b, first_speaker, second_speaker, first, second (null in small talk), category
+    and reply_category (null in an own exchange), reply_s. A pair has few exchanges.
+    """
+    lo, hi = unordered("a", "b")
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("n", "first", "second"))), lambda x: F.struct(x["first"].alias("first"), x["second"].alias("second")))
+    own = dynamics.groupBy(lo.alias("_lo"), hi.alias("_hi"), F.col("a").alias("_opens")).agg(lines.alias("_lines"))
+    rows = chats.withColumn("_lo", lo).withColumn("_hi", hi).join(own, ["_lo", "_hi"], "left")
+    say = F.col("_lines").isNotNull() & (derive.draw(seed, "house", "a", "b", F.lit("own")) < 0.65)
+    rows = rows.withColumn("_say", F.coalesce(say, F.lit(False))).withColumn("_line", F.when(F.col("_say"), derive.pick(F.col("_lines"), derive.draw(seed, "house", "a", "b", F.lit("line")))))
+    opens = F.when(F.col("_say"), F.col("_opens")).otherwise(F.col("a"))
+    small = lambda c: F.when(~F.col("_say"), c)
+    return rows.select(
+        "house", "a", "b", opens.alias("first_speaker"), F.when(opens == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("second_speaker"),
+        "_line.first", "_line.second", small("greet").alias("category"), small("idle").alias("reply_category"),
+        F.when(F.col("_say"), 2.6).otherwise(2.4).alias("reply_s"),
+    )
+
+
 def top_friend(scores: DataFrame, at_least: float = 4.0) -> DataFrame:
     """O-42: scores(src, dst, score, ordinal) -> each src's highest above at_least; ties to the least ordinal."""
     n = F.row_number().over(Window.partitionBy("src").orderBy(F.col("score").desc(), "ordinal"))

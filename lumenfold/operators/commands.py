@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.operators import choice
+
 
 def clicks(ups: DataFrame, downs: DataFrame, limit: float = 6.0) -> DataFrame:
     """O-25: pointer releases that are no drags: a press is known and moved limit at most."""
@@ -24,7 +26,7 @@ def first_hit(hits: DataFrame) -> DataFrame:
 def guard_capacity(requests: DataFrame) -> DataFrame:
     """O-27: requests(users, capacity, label) with accepted and, if not, a message."""
     full = F.col("users") >= F.col("capacity")
-    return requests.withColumn("accepted", ~full).withColumn("message", F.when(full, F.concat(F.lit("The "), F.lower("label"), F.lit(" is in use"))))
+    return requests.withColumn("accepted", ~full).withColumn("message", F.when(full, F.concat(F.lit("The "), F.lower("label"), F.lit(" is taken!"))))
 
 
 def clamp_ground(x: Column, z: Column) -> tuple[Column, Column]:
@@ -36,3 +38,12 @@ def parse_command(key: Column) -> Column:
     """O-06: a key as a command: 1-8 select, Space pauses, G gathers, F follows."""
     n = key.try_cast("int") if hasattr(key, "try_cast") else key.cast("int")
     return F.when(n.between(1, 8), F.concat(F.lit("select:"), n - 1)).when(key == " ", "pause").when(F.lower(key) == "g", "gather").when(F.lower(key) == "f", "follow")
+
+
+def gather(entities: DataFrame, seats: DataFrame) -> DataFrame:
+    """O-77: entities(house, id, ordinal, state, x, z) all walk to a seat each -> house, id,
+    seat_id, x, z (the target), next_state, and what that ends: released an object's use,
+    parted a chat. Without a free seat all but the target holds."""
+    taken = choice.seat_greedily(entities, seats)
+    rows = entities.select("house", "id", "state").join(taken, ["house", "id"]).join(F.broadcast(seats), "seat_id", "left")
+    return rows.select("house", "id", "seat_id", "x", "z", F.lit("walking").alias("next_state"), (F.col("state") == "using").alias("released"), (F.col("state") == "chatting").alias("parted"))

@@ -27,11 +27,6 @@ def use_hours(start: Column, net: Column, asleep: Column, planned: Column) -> Co
     return F.when(net <= 0, planned).when(asleep, full).otherwise(F.least(planned, full))
 
 
-def occupancy(segments: DataFrame) -> DataFrame:
-    """O-44: users of each object now: its open segments. Nothing is counted up and down, so nothing leaks."""
-    return segments.where("end_s is null and object_id is not null").groupBy("house", "object_id").agg(F.count("*").alias("users"))
-
-
 def affinity(chats: DataFrame, per_hour: float = 2.2) -> DataFrame:
     """O-43: chats(src, dst, hours) -> score of each direction; it only grows."""
     return chats.groupBy("src", "dst").agg(F.sum(F.col("hours") * F.lit(per_hour)).alias("score"))
@@ -80,6 +75,7 @@ def close_on_command(segments: DataFrame, commands: DataFrame) -> DataFrame:
 
     Both go through one window by (house, id): no range join."""
     events = segments.select("house", "id", "start_s", "end_s", F.lit(None).cast("double").alias("at_s")).unionByName(commands.select("house", "id", F.col("at_s").alias("start_s"), F.lit(None).cast("double").alias("end_s"), "at_s"))
-    later = Window.partitionBy("house", "id").orderBy("start_s", F.col("at_s").isNotNull()).rowsBetween(1, Window.unboundedFollowing)
-    rows = events.withColumn("cut_s", F.first("at_s", ignorenulls=True).over(later))
+    # from the end backwards, so that the frame only grows: the last command met is the next one
+    later = Window.partitionBy("house", "id").orderBy(F.col("start_s").desc(), F.col("at_s").isNotNull().desc()).rowsBetween(Window.unboundedPreceding, -1)
+    rows = events.withColumn("cut_s", F.last("at_s", ignorenulls=True).over(later))
     return rows.where("at_s is null").withColumn("end_s", F.least("end_s", "cut_s")).drop("at_s", "cut_s")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DOCUMENT = "gameMinutes double, day int, sims array<struct<id:string,needs:map<string,double>,rel:map<string,double>,x:double,z:double>>"
 NEEDS = ("hunger", "energy", "fun", "social")
 
 
@@ -26,21 +25,36 @@ def latest(saves: DataFrame, key: str, at: str, bucket_s: int = 20) -> DataFrame
     return rows.withColumn("_n", n).where("_n = 1").drop("_n")
 
 
+#: A saved character: x is null unless it is a number.
+SIM = """named_struct('id', try_variant_get(s, '$.id', 'string'), 'needs', try_variant_get(s, '$.needs', 'map<string,double>'),
+  'rel', try_variant_get(s, '$.rel', 'map<string,double>'), 'z', try_variant_get(s, '$.z', 'double'),
+  'x', if(schema_of_variant(try_variant_get(s, '$.x', 'variant')) rlike '^(BIGINT|DOUBLE|FLOAT|DECIMAL)', try_variant_get(s, '$.x', 'double'), NULL))"""
+
+
 def parse(saves: DataFrame, minutes: float = 480.0, day: int = 1) -> DataFrame:
-    """O-05: documents -> house, ok, game_minutes, day, sims. Malformed JSON is not ok;
-    missing clock fields take the defaults."""
-    doc = F.from_json("document", DOCUMENT)
-    rows = saves.select("house", doc.alias("d"))
-    ok = F.col("d.sims").isNotNull()
-    return rows.select("house", ok.alias("ok"), F.coalesce("d.gameMinutes", F.lit(minutes)).alias("game_minutes"), F.coalesce("d.day", F.lit(day)).alias("day"), F.col("d.sims").alias("sims"))
+    """O-05: documents -> house, ok, game_minutes, day, sims. Malformed JSON and a bare null
+    are not ok; missing or null clock fields take the defaults, missing sims are none."""
+    rows = saves.select("house", F.try_parse_json("document").alias("d"))
+    ok = F.expr("d IS NOT NULL AND NOT coalesce(is_variant_null(d), true)")
+    sims = F.expr(f"transform(coalesce(try_variant_get(d, '$.sims', 'array<variant>'), array()), s -> {SIM})")
+    clock = [F.coalesce(F.try_variant_get("d", "$.gameMinutes", "double"), F.lit(minutes)), F.coalesce(F.try_variant_get("d", "$.day", "int"), F.lit(day))]
+    return rows.select("house", ok.alias("ok"), clock[0].alias("game_minutes"), clock[1].alias("day"), sims.alias("sims"))
 
 
 def restore(live: DataFrame, parsed: DataFrame) -> DataFrame:
     """O-05, O-32: live(house, id, needs, rel, x, z) overlaid by the saved rows of the same
-    id: needs by key, rel as a whole, x and z together where x is a number. Unknown saved
-    ids are skipped, live ones without a save stay."""
-    saved = parsed.where("ok").select("house", F.explode("sims").alias("s")).select("house", F.col("s.id").alias("id"), F.col("s.needs").alias("s_needs"), F.col("s.rel").alias("s_rel"), F.col("s.x").alias("s_x"), F.col("s.z").alias("s_z"))
+    id: needs by key, rel as a whole (none saved: empty), x and z together where x is a
+    number. Of several rows of one id later ones go over earlier ones. Unknown saved ids are
+    skipped, live ones without a save stay."""
+    saved = parsed.where("ok").select("house", F.posexplode("sims").alias("at", "s")).select("house", "at", "s.*")
+    last = lambda value, there: F.max_by(value, F.when(there, F.col("at")))
+    each = [last(F.try_element_at("needs", F.lit(n)), F.try_element_at("needs", F.lit(n)).isNotNull()).alias(f"s_{n}") for n in NEEDS]
+    none = F.expr("cast(map() as map<string,double>)")
+    saved = saved.groupBy("house", "id").agg(
+        *each, F.max_by(F.coalesce("rel", none), "at").alias("s_rel"), last(F.struct("x", "z"), F.col("x").isNotNull()).alias("s_place")
+    )
     rows = live.join(saved, ["house", "id"], "left")
-    needs = F.create_map(*[x for n in NEEDS for x in (F.lit(n), F.coalesce(F.try_element_at("s_needs", F.lit(n)), F.try_element_at("needs", F.lit(n))))])
-    moved = F.col("s_x").isNotNull()
-    return rows.select("house", "id", needs.alias("needs"), F.coalesce("s_rel", "rel").alias("rel"), F.when(moved, F.col("s_x")).otherwise(F.col("x")).alias("x"), F.when(moved, F.coalesce("s_z", "z")).otherwise(F.col("z")).alias("z"))
+    needs = F.create_map(*[x for n in NEEDS for x in (F.lit(n), F.coalesce(f"s_{n}", F.try_element_at("needs", F.lit(n))))])
+    moved = F.col("s_place").isNotNull()
+    place = [F.when(moved, F.coalesce(f"s_place.{c}", c)).otherwise(F.col(c)).alias(c) for c in ("x", "z")]
+    return rows.select("house", "id", needs.alias("needs"), F.coalesce("s_rel", "rel").alias("rel"), *place)

@@ -315,12 +315,14 @@ def partner_choice(spark, d):
 
 @query(f"""WITH u AS (SELECT *, {_draw_sql('w', 'id')} AS u, {_draw_sql('x', 'id')} AS v FROM {_TOP} t)
 SELECT id, weight < 35 OR (u > tidy AND weight < 55) AS wanders, (u - 0.5) * 40 AS x, (v - 0.5) * 30 AS z,
-  CASE floor(u * 3)::INT WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS line FROM u""")
+  CASE WHEN id % 2 = 0 THEN CASE floor(u * 2)::INT WHEN 0 THEN 'd' ELSE 'e' END
+    ELSE CASE floor(u * 3)::INT WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END END AS line FROM u""")
 def wander_and_speak(spark, d):
     """O-73, O-75, O-76."""
     e = entities(spark, d).withColumn("t", derive.most_urgent(_weights())).withColumns({"u": derive.draw("w", "id"), "v": derive.draw("x", "id")})
     x, z = choice.wander_target(F.col("u"), F.col("v"))
-    lines = F.create_map(F.lit("idle"), F.array(*map(F.lit, "abc")))
+    idle, fun = (F.array(*map(F.lit, x)) for x in ("abc", "de"))
+    lines = F.when(F.col("id") % 2 == 0, F.create_map(F.lit("idle"), idle, F.lit("fun"), fun)).otherwise(F.create_map(F.lit("idle"), idle))
     return e.select("id", choice.wander(F.col("t.weight"), F.col("tidy"), F.col("u")).alias("wanders"), x.alias("x"), z.alias("z"), derive.speak(lines, F.lit("fun"), F.col("u")).alias("line"))
 
 
@@ -328,12 +330,12 @@ _FAV = f"(SELECT ordinal AS fav_at, favorites FROM ({CAST_VALUES}) c(ordinal, id
 
 
 @query(f"""WITH e AS (SELECT t.*, f.favorites, {_draw_sql('d', 'house', 'id', "'wander'")} AS uw FROM {_TOP} t JOIN {_FAV} f ON t.id % 8 = f.fav_at),
-p AS (SELECT a.house, a.id, b.id AS other, row_number() OVER (PARTITION BY a.house, a.id ORDER BY b.ordinal) AS k, count(*) OVER (PARTITION BY a.house, a.id) AS n
+p AS (SELECT a.house, a.id, b.id AS other, row_number() OVER (PARTITION BY a.house, a.id ORDER BY (a.id * 7 + b.id * 3) % 11 DESC, b.ordinal) AS k, count(*) OVER (PARTITION BY a.house, a.id) AS n
   FROM {ENTITIES} a JOIN {ENTITIES} b ON a.house = b.house AND a.id <> b.id WHERE b.partner IS NULL AND b.state <> 'using'),
 q AS (SELECT house, id, other FROM p WHERE k = CASE WHEN {_draw_sql('d', 'house', 'id', "'top'")} < 0.7 THEN 1 ELSE floor({_draw_sql('d', 'house', 'id', "'any'")} * n)::BIGINT + 1 END),
 w AS (SELECT e.* EXCLUDE (need), q.other, weight < 35 OR (uw > tidy AND weight < 55) AS wan, CASE WHEN need = 'social' AND q.other IS NULL THEN 'fun' ELSE need END AS need FROM e LEFT JOIN q USING (house, id)),
-o AS (SELECT ordinal AS oo, id AS object_id, need FROM ({OBJECT_VALUES}) o(ordinal, id, label, sx, sz, fx, fz, need, rate, anim, cap)),
-c AS (SELECT house, id, object_id, oo, list_contains(favorites, object_id)::INT AS fav FROM w JOIN o USING (need) WHERE NOT wan),
+o AS (SELECT ordinal AS oo, id AS object_id, need, cap FROM ({OBJECT_VALUES}) o(ordinal, id, label, sx, sz, fx, fz, need, rate, anim, cap)),
+c AS (SELECT house, id, object_id, oo, list_contains(favorites, object_id)::INT AS fav FROM w JOIN o USING (need) WHERE NOT wan AND (house + oo) % 3 < cap),
 b AS (SELECT * FROM (SELECT *, max(fav) OVER (PARTITION BY house, id) AS best FROM c) WHERE fav = best),
 n AS (SELECT *, row_number() OVER (PARTITION BY house, id ORDER BY oo) AS k, count(*) OVER (PARTITION BY house, id) AS n FROM b),
 g AS (SELECT house, id, object_id FROM n WHERE k = floor({_draw_sql('d', 'house', 'id', "'object'")} * n)::BIGINT + 1)
@@ -343,11 +345,12 @@ def decisions(spark, d):
     """O-74 and all it is made of."""
     fav = catalog.cast(spark).select(F.col("ordinal").alias("at"), "favorites")
     e = entities(spark, d).withColumnRenamed("tidy", "order").withColumn("at", F.col("id") % 8).join(F.broadcast(fav), "at")
-    houses = e.select("house").distinct()
-    o = catalog.objects(spark).select("ordinal", "id", "need")
-    o = houses.select("house", F.explode(F.array(*[F.struct(*map(F.lit, r)) for r in [(i, x[0], x[6]) for i, x in enumerate(catalog.OBJECTS)]])).alias("o")).select("house", *[F.col(f"o.col{i + 1}").alias(c) for i, c in enumerate(o.columns)])
-    none = spark.createDataFrame([], "house bigint, id bigint, other bigint, score double")
-    return choice.decide(e, o, none, "d").select("house", "id", "need", "action", "other", "object_id")
+    # every object of every house has (house + ordinal) % 3 users
+    every = [F.struct(F.lit(i).alias("ordinal"), F.lit(o[0]).alias("id"), F.lit(o[6]).alias("need"), F.lit(o[9]).alias("capacity")) for i, o in enumerate(catalog.OBJECTS)]
+    spots = e.select("house").distinct().select("house", F.explode(F.array(*every)).alias("o")).select("house", "o.*")
+    users = spots.select("house", F.col("id").alias("object_id"), F.explode(F.expr("array_repeat(0, cast((house + ordinal) % 3 as int))")))
+    scores = choice.chat_pairs(e).select("house", "id", "other", ((F.col("id") * 7 + F.col("other") * 3) % 11).cast("double").alias("score"))
+    return choice.decide(e, choice.available(spots, users), scores, "d").select("house", "id", "need", "action", "other", "object_id")
 
 
 _EVENTS = """CASE id % 5 WHEN 0 THEN 'decided' WHEN 1 THEN 'arrived_use' WHEN 2 THEN 'done' WHEN 3 THEN 'move' ELSE 'released' END"""
@@ -429,6 +432,88 @@ def save_and_restore(spark, d):
     return back.select("house", F.col("id").cast("bigint").alias("id"), F.col("needs")["hunger"].alias("hunger"), F.col("needs")["energy"].alias("energy"), "x")
 
 
+#: One document a house, of each kind that loading meets: no rel and some needs; no sims; malformed; an id
+#: twice; x that is no number; an unknown id and a null clock field.
+_SAVE = """CASE house % 6
+  WHEN 0 THEN '{"gameMinutes":600.5,"sims":[{"id":"' || first || '","needs":{"fun":9.5},"x":1.5,"z":2}]}'
+  WHEN 1 THEN '{"day":3}'
+  WHEN 2 THEN '{"day":3,'
+  WHEN 3 THEN '{"sims":[{"id":"' || first || '","needs":{"fun":1,"hunger":2},"rel":{"a":1},"x":3,"z":4},{"id":"' || first || '","needs":{"fun":7},"rel":{"a":1,"b":2}}]}'
+  WHEN 4 THEN '{"day":9,"sims":[{"id":"' || first || '","rel":{"c":5},"x":"no","z":4}]}'
+  ELSE '{"day":null,"sims":[{"id":"ghost","needs":{"fun":1}}]}' END"""
+
+
+@query(f"""WITH e AS (SELECT *, min(id) OVER (PARTITION BY house) AS first FROM {ENTITIES}),
+h AS (SELECT *, id = first AND house % 6 IN (0, 3, 4) AS saved FROM e)
+SELECT house, id, CASE WHEN saved AND house % 6 = 0 THEN 9.5 WHEN saved AND house % 6 = 3 THEN 7 ELSE fun END AS fun,
+  CASE WHEN saved AND house % 6 = 3 THEN 2 ELSE hunger END AS hunger,
+  CASE WHEN NOT saved THEN 1 WHEN house % 6 = 0 THEN 0 WHEN house % 6 = 3 THEN 2 ELSE 1 END AS n_rel,
+  CASE WHEN saved AND house % 6 = 0 THEN 1.5 WHEN saved AND house % 6 = 3 THEN 3 ELSE x END AS x,
+  CASE WHEN saved AND house % 6 = 0 THEN 2 WHEN saved AND house % 6 = 3 THEN 4 ELSE z END AS z,
+  house % 6 <> 2 AS ok, CASE house % 6 WHEN 0 THEN 600.5 ELSE 480 END AS game_minutes, CASE house % 6 WHEN 1 THEN 3 WHEN 4 THEN 9 ELSE 1 END AS day FROM h""")
+def load_cases(spark, d):
+    """O-05, O-32: documents as they come."""
+    e = entities(spark, d).withColumn("name", F.col("id").cast("string"))
+    needs = F.create_map(*[x for n in catalog.NEEDS for x in (F.lit(n), F.col(n))])
+    live = e.select("house", F.col("name").alias("id"), needs.alias("needs"), F.create_map(F.lit("live"), F.lit(1.0)).alias("rel"), "x", "z")
+    saves = e.groupBy("house").agg(F.min("id").cast("string").alias("first")).select("house", F.expr(_SAVE).alias("document"))
+    parsed = snapshot.parse(saves)
+    back = snapshot.restore(live, parsed).join(parsed.select("house", "ok", "game_minutes", "day"), "house")
+    return back.select("house", F.col("id").cast("bigint").alias("id"), F.col("needs")["fun"].alias("fun"), F.col("needs")["hunger"].alias("hunger"), F.size("rel").cast("bigint").alias("n_rel"), "x", "z", "ok", "game_minutes", "day")
+
+
+@query(f"""WITH e AS (SELECT id, id % 3 = 0 AS asleep, CASE id % 3 WHEN 0 THEN energy WHEN 1 THEN fun ELSE hunger END AS start,
+  30::DOUBLE - CASE id % 3 WHEN 0 THEN 0 WHEN 1 THEN (0.6::DOUBLE + playfulness * 0.7::DOUBLE) * 5.0::DOUBLE ELSE 4.5::DOUBLE END AS net,
+  (45 + {_draw_sql('use', 'id')} * 40) / 60 AS planned FROM {ENTITIES})
+SELECT id, round(CASE WHEN asleep THEN greatest(0, (96 - start) / net) ELSE least(planned, greatest(0, (98 - start) / net)) END, 9) AS hours FROM e""")
+def use_ends(spark, d):
+    """O-64: when the use of an object ends."""
+    kind = lambda a, b, c: F.when(F.col("id") % 3 == 0, a).when(F.col("id") % 3 == 1, b).otherwise(c)
+    e = entities(spark, d).withColumn("asleep", F.col("id") % 3 == 0)
+    rates = derive.decay_rates(F.col("sociability"), F.col("trait_energy"), F.col("playfulness"), F.col("asleep"), F.lit(False))
+    net = F.lit(30.0) - kind(rates["energy"], rates["fun"], rates["hunger"])
+    planned = (45 + derive.draw("use", "id") * 40) / 60
+    return e.select("id", F.round(segments.use_hours(kind(F.col("energy"), F.col("fun"), F.col("hunger")), net, F.col("asleep"), planned), 9).alias("hours"))
+
+
+@query(f"""WITH c AS (SELECT house, id AS a, partner AS b FROM {ENTITIES} WHERE state = 'chatting'),
+k AS (SELECT *, (a + b) % 3 = 0 AND {_draw_sql('c', 'house', 'a', 'b', "'own'")} < 0.65 AS own, CASE WHEN (a + b) % 2 = 0 THEN a ELSE b END AS opens,
+  floor({_draw_sql('c', 'house', 'a', 'b', "'line'")} * 2)::INT AS n FROM c)
+SELECT house, a, b, CASE WHEN own THEN opens ELSE a END AS first_speaker, CASE WHEN own AND opens = a OR NOT own THEN b ELSE a END AS second_speaker,
+  CASE WHEN own THEN 'first ' || n END AS first, CASE WHEN own THEN 'second ' || n END AS second,
+  CASE WHEN NOT own THEN 'greet' END AS category, CASE WHEN NOT own THEN 'idle' END AS reply_category, CASE WHEN own THEN 2.6 ELSE 2.4 END AS reply_s FROM k""")
+def chat_dialogue(spark, d):
+    """O-30, O-68: who says what when a chat begins."""
+    c = entities(spark, d).where("state = 'chatting'").select("house", F.col("id").alias("a"), F.col("partner").alias("b"))
+    turn = (F.col("a") + F.col("b")) % 2 == 0
+    pair = c.where((F.col("a") + F.col("b")) % 3 == 0).select(F.when(turn, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(turn, F.col("b")).otherwise(F.col("a")).alias("b"))
+    n = F.explode(F.array(F.lit(0), F.lit(1))).alias("n")
+    lines = pair.select("a", "b", n).select("a", "b", "n", F.concat(F.lit("first "), "n").alias("first"), F.concat(F.lit("second "), "n").alias("second"))
+    return choice.dialogue(c, lines, "c")
+
+
+@query("""WITH k AS (SELECT event_id, list_extract(['1', '4', '8', '9', '0', ' ', 'g', 'G', 'f', 'F', 'q', ''], (event_id % 12 + 1)::INT) AS key FROM events)
+SELECT event_id, key, CASE WHEN key BETWEEN '1' AND '8' AND length(key) = 1 THEN 'select:' || (key::INT - 1) WHEN key = ' ' THEN 'pause'
+  WHEN lower(key) = 'g' THEN 'gather' WHEN lower(key) = 'f' THEN 'follow' END AS command FROM k""")
+def key_commands(spark, d):
+    """O-06."""
+    keys = F.array(*map(F.lit, ["1", "4", "8", "9", "0", " ", "g", "G", "f", "F", "q", ""]))
+    e = _t(spark, d, "events").select("event_id", F.element_at(keys, (F.col("event_id") % 12 + 1).cast("int")).alias("key"))
+    return e.select("event_id", "key", commands.parse_command(F.col("key")).alias("command"))
+
+
+@query("""WITH a AS (SELECT event_id, value, value - 50 AS turn, atan2(value - 30, 20 - value) AS heading FROM events)
+SELECT event_id, round(turn - 2 * pi() * floor((turn + pi()) / (2 * pi())), 6) AS wrapped, round(heading, 6) AS heading,
+  round(abs(turn) + (value - abs(turn)) * 0.25, 6) AS eased FROM a""")
+def angle_and_lerp(spark, d):
+    """Turning to a heading by the shorter way, and easing between two values."""
+    v = F.col("value")
+    return _t(spark, d, "events").select(
+        "event_id", F.round(derive.wrap_angle(v - 50), 6).alias("wrapped"), F.round(F.atan2(v - 30, 20 - v), 6).alias("heading"),
+        F.round(derive.lerp(F.abs(v - 50), v, F.lit(0.25)), 6).alias("eased"),
+    )
+
+
 _SEAT = ", ".join(f"({i}, 0::DOUBLE + cos({i} / 8.0 * pi() * 2) * 3, 16 + sin({i} / 8.0 * pi() * 2) * 3)" for i in range(8))
 
 
@@ -444,3 +529,11 @@ SELECT house, id, seat_id FROM walk WHERE k > 0""")
 def greedy_seats(spark, d):
     """O-34, O-52."""
     return choice.seat_greedily(entities(spark, d), catalog.seats(spark)).select("house", "id", "seat_id")
+
+
+@query(ORACLE_SQL["greedy_seats"].rpartition("SELECT")[0] + f"""SELECT w.house, w.id, w.seat_id, round(sx, 9) + 0.0 AS x, round(sz, 9) AS z, 'walking' AS next_state,
+  e.state = 'using' AS released, e.state = 'chatting' AS parted FROM walk w JOIN e USING (house, id) LEFT JOIN seat USING (seat_id) WHERE w.k > 0""")
+def gather_rows(spark, d):
+    """O-77: everyone of a house to a seat, and what that ends."""
+    g = commands.gather(entities(spark, d), catalog.seats(spark))
+    return g.withColumn("x", F.round("x", 9) + F.lit(0.0)).withColumn("z", F.round("z", 9))

@@ -12,11 +12,12 @@ PAIRS = "partners map<string,string>"
 
 
 def autosave(states: DataFrame, path: str, checkpoint: str, seconds: int = 20):
-    """O-04: every trigger appends the newest document of each house it has seen."""
+    """O-04: every trigger writes the newest document of each house it has seen, in a folder
+    of its own (epoch=N), which a repeated trigger overwrites. Ties go to the greater document."""
 
     def keep(batch: DataFrame, epoch: int) -> None:
-        newest = batch.groupBy("house").agg(F.max_by("document", "at_s").alias("document"), F.max("at_s").alias("at_s"))
-        newest.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(path)
+        newest = batch.groupBy("house").agg(F.max(F.struct("at_s", "document")).alias("n")).select("house", "n.document", "n.at_s")
+        newest.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return states.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds")
 
@@ -31,26 +32,21 @@ def occupancy(changes: DataFrame) -> DataFrame:
     return changes.groupBy("house", "object_id").agg(F.sum("change").alias("users"))
 
 
-def late_lines(lines: DataFrame, minutes: int = 10, span: str = "1 minute") -> DataFrame:
-    """Lines spoken in each stretch of event time; lines later than the watermark are dropped."""
-    return lines.withWatermark("ts", f"{minutes} minutes").groupBy(F.window("ts", span), "speaker_id").agg(F.count("*").alias("lines"))
-
-
 def _pair(key, batches, state: GroupState):
     """O-35: a link forms on arrival, and only with a partner who is free; both get it.
-    An arrival at a partner who has a link, or a repeated one, comes to nothing."""
+    An arrival at a partner who has a link, or a repeated one, comes to nothing. A house's
+    rows of one trigger are few; they are put in order over all of its batches."""
     partners = dict(state.get[0] or {}) if state.exists else {}
     out = []
-    for rows in batches:
-        for r in rows.sort_values("seq", kind="stable").itertuples(index=False):
-            if r.kind == "leave":
-                other = partners.pop(r.id, None)
-                if other:
-                    partners.pop(other, None)
-                    out += [(key[0], r.id, other, "parted"), (key[0], other, r.id, "parted")]
-            elif r.id != r.other and not r.other_using and r.other not in partners and r.id not in partners:
-                partners[r.id], partners[r.other] = r.other, r.id
-                out += [(key[0], r.id, r.other, "linked"), (key[0], r.other, r.id, "linked")]
+    for r in pd.concat(list(batches)).sort_values("seq", kind="stable").itertuples(index=False):
+        if r.kind == "leave":
+            other = partners.pop(r.id, None)
+            if other:
+                partners.pop(other, None)
+                out += [(key[0], r.id, other, "parted"), (key[0], other, r.id, "parted")]
+        elif r.id != r.other and not r.other_using and r.other not in partners and r.id not in partners:
+            partners[r.id], partners[r.other] = r.other, r.id
+            out += [(key[0], r.id, r.other, "linked"), (key[0], r.other, r.id, "linked")]
     state.update((partners,))
     yield pd.DataFrame(out, columns=["house", "id", "partner", "event"])
 

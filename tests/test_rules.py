@@ -81,9 +81,15 @@ def test_restore_cases(spark):
     saves = spark.createDataFrame([(1, '{"day":3,"sims":[{"id":"a","needs":{"fun":9.0},"x":"no","z":4},{"id":"ghost"}]}'), (2, "{bad")], "house int, document string")
     p = snapshot.parse(saves)
     assert {(r.house, r.ok, r.game_minutes, r.day) for r in p.collect()} >= {(2, False, 480.0, 1)}
-    good = snapshot.parse(saves.withColumn("document", F.regexp_replace("document", '"no"', "2.5")))
-    got = {r.id: r for r in snapshot.restore(df, good).collect()}
-    assert set(got) == {"a", "b"} and got["a"].needs["fun"] == 9.0 and got["a"].needs["hunger"] == 6.0 and (got["a"].x, got["a"].z) == (2.5, 4.0) and got["b"].needs["fun"] == 7.0
+    # x is no number: the place stays; no rel: none is left
+    got = {r.id: r for r in snapshot.restore(df, p).collect()}
+    assert set(got) == {"a", "b"} and got["a"].needs["fun"] == 9.0 and got["a"].needs["hunger"] == 6.0 and (got["a"].x, got["a"].z) == (0.0, 0.0)
+    assert got["a"].rel == {} and got["b"].needs["fun"] == 7.0
+    more = [(1, '{"sims":[{"id":"a","needs":{"fun":1},"rel":{"q":2},"x":1,"z":2},{"id":"a","needs":{"hunger":3},"x":2.5,"z":4}]}'), (2, '{"day":3}'), (3, "null"), (4, '{"day":null,"gameMinutes":1.5}'), (5, None), (6, "")]
+    p = snapshot.parse(spark.createDataFrame(more, "house int, document string"))
+    assert {r.house: (r.ok, r.game_minutes, r.day) for r in p.collect()} == {1: (True, 480.0, 1), 2: (True, 480.0, 3), 3: (False, 480.0, 1), 4: (True, 1.5, 1), 5: (False, 480.0, 1), 6: (False, 480.0, 1)}
+    got = snapshot.restore(df, p).where("id = 'a'").collect()
+    assert len(got) == 1 and (got[0].needs["fun"], got[0].needs["hunger"], got[0].rel, got[0].x, got[0].z) == (1.0, 3.0, {}, 2.5, 4.0)
 
 
 def test_commands(spark):
@@ -108,3 +114,27 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.house, r.document) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(1, "new"), (2, "x")}
+
+
+def test_pairing_over_batches():
+    """A house's arrivals are put in order over all of its batches, whatever order those come in."""
+
+    class State:
+        exists = False
+
+        def update(self, value):
+            self.value = value
+
+    cols = ["house", "seq", "kind", "id", "other", "other_using"]
+    late = pd.DataFrame([(1, 3, "arrive", "c", "b", False)], columns=cols)
+    early = pd.DataFrame([(1, 1, "arrive", "a", "b", False), (1, 2, "leave", "b", None, False)], columns=cols)
+    state = State()
+    (out,) = live._pair((1,), iter([late, early]), state)
+    assert out["event"].tolist() == ["linked", "linked", "parted", "parted", "linked", "linked"] and state.value == ({"c": "b", "b": "c"},)
+
+
+def test_running_sums(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "b", 1.0), ("a", "b", 0.5), ("b", "a", 2.0)], "src string, dst string, hours double")
+    assert {(r.src, r.dst): round(r.score, 6) for r in live.running_affinity(rows).collect()} == {("a", "b"): 3.3, ("b", "a"): 4.4}
+    change = spark.createDataFrame([(1, "sofa", 1), (1, "sofa", 1), (1, "sofa", -1)], "house int, object_id string, change int")
+    assert live.occupancy(change).first().users == 1
