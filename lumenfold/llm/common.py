@@ -48,6 +48,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def few(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """df to be broadcast if it has at most so many rows; else as it is, for a shuffle.
+
+    For tables of a few numbers a row that materialize() wrote, so that the count is cheap.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete what materialize() wrote, once no later plan reads it."""
     path = getattr(df, "_lumenfold_path", None)
@@ -88,3 +96,23 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     # settled links form stars: every node points at the least node of its component
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+
+
+def join_components(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components (node, comp) after links (a, b) more; found is what earlier links gave, or None.
+
+    Only components that a link joins are worked on again.
+    """
+    if found is None:
+        return materialize(connected_components(links), "comps")
+    by = found.select("node", "comp")
+    ends = links
+    for end in ("a", "b"):
+        named = by.select(F.col("node").alias(end), F.col("comp").alias(f"comp_{end}"))
+        ends = ends.join(named, end, "left").withColumn(f"comp_{end}", F.coalesce(f"comp_{end}", end))
+    joined = materialize(connected_components(ends.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))), "comps")
+    moved = by.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    fresh = joined.join(by.select("node"), "node", "left_anti").select("node", "comp")
+    out = materialize(moved.union(fresh), "comps")
+    discard(joined)
+    return out

@@ -1,23 +1,25 @@
 """Operator 8, near duplicates by an LSH forest.
 
-A document's signature is 96 minimum hashes of its word shingles. Each of 24 trees
-orders all signatures by its own rotation of the 96 values; documents whose longest
-common prefix in a tree reaches BASE values share a region of it. Two documents of
-similarity 0.8 share a region of some tree with probability 1 - (1 - 0.8^4)^24 =
-0.999997. Links are confirmed on the full shingle sets.
-
-No pair is written out. A region of at most REGION documents is one task's work and
-gives a star of links per component found in it.
-
-1. In the first FIRST trees regions are solved whole. A region of more documents is cut
-   at a greater depth, as deep as it takes there (adaptive depth).
+A document's signature is 96 minimum hashes of its word shingles. Each tree sorts all
+signatures by its own rotation of the 96 values: rows are range-partitioned and sorted, and
+every signature is held against its neighbours in that order. Neighbours whose longest
+common prefix reaches `base` values are candidates, and a run of them is a region. base and
+the number of trees follow from the threshold (see shape()): at 0.8 they are 4 and 24, and
+two documents of similarity 0.8 miss each other in all trees with odds of 3 in a million.
+Links are confirmed on the full shingle sets.
+
+No pair is written out. A region of at most REGION documents and REGION * UNIT shingles is
+one task's work and gives a star of links per component found in it.
+
+1. In the first FIRST trees every region is solved whole. Where a run is larger, the depth
+   grows there until the runs of that depth fit (adaptive depth per region).
 2. Links give components (distributed union-find). Only regions of all trees that still
    hold several components go on. Members whose signatures can't reach the threshold
    with a member of another component are put aside; the others are compared on full
    sets, each pair in the first tree that brings it together. What exceeds REGION goes
    block by block: those outside the region's largest component against all.
 
-So a cut at a greater depth in step 1 loses no link: step 2 compares at BASE again.
+So a cut at a greater depth in step 1 loses no link: step 2 compares at base again.
 """
 
 from __future__ import annotations
@@ -27,30 +29,41 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import connected_components, discard, materialize
+from lumenfold.llm.common import discard, few, join_components, materialize
 
-VALUES, TREES, BASE = 96, 24, 4
-DEPTHS = (8, 16, 32, 96)
+VALUES = 96
+#: Values of a tree's rotation that are sorted by, the greatest depth.
+DEPTH = 16
 FIRST = 2
 REGION = 1024
-#: Signatures agree on at least this many values before sets are compared: for
-#: similarity 0.8 that is 4.9 standard deviations below the mean.
-AGREE = 58
-#: Rows (16 bytes each) of the table that says which texts to read again: up to this
-#: many are broadcast, more are joined by a shuffle.
-BROADCAST_ROWS = 4_000_000
+#: Shingles that count as one document more towards REGION.
+UNIT = 8192
+#: Rows of one run that a task holds while it looks for its depth; a longer run is cut.
+HELD = 65_536
+#: Odds, as a share, of missing a pair at the threshold, in all trees; in the sifter.
+MISS = 1e-5
 
 _RNG = np.random.default_rng(20240229)
 _MUL = _RNG.integers(1, 2**32, VALUES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _ADD = _RNG.integers(0, 2**32, VALUES, dtype=np.uint64).astype(np.uint32)
 _PLACE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
+FOREST = "key bigint, region bigint, g bigint, n bigint, t int"
 SIGNED = "doc_id bigint, row_hash bigint, n_shingles bigint, g bigint, sig binary"
 
 
+def shape(percent: int) -> tuple[int, int, int]:
+    """(base, trees, agree) for a threshold: the longest common prefix whose trees miss a
+    pair at the threshold with odds below MISS; the values on which signatures of such a pair
+    agree at least, six standard deviations below their mean (odds of fewer: 1 in 10^9)."""
+    p = percent / 100
+    base = max((b for b in range(1, 9) if (1 - p**b) ** (VALUES // b) <= MISS), default=1)
+    return base, VALUES // base, max(base, int(VALUES * p - 6 * (VALUES * p * (1 - p)) ** 0.5))
+
+
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= 100_000:
@@ -217,8 +230,9 @@ def _solver(percent: int):
     return run
 
 
-def _sifter(percent: int, agree: int):
+def _sifter(percent: int):
     """Regions with signatures -> the members that may link to another component there."""
+    base, trees, agree = shape(percent)
 
     def run(batches):
         for group in _groups(batches, "region"):
@@ -233,7 +247,7 @@ def _sifter(percent: int, agree: int):
                 j = i + 1 + np.flatnonzero(may)
                 if len(j):
                     same = sig[i] == sig[j]
-                    first = same.reshape(len(j), TREES, BASE).all(axis=2).argmax(axis=1)
+                    first = same[:, : base * trees].reshape(len(j), trees, base).all(axis=2).argmax(axis=1)
                     j = j[(same.sum(axis=1) >= agree) & (first == tree)]
                     keep[j] = True
                     keep[i] |= len(j) > 0
@@ -244,9 +258,66 @@ def _sifter(percent: int, agree: int):
     return run
 
 
-def _prefix_key(depth) -> F.Column:
-    """A tree's key: the hash of the first values of its rotation of the signature."""
-    return F.xxhash64("t", F.expr(f"substring(concat(sig, sig), 16 * t + 1, 4 * {depth})"))
+def _neighbours(base: int):
+    """Sorted (t, prefix, g, n) -> FOREST: those with a neighbour that shares base values.
+
+    key names the run at base, region that at the depth where the run fits. A run that two
+    tasks share is known by its key; its depths may differ, which step 2 makes good.
+    """
+
+    def regions(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        t, g, n = (table.column(c).to_numpy() for c in ("t", "g", "n"))
+        rows = np.frombuffer(b"".join(table.column("prefix").to_pylist()), np.uint32).reshape(-1, DEPTH)
+        same = (rows[1:] == rows[:-1]) & (t[1:] == t[:-1])[:, None]
+        prefix = np.concatenate([[0], np.where(same.all(axis=1), DEPTH, same.argmin(axis=1)), [0]])
+        # the first and the last row may have their neighbour in another task
+        keep = np.maximum(prefix[:-1], prefix[1:]) >= base
+        keep[[0, -1]] = True
+        depth = np.zeros(len(rows), np.int64)
+        for d in range(base, DEPTH + 1):
+            run = np.cumsum(prefix[:-1] < d) - 1
+            fits = (np.bincount(run) <= REGION) & (np.bincount(run, n) <= REGION * UNIT)
+            depth[(depth == 0) & fits[run]] = d
+        chunk = np.zeros(len(rows), np.int64)  # equal to the greatest depth: chunks of a bounded size
+        full = depth == 0
+        chunk[full] = 1 + np.cumsum(np.maximum(1, n[full] // UNIT)) // REGION
+        depth[full] = DEPTH
+        name = lambda k, d, c: xxhash.xxh64_intdigest(rows[k, :d].tobytes(), seed=int(t[k]) * 1_000_003 + int(d) * 1009 + int(c)) - 2**63
+        at = np.flatnonzero(keep)
+        keys = [name(k, base, 0) for k in at]
+        inner = [name(k, depth[k], chunk[k]) for k in at]
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(inner, pa.int64()), pa.array(g[at], pa.int64()), pa.array(n[at], pa.int64()), pa.array(t[at], pa.int32())], names=["key", "region", "g", "n", "t"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            # up to the last place where a run of base values ends, the rows are complete
+            t, values = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            cut = next((k for k in range(len(t) - 1, 0, -1) if t[k] != t[k - 1] or values[k][: 4 * base] != values[k - 1][: 4 * base]), 0)
+            if cut == 0 and size > HELD:
+                yield regions(held)
+                held, size = [], 0
+            if cut:
+                yield regions([*held, batch.slice(0, cut)])
+                held, size = [], 0
+            held.append(batch.slice(cut))
+            size += len(batch) - cut
+        if held:
+            yield regions(held)
+
+    return run
+
+
+def forest(reps: DataFrame, percent: int) -> DataFrame:
+    """reps(g, n, sig) -> FOREST, a row for each tree in which a signature has a candidate neighbour."""
+    base, trees, _ = shape(percent)
+    leaf = F.expr(f"substring(concat(sig, sig), {4 * base} * t + 1, {4 * DEPTH})")
+    rows = reps.select("g", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("t")).select("t", leaf.alias("prefix"), "g", "n")
+    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(parts, "t", "prefix").sortWithinPartitions("t", "prefix").mapInArrow(_neighbours(base), FOREST)
 
 
 def sign(docs: DataFrame, width: int) -> DataFrame:
@@ -258,66 +329,52 @@ def _by_region(rows: DataFrame, run, schema: str) -> DataFrame:
     return rows.repartition("region").sortWithinPartitions("region", "g").mapInArrow(run, schema)
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, row: Column | None = None) -> DataFrame:
     """docs(doc_id, text) -> doc_id, row_hash, n_shingles, comp, component_id: a row per row.
 
-    row_hash is a hash of doc_id and text; comp names the component even where doc_ids
-    repeat; component_id is the least doc_id in it. Documents without words (null,
-    empty, white space) have n_shingles 0, comp null and component_id doc_id. Equal
-    texts share a component; repeated rows too. A null doc_id is never least unless
-    alone. Empty in, empty out.
+    row_hash is a hash of doc_id and text, or the BIGINT row; comp names the component even
+    where doc_ids repeat; component_id is the least doc_id in it. Documents without words
+    (null, empty, white space) have n_shingles 0, comp null and component_id doc_id. Equal
+    texts share a component; repeated rows too. Very long texts are read whole. A null doc_id
+    is never least unless alone. Other columns of docs are ignored. Empty in, empty out.
     """
-    source = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_hash"), "text")
+    source = docs.select("doc_id", (F.xxhash64("doc_id", "text") if row is None else row).alias("row_hash"), "text")
     signed = materialize(sign(source, width), "signed")
     reps = materialize(signed.where("g is not null").dropDuplicates(["g"]).select("g", "doc_id", "row_hash", F.col("n_shingles").alias("n"), "sig"), "reps")
-    keys = reps.select("g", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t")).select("g", "n", "t", _prefix_key(BASE).alias("key"))
-    counts = keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
-    members = materialize(keys.join(counts, "key"), "members")
+    leaves = materialize(forest(reps.select("g", "n", "sig"), percent), "forest")
+    counts = leaves.groupBy("key").agg(F.count("*").alias("rows"), F.greatest(F.count("*"), F.ceil(F.sum("n") / UNIT)).alias("k"))
+    members = materialize(leaves.join(counts.where("rows > 1").select("key", "k"), "key"), "members")
 
     # full sets of the members alone, from their texts
-    again = members.select("g").distinct().join(reps.select("g", "doc_id", "row_hash"), "g")
-    again = materialize(again, "again")
-    texts = source.join(F.broadcast(again) if again.count() <= BROADCAST_ROWS else again, (source["row_hash"] == again["row_hash"]) & source["doc_id"].eqNullSafe(again["doc_id"])).select("g", "text")
+    again = materialize(members.select("g").distinct().join(reps.select("g", "doc_id", "row_hash"), "g"), "again")
+    texts = source.join(few(again), (source["row_hash"] == again["row_hash"]) & source["doc_id"].eqNullSafe(again["doc_id"])).select("g", "text")
     sets = materialize(texts.dropDuplicates(["g"]).mapInArrow(_setter(width), "g bigint, shingles binary"), "sets")
 
     # 1: whole regions of the first trees, deeper where crowded
-    level = members.where(F.col("t") < FIRST)
-    regions, crowded = level.where(F.col("k") <= REGION).select(F.col("key").alias("region"), "g"), level.where(F.col("k") > REGION).select("t", "g")
-    for depth in DEPTHS:
-        if crowded.isEmpty():
-            break
-        deep = crowded.join(reps.select("g", "sig"), "g").select("t", "g", F.xxhash64(F.lit(depth), _prefix_key(depth)).alias("key"))
-        deep = materialize(deep.join(deep.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "key"), "deep")
-        regions = regions.union(deep.where(F.col("k") <= REGION).select(F.col("key").alias("region"), "g"))
-        crowded = deep.where(F.col("k") > REGION).select("t", "g", "key", "k")
-    if "key" in crowded.columns:  # equal to full depth: chunks; step 2 joins them
-        chunk = F.pmod(F.xxhash64("g"), F.ceil(F.col("k") * 2 / REGION))
-        regions = regions.union(crowded.select(F.xxhash64("key", chunk).alias("region"), "g"))
+    regions = members.where(F.col("t") < FIRST).select("region", "g")
     work = regions.join(sets, "g").select("region", "g", F.col("g").alias("name"), F.lit(-1).alias("side"), "shingles")
     links = materialize(_by_region(work, _solver(percent), "a bigint, b bigint"), "stars")
-    found = materialize(connected_components(links), "comps")
+    found = join_components(None, links)
 
     # 2: regions that still hold several components
-    named = members.join(found.withColumnRenamed("node", "g"), "g", "left").withColumn("name", F.coalesce("comp", "g")).drop("comp")
-    named = named.where((F.col("t") >= FIRST) | (F.col("k") > REGION))
+    named = members.join(found.select(F.col("node").alias("g"), F.col("comp").alias("name")), "g", "left").withColumn("name", F.coalesce("name", "g"))
+    named = named.where((F.col("t") >= FIRST) | (F.col("region") != F.col("key")))
     open_keys = named.groupBy("key").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo <> hi").select("key")
     named = materialize(named.join(open_keys, "key"), "open")
     rows = named.where(F.col("k") <= REGION).select(F.col("key").alias("region"), "t", "g", "n", "name", F.lit(-1).alias("side"))
     large = named.where(F.col("k") > REGION)
     if not large.isEmpty():
         rows = rows.union(_blocks(large))
-    sifted = _by_region(rows.join(reps.select("g", "sig"), "g"), _sifter(percent, AGREE), "region bigint, g bigint, name bigint, side int")
+    sifted = _by_region(rows.join(reps.select("g", "sig"), "g"), _sifter(percent), "region bigint, g bigint, name bigint, side int")
     sifted = materialize(sifted, "sifted")
-    more = _by_region(sifted.join(sets, "g"), _solver(percent), "a bigint, b bigint")
-    joined = materialize(connected_components(materialize(more, "stars")), "comps")
+    more = materialize(_by_region(sifted.join(sets, "g"), _solver(percent), "a bigint, b bigint"), "stars")
+    of = join_components(found, more)
 
-    of = found.withColumnRenamed("comp", "name").join(joined.select(F.col("node").alias("name"), "comp"), "name", "left").select(F.col("node").alias("g"), F.coalesce("comp", "name").alias("comp"))
-    of = of.union(joined.select(F.col("node").alias("g"), "comp").join(found.select(F.col("node").alias("g")), "g", "left_anti"))
-    rows = signed.select("doc_id", "row_hash", "n_shingles", "g").join(of, "g", "left").withColumn("comp", F.coalesce("comp", "g")).drop("g")
-    rows = materialize(rows, "rows")
+    rows = signed.select("doc_id", "row_hash", "n_shingles", "g").join(few(of.select(F.col("node").alias("g"), "comp")), "g", "left")
+    rows = materialize(rows.select("doc_id", "row_hash", "n_shingles", F.coalesce("comp", "g").alias("comp")), "rows")
     least = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
     out = rows.join(least, "comp", "left").select("doc_id", "row_hash", "n_shingles", "comp", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
-    for used in (members, again, sets, links, named, sifted, reps, signed):
+    for used in (leaves, members, again, sets, links, found, named, sifted, more, of, reps, signed):
         discard(used)
     return out
 
@@ -326,7 +383,7 @@ def _blocks(large: DataFrame) -> DataFrame:
     """Crowded regions in blocks of half REGION: members outside the largest component
     meet all blocks, members of it only blocks of the others."""
     half = REGION // 2
-    per = large.groupBy("key", "name").agg(F.count("*").alias("c"))
+    per = large.groupBy("key", "name").agg(F.greatest(F.count("*"), F.ceil(F.sum("n") / UNIT)).alias("c"))
     top = per.groupBy("key").agg(F.max(F.struct("c", "name")).alias("m"), F.sum("c").alias("all"))
     top = top.select("key", F.col("m.name").alias("main"), F.ceil(F.col("m.c") / half).cast("int").alias("n_main"), F.ceil((F.col("all") - F.col("m.c")) / half).cast("int").alias("n_rest"))
     rows = large.join(top, "key").withColumn("in_main", F.col("name") == F.col("main"))
@@ -338,17 +395,22 @@ def _blocks(large: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns, with one row of each component: that of the least
-    doc_id (of several texts with it, the least row_hash; of several rows with both, the
-    least hash of the other columns). Rows without words all stay, repeated ones too."""
-    near = near_duplicates(docs, width, percent)
-    winners = near.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("w"))
-    winners = winners.select(F.col("w.doc_id").alias("_kept_id"), F.col("w.row_hash").alias("_kept_hash"))
-    bare = F.col("text").isNull() | ~F.col("text").rlike(r"[^ \t-\r]")
-    # null flags: a hash passes over nulls, whichever column they are in
-    other = [x for c in docs.columns if c not in ("doc_id", "text") for x in (docs[c], docs[c].isNull())]
-    hashed = docs.where(~bare).withColumns({"_row_hash": F.xxhash64("doc_id", "text"), "_other_hash": F.xxhash64(F.lit(0), *other)})
-    least = hashed.groupBy(F.col("doc_id").alias("_least_id"), F.col("_row_hash").alias("_least_hash")).agg(F.min("_other_hash").alias("_kept_other"))
-    winners = winners.join(least, (F.col("_kept_hash") == F.col("_least_hash")) & F.col("_kept_id").eqNullSafe(F.col("_least_id")))
-    same = (F.col("_row_hash") == F.col("_kept_hash")) & (F.col("_other_hash") == F.col("_kept_other")) & F.col("doc_id").eqNullSafe(F.col("_kept_id"))
-    kept = hashed.join(winners, same, "left_semi").drop("_row_hash", "_other_hash")
-    return kept.dropDuplicates().union(docs.where(bare))
+    doc_id (null last; of several rows with it, the least hash of all they hold). Rows
+    without words all stay, repeated ones too. Extra columns of any type are carried along.
+    Empty in, empty out.
+
+    The rows are numbered once, so that texts are neither shuffled nor compared here.
+    """
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    at = {c: f"c{i}" for i, c in enumerate(names)}
+    tie = F.xxhash64(F.to_json(F.struct(*plain.columns)))
+    numbered = materialize(plain.withColumns({"row": F.monotonically_increasing_id(), "tie": tie}), "numbered")
+    texts = numbered.select(F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text"), "row")
+    near = near_duplicates(texts, width, percent, F.col("row")).where("comp is not null")
+    near = near.select("doc_id", F.col("row_hash").alias("row"), "comp").join(numbered.select("row", "tie"), "row")
+    near = materialize(near.select("comp", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "row").alias("place")), "places")
+    best = near.groupBy("comp").agg(F.min("place").alias("best"), F.count("*").alias("rows")).where("rows > 1").select("comp", "best")
+    gone = materialize(near.join(best, "comp").where("place <> best").select("place.row"), "gone")
+    kept = numbered.join(few(gone), "row", "left_anti")
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
