@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,17 +24,18 @@ def fold_ascii(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir where it is set.
 
-    Unset, a local master (tests) gets a temporary folder, any other master a
-    folder in the warehouse, which a cluster shares as well.
+    Unset, a local master (tests, one machine) gets a temporary folder, any other master a
+    folder in the warehouse, which a cluster shares as well. No setting is changed.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if spark.sparkContext.master.split("[")[0] == "local":
-            found = tempfile.mkdtemp(prefix="lumenfold-")
-        else:
-            found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lumenfold"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if not found and spark.sparkContext.master.split("[")[0] == "local":
+        found = _local_dir()
+    return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lumenfold").rstrip("/")
+
+
+@lru_cache(maxsize=1)
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="lumenfold-")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -1,17 +1,16 @@
 """Operator 1, fuzzy line dedup by MinHash, in SQL functions only.
 
-Distinct normalised lines get 95 minimum hashes of their 5-character shingles at every
-place, in 19 bands of 5. Links are confirmed by the exact Jaccard similarity of the same
-shingles, and union-find keeps one line per component. Two lines of similarity 0.8 share
-a band with probability 1 - (1 - 0.8^5)^19 = 0.9995, of 0.85 with 0.99999.
-
-Members of a bucket are compared with its least and its greatest line; after components
-are found, those outside a bucket's largest component are compared with all of it. So no
-link between members of a bucket is lost and no bucket's pairs are all written out.
-
-A comparison starts with a bound: each shingle sets one of BITS bits of its line, and each
-bit that differs takes a shingle that only one line has, so lines with too many such bits
-can't be similar. Pairs that fail it never leave the join; the rest meet on full sets.
+A line's shingles are its 5-character pieces at every place. Distinct normalised lines get
+48 minimum hashes of all their shingles, in 24 bands of 6 values each, any two bands with
+one value in common at most. Links are confirmed by the exact Jaccard similarity of the
+same shingles, and union-find keeps one line per component. Two lines of similarity 0.8
+share a band with probability 0.991, of 0.85 with 0.998, of 0.9 with 0.9998 (simulated).
+
+Each line is first compared with one hub, the least line of its buckets. A bucket that then
+still holds several components is open. Small ones are compared whole; in large ones, in
+every round, one more line meets all that are not in its component and leaves. What is open
+after ROUNDS rounds is compared whole: those outside a bucket's largest component against
+all of it, in blocks. So no link between members of a bucket is lost.
 """
 
 from __future__ import annotations
@@ -19,25 +18,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import connected_components, discard, materialize
-
-#: More than 99 values take the aggregate out of code generation (spark.sql.codegen.maxFields).
-VALUES, ROWS = 95, 5
-#: Bits of a line's mark, in longs of 64.
-WORDS = 16
-BITS = 64 * WORDS
+from lumenfold.llm.common import discard, few, join_components, materialize
+
+WIDTH = 5
+VALUES = 48
+#: Bands are shifts of one set of values whose differences are all distinct.
+BANDS = [[(2 * b + k) % VALUES for k in (0, 1, 4, 10, 12, 17)] for b in range(24)]
+#: Lines of at most so many shingle places get a second key for each band, of its first 2
+#: values: few shingles leave few different minima, and one that differs spoils many bands.
+SHORT = 12
+#: Shingles that one row carries to the minimum hashes.
+STRIDE = 4
+#: Members of an open bucket up to which it is compared whole at once.
+SMALL = 16
+#: Rounds of one hub an open bucket before blocks.
+ROUNDS = 3
 #: Rows outside a bucket's largest component that one part of it compares.
 BLOCK = 256
-#: Up to so many lines with candidates are broadcast to pick their texts, more are joined by a shuffle.
-BROADCAST_ROWS = 4_000_000
 
-# Odd multipliers of the hash family, from a rule.
-_MUL = [(48271 * (i + 1) ** 3 + 16807 * i) % (2**31 - 1) | 1 for i in range(VALUES)]
+# Permutations of the hash family: one constant of 64 bits each, from a rule; a third of the
+# values each reads the hash from its bit 0, 16 or 32 on.
+_XOR = [(i + 1) * 0x9E3779B97F4A7C15 % 2**64 - 2**63 for i in range(VALUES)]
+_FROM = [16 * (i % 3) for i in range(VALUES)]
 
 
 def normalize(line: Column) -> Column:
-    """Lower-cased, ends trimmed of white space."""
-    return F.btrim(F.lower(line), F.lit(" \t\n\x0b\x0c\r"))
+    """Lower-cased, ends trimmed of white space; bytes that are no UTF-8 are replaced."""
+    return F.btrim(F.lower(F.make_valid_utf8(line)), F.lit(" \t\n\x0b\x0c\r"))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -45,15 +52,12 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("doc_id", "line_no", normalize(F.col("line")).alias("norm"))
 
 
-def places(norm: str, width: int) -> Column:
-    """The shingles at all places; a shorter line is one shingle."""
-    every = F.regexp_extract_all(F.col(norm), F.lit(rf"(?s)(?=(.{{{width}}}))"), F.lit(1))
-    return F.when(F.length(norm) < width, F.array(F.col(norm))).otherwise(every)
-
+def shingles(norm: str) -> str:
+    """SQL of the distinct hashes of all shingles; a line shorter than WIDTH is one shingle.
 
-def shingles(norm: str, width: int) -> Column:
-    """Distinct hashes of all shingles."""
-    return F.array_distinct(F.transform(places(norm, width), lambda s: F.xxhash64(s)))
+    Four bytes a character make a shingle's place in the line known without a walk to it."""
+    return f"""transform(array(encode({norm}, 'UTF-32')), b -> array_distinct(transform(
+        sequence(0, greatest(length({norm}) - {WIDTH}, 0)), i -> xxhash64(substring(b, 4 * i + 1, {4 * WIDTH})))))[0]"""
 
 
 def band_keys(texts: DataFrame) -> DataFrame:
@@ -61,79 +65,107 @@ def band_keys(texts: DataFrame) -> DataFrame:
 
     Where texts is partitioned by line, as after a groupBy, nothing here is shuffled.
     """
-    rows = texts.select("line", F.explode(places("norm", 5)).alias("s"))
-    h = F.xxhash64("s").bitwiseAND(F.lit(2**31 - 1)).alias("h")
-    least = [F.min((F.col("h") * _MUL[i]).bitwiseAND(F.lit(2**44 - 1))).alias(f"m{i}") for i in range(VALUES)]
-    signed = rows.select("line", h).groupBy("line").agg(*least)
-    keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(VALUES // ROWS)])
-    return signed.select("line", F.explode(keys).alias("key"))
-
-
-def marks(texts: DataFrame) -> DataFrame:
-    """texts(line, norm), a row a line -> (line, mark): the bits its 5-character shingles set, then its shingle places."""
-    every = F.regexp_extract_all("norm", F.lit(r"(?s)(?=(.{5}))"), F.lit(1))
-    rows = texts.select("line", F.length("norm").alias("chars"), F.explode(F.when(F.length("norm") < 5, F.array("norm")).otherwise(every)).alias("s"))
-    rows = rows.select("line", "chars", F.xxhash64("s").alias("h"))
-    rows = rows.select("line", "chars", F.expr(f"h & {WORDS - 1}").alias("word"), F.expr("shiftleft(1L, cast(shiftright(h, 8) & 63 AS INT))").alias("bit"))
-    words = [F.coalesce(F.bit_or(F.when(F.col("word") == i, F.col("bit"))), F.lit(0).cast("bigint")) for i in range(WORDS)]
-    places = F.greatest(F.first("chars") - 4, F.lit(1)).cast("bigint")
-    return rows.groupBy("line").agg(F.array(*words, places).alias("mark"))
-
-
-def may_link(one: str, other: str, percent: int) -> Column:
-    """No bar to a similarity of percent: true for every pair that has it.
-
-    With d shingles in one line alone and sizes x and y, similarity p is
-    (x + y - d) / (x + y + d) >= p, so d * (100 + percent) <= (x + y) * (100 - percent).
-    Bits that differ are at most d, places at least the sizes.
-    """
-    differ = " + ".join(f"bit_count({one}[{i}] ^ {other}[{i}])" for i in range(WORDS))
-    return F.expr(f"({differ}) * {100 + percent} <= ({one}[{WORDS}] + {other}[{WORDS}]) * {100 - percent}")
+    wide = texts.select("line", F.encode("norm", "UTF-32").alias("b"), F.expr(f"greatest(length(norm) - {WIDTH}, 0)").alias("last"))
+    places = wide.select("line", "b", "last", F.explode(F.expr(f"sequence(0, last, {STRIDE})")).alias("i"))
+    # behind the last shingle it is hashed again, which no minimum notices
+    at = [f"4 * least(i + {k}, last) + 1" for k in range(STRIDE)]
+    hashed = places.select("line", "last", *[F.expr(f"xxhash64(substring(b, {x}, {4 * WIDTH}))").alias(f"h{k}") for k, x in enumerate(at)])
+
+    def value(v: int) -> Column:
+        return F.min(F.least(*[F.expr(f"shiftleft(h{k}, {_FROM[v]}) ^ ({_XOR[v]}L)") for k in range(STRIDE)])).alias(f"m{v}")
+
+    signed = hashed.groupBy("line").agg(F.max("last").alias("last"), *[value(v) for v in range(VALUES)])
+    key = lambda b, band: F.xxhash64(F.lit(b), *[f"m{v}" for v in band])
+    keys = F.array(*[key(b, band) for b, band in enumerate(BANDS)])
+    more = F.array(*[key(b, band[:2]) for b, band in enumerate(BANDS, len(BANDS))])
+    return signed.select("line", F.explode(F.when(F.col("last") < SHORT, F.concat(keys, more)).otherwise(keys)).alias("key"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) that are similar on the full sets of 5-character shingles."""
+    """Distinct pairs (a, b) that are similar on their full sets of shingles."""
     left = texts.select(F.col("line").alias("a"), F.col("norm").alias("ta"))
     right = texts.select(F.col("line").alias("b"), F.col("norm").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", shingles("ta", 5).alias("sa"), shingles("tb", 5).alias("sb"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared * 100 >= (F.size("sa") + F.size("sb") - shared) * percent).select("a", "b")
+    # lambdas name the sets and the count: plain columns would be made again at every use
+    alike = F.expr(
+        f"""transform(array(named_struct('x', {shingles("ta")}, 'y', {shingles("tb")})),
+            p -> transform(array(size(array_intersect(p.x, p.y))),
+                n -> n * 100 >= (size(p.x) + size(p.y) - n) * {percent})[0])[0]"""
+    )
+    return pairs.join(left, "a").join(right, "b").where(alike).select("a", "b")
+
+
+def _ordered(line: str, other: str) -> list[Column]:
+    return [F.least(line, other).alias("a"), F.greatest(line, other).alias("b")]
+
+
+def _open_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
+    """members(key, line) of the buckets that hold several components, with comp and the bucket's size k."""
+    named = members.join(found.select(F.col("node").alias("line"), "comp"), "line", "left").withColumn("comp", F.coalesce("comp", "line"))
+    several = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("k")).where("x <> y").select("key", "k")
+    return named.join(several, "key").select("key", "line", "comp", "k")
+
+
+def _largest(named: DataFrame) -> DataFrame:
+    """(key, main, rest): a bucket's largest component and how many members are outside it."""
+    size = named.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("all"))
+    return size.select("key", F.col("m.comp").alias("main"), (F.col("all") - F.col("m.c")).alias("rest"))
+
+
+def _all_blocks(named: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each bucket: those outside its largest component with all of other components."""
+    parts = _largest(named).select("key", "main", F.ceil(F.col("rest") / BLOCK).cast("int").alias("parts"))
+    named = named.join(parts, "key")
+    out = named.where("comp <> main").select("key", F.pmod(F.xxhash64("line"), F.col("parts")).cast("int").alias("part"), F.col("line").alias("one"), F.col("comp").alias("own"))
+    every = named.select("key", "line", "comp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return out.join(every, ["key", "part"]).where("own <> comp").select(*_ordered("one", "line")).distinct()
 
 
 def line_components(lines: DataFrame, percent: int = 80) -> DataFrame:
     """lines(line, norm), repeats and all -> (line, comp) of the lines that have links."""
-    texts = lines.groupBy("line").agg(F.first("norm").alias("norm"))
     bucket = Window.partitionBy("key")
-    members = band_keys(texts).withColumns({"lo": F.min("line").over(bucket), "hi": F.max("line").over(bucket)}).where("lo <> hi")
-    members = materialize(members, "members")
+    keys = band_keys(lines.groupBy("line").agg(F.first("norm").alias("norm")))
+    members = materialize(keys.withColumns({"hub": F.min("line").over(bucket), "_last": F.max("line").over(bucket)}).where("hub <> _last").drop("_last"), "members")
     some = materialize(members.select("line").distinct(), "some")
-    few = F.broadcast(some) if some.count() <= BROADCAST_ROWS else some
-    texts = materialize(lines.join(few, "line", "left_semi").distinct(), "texts")
-
-    ends = members.select("line", F.explode(F.array("lo", "hi")).alias("end")).where("line <> end").select(F.least("line", "end").alias("a"), F.greatest("line", "end").alias("b")).distinct()
-    marked = materialize(marks(texts), "marks")
-    left, right = marked.toDF("a", "mark_a"), marked.toDF("b2", "mark_b")
-    likely = ends.join(left, "a").join(right, (F.col("b") == F.col("b2")) & may_link("mark_a", "mark_b", percent)).select("a", "b")
-    links = materialize(_verified(likely, texts, percent), "links")
-    found = materialize(connected_components(links), "comps")
-
-    # what the ends did not join: those outside a bucket's largest component against all
-    named = members.select("key", "line").join(found.withColumnRenamed("node", "line"), "line", "left").withColumn("comp", F.coalesce("comp", "line"))
-    open_ = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("k")).where("x <> y and k > 2").select("key")
-    open_lines = named = materialize(named.join(open_, "key").join(marked, "line"), "open")
-    size = named.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("all"))
-    parts = size.select("key", F.col("m.comp").alias("main"), F.ceil((F.col("all") - F.col("m.c")) / BLOCK).cast("int").alias("parts"))
-    named = named.join(parts, "key")
-    out = named.where("comp <> main").withColumn("part", F.pmod(F.xxhash64("line"), F.col("parts")).cast("int")).select("key", "part", F.col("line").alias("a"), F.col("comp").alias("ca"), F.col("mark").alias("mark_a"))
-    every = named.select(F.col("key").alias("k2"), "line", "comp", "mark", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p2"))
-    meet = (F.col("key") == F.col("k2")) & (F.col("part") == F.col("p2")) & (F.col("ca") != F.col("comp")) & may_link("mark_a", "mark", percent)
-    pairs = out.join(every, meet).select(F.least("a", "line").alias("a"), F.greatest("a", "line").alias("b")).distinct()
-    pairs = pairs.join(ends, ["a", "b"], "left_anti")
-    more = _verified(pairs, texts, percent)
-    comps = connected_components(links.union(materialize(more, "links")))
-    for used in (members, texts, found, open_lines, some, marked):
-        discard(used)
-    return comps.select(F.col("node").alias("line"), "comp")
+    texts = materialize(lines.join(few(some), "line", "left_semi").groupBy("line").agg(F.first("norm").alias("norm")), "texts")
+    used = [members, some, texts]
+
+    def linked(pairs: DataFrame, found: DataFrame | None) -> DataFrame:
+        links = materialize(_verified(pairs, texts, percent), "links")
+        out = join_components(found, links)
+        used.extend([links, out])
+        return out
+
+    tested = materialize(members.where("line <> hub").groupBy("line").agg(F.min("hub").alias("hub")).select(*_ordered("line", "hub")).distinct(), "pairs")
+    used.append(tested)
+    found = linked(tested, None)
+    members = members.select("key", "line")
+    for turn in range(ROUNDS + 1):
+        named = materialize(_open_buckets(members, found), "open")
+        used.append(named)
+        if named.isEmpty():
+            break
+        met, members = _all_blocks(named.where(F.col("k") <= SMALL)), named.where(F.col("k") > SMALL)
+        if turn == ROUNDS:
+            met = _all_blocks(named)
+        elif not members.isEmpty():
+            outside = members.join(_largest(members), "key").where("comp <> main")
+            hubs = outside.groupBy("key").agg(F.min(F.struct(F.xxhash64("line", F.lit(turn)).alias("h"), "line", "comp")).alias("m")).select("key", F.col("m.line").alias("hub"), F.col("m.comp").alias("own"))
+            hubs = materialize(hubs, "hubs")
+            used.append(hubs)
+            met = met.union(members.join(hubs, "key").where("comp <> own").select(*_ordered("line", "hub")).distinct())
+            # a hub has met all others of its bucket
+            members = members.join(hubs, "key").where("line <> hub").select("key", "line")
+        pairs = materialize(met.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        used.append(pairs)
+        tested = tested.union(pairs)
+        found = linked(pairs, found)
+        if turn < ROUNDS and members.isEmpty():
+            break
+    out = found.select(F.col("node").alias("line"), "comp")
+    for table in used:
+        if table is not found:
+            discard(table)
+    return out
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -141,18 +173,19 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     Of each component (equal lines included) the line of the least (doc_id, line_no)
     stays. Blank lines all stay and keep themselves. Null and empty texts: none, and one
-    blank line. Repeated rows: the first of equals stays, and so do rows that share
-    its doc_id and line_no. A null doc_id orders last. Empty in, empty out.
+    blank line. Very long lines are read whole. Repeated rows: the first of equals stays,
+    and so do rows that share its doc_id and line_no. A null doc_id orders last. Other
+    columns of docs are ignored, whatever their names. Empty in, empty out.
     """
     lines = lines_of(docs).withColumn("line", F.when(F.col("norm") != "", F.xxhash64("norm")))
-    narrow = materialize(lines.select("doc_id", "line_no", "line"), "lines")
     comps = line_components(lines.where("line is not null").select("line", "norm"), percent)
-    rows = narrow.join(comps, "line", "left").withColumn("comp", F.coalesce("comp", "line"))
-    rows = materialize(rows, "rows")
-    best = rows.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")).alias("w"))
+    rows = lines.select("doc_id", "line_no", "line").join(few(comps), "line", "left")
+    rows = materialize(rows.select("doc_id", "line_no", F.coalesce("comp", "line").alias("comp")), "rows")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
+    best = rows.where("comp is not null").groupBy("comp").agg(F.count("*").alias("n"), F.min(place).alias("w")).where("n > 1").select("comp", "w")
     out = rows.join(best, "comp", "left")
-    blank = F.col("comp").isNull()
-    keep_doc, keep_line = F.when(blank, F.col("doc_id")).otherwise(F.col("w.doc_id")), F.when(blank, F.col("line_no")).otherwise(F.col("w.line_no"))
+    alone = F.col("w").isNull()
+    keep_doc, keep_line = F.when(alone, F.col("doc_id")).otherwise(F.col("w.doc_id")), F.when(alone, F.col("line_no")).otherwise(F.col("w.line_no"))
     return out.select("doc_id", "line_no", (keep_doc.eqNullSafe(F.col("doc_id")) & (keep_line == F.col("line_no"))).alias("kept"), keep_doc.alias("keep_doc_id"), keep_line.alias("keep_line_no"))
 
 

@@ -47,9 +47,11 @@ def test_near_duplicates(docs, rows, width):
     assert sorted(repr(tuple(r)) for r in got) == near_want(rows, width)
 
 
-def test_near_crowded_regions(spark, monkeypatch):
+@pytest.mark.parametrize("region, held", [(8, 65_536), (30, 5)])
+def test_near_crowded_regions(spark, monkeypatch, region, held):
     """Regions beyond the limit go deeper, and block by block: nothing is lost."""
-    monkeypatch.setattr(near_dedup, "REGION", 8)
+    monkeypatch.setattr(near_dedup, "REGION", region)
+    monkeypatch.setattr(near_dedup, "HELD", held)
     base = prose(9, 100)
     some = [base] + [edited(base, i) for i in range(0, 60, 2)] + [edited(edited(edited(base, i), i + 9), i + 18) for i in range(40)]
     rows = [(i, t) for i, t in enumerate(some)]
@@ -57,6 +59,16 @@ def test_near_crowded_regions(spark, monkeypatch):
     assert sorted(repr(tuple(r)) for r in got) == near_want(rows, 4)
 
 
+@pytest.mark.parametrize("percent", [50, 65, 90])
+def test_near_other_thresholds(spark, percent):
+    base = prose(19, 60)
+    some = [base] + [edited(base, i) for i in range(8)] + [edited(edited(edited(base, i), i + 20), i + 40) for i in range(10)] + [prose(20 + i, 30) for i in range(5)]
+    sets = [brute.shingles(t, 4) for t in some]
+    comp = brute.components(len(some), [(a, b) for a in range(len(some)) for b in range(a) if brute.similar(sets[a], sets[b], percent)])
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(some)), "doc_id bigint, text string"), 4, percent)
+    assert [r.component_id for r in sorted(got.collect())] == comp
+
+
 def test_keep_one(docs, rows):
     kept = near_dedup.keep_one(docs, 5).collect()
     assert kept[0].asDict().keys() == docs.first().asDict().keys()
@@ -113,12 +125,21 @@ def test_components(spark):
     assert {got[i] for i in range(41)} == {0} and {got[i] for i in (100, 101, 102)} == {100}
 
 
-def test_marks_never_bar_a_link(spark):
-    """The bits of two lines differ in no more places than their shingles do, short, repetitive and long lines included."""
-    texts = ["abc", "abcd", "a" * 40, prose(5, 30), edited(prose(5, 30), 3), prose(5, 31), prose(6, 400), edited(prose(6, 400), 9), prose(7, 30)]
-    marked = line_dedup.marks(spark.createDataFrame(list(enumerate(texts)), "line bigint, norm string"))
-    pairs = marked.toDF("a", "x").crossJoin(marked.toDF("b", "y")).select("a", "b", line_dedup.may_link("x", "y", 80).alias("may")).collect()
-    sets = [{t[i : i + 5] for i in range(len(t) - 4)} or {t} for t in texts]
-    assert len(pairs) == len(texts) ** 2
-    assert all(r.may for r in pairs if brute.similar(sets[r.a], sets[r.b]))
-    assert not next(r.may for r in pairs if (r.a, r.b) == (3, 8))
+@pytest.mark.parametrize("small, rounds", [(16, 3), (2, 2), (2, 0)])
+def test_line_buckets_in_rounds_and_blocks(spark, monkeypatch, small, rounds):
+    """Large groups whose members drift apart, hub by hub and in blocks: what brute force says."""
+    monkeypatch.setattr(line_dedup, "SMALL", small)
+    monkeypatch.setattr(line_dedup, "ROUNDS", rounds)
+    monkeypatch.setattr(line_dedup, "BLOCK", 4)
+    r, texts = random.Random(8), []
+    for base in (prose(70, 40), prose(71, 40)):
+        for _ in range(40):
+            w = base.split(" ")
+            for _ in range(r.randrange(0, 5)):
+                w[r.randrange(len(w))] = r.choice(["zz", "yy", "xx"])
+            texts.append(" ".join(w))
+    texts = sorted(set(texts))
+    sets = [{t[i : i + 5] for i in range(len(t) - 4)} for t in texts]
+    comp = brute.components(len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if brute.similar(sets[a], sets[b])])
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert [x.keep_doc_id for x in sorted(got)] == comp
