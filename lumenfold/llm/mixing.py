@@ -31,8 +31,9 @@ def water_fill(sources: DataFrame, weights: tuple[float, ...], share: float, cap
     # the others stand is what is left over their weights
     up = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
     rows = rows.withColumn("full", F.coalesce(F.sum("most").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    rows = rows.withColumn("open", F.sum("weight").over(up.rowsBetween(0, Window.unboundedFollowing)))
     everything = Window.partitionBy()
+    before = F.coalesce(F.sum("weight").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rows = rows.withColumn("open", F.sum("weight").over(everything) - before)
     rows = rows.withColumn("level", (F.sum("source_size").over(everything) * F.lit(float(share)) - F.col("full")) / F.col("open"))
     fits = F.col("level") * F.col("weight") <= F.col("most")
     rows = rows.withColumn("level", F.min(F.when(fits, F.struct(F.col("most") / F.col("weight"), "level"))).over(everything)["level"])
@@ -57,14 +58,14 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def hash_of(doc_id: Column) -> Column:
-    """48 bits of the md5 of doc_id as text; null counts as empty."""
-    text = F.coalesce(doc_id.cast("string"), F.lit(""))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("bigint")
+def hash_of(doc_id: Column, text: Column) -> Column:
+    """48 bits of the md5 of doc_id as text, "|" and the text; null counts as empty."""
+    whole = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(whole.cast("binary")), 1, 12), 16, 10).cast("bigint")
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id")).alias("h"))
+    return docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id"), F.col("text")).alias("h"))
 
 
 #: Copies of a row by its hash h and its source's plan.
@@ -78,9 +79,10 @@ def mix(rows: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0
     A target at or above its source's size takes every document once and spends the
     rest on second copies; below it, on first copies. Copies go to the least hashes.
     The last document goes in where that comes nearer the target, so a source ends at
-    most half a document from its target. Rows of one hash (repeated rows) go in or out
-    together. A source without words has target 0 and takes nothing. Reruns agree:
-    the hash is md5 of doc_id. Empty in, empty out.
+    most half a document from its target. Rows of one hash (repeated rows: one doc_id and
+    text) go in or out together. Null and empty texts have size 0, very long ones count
+    whole. A null source is a source. A source without words has target 0 and takes
+    nothing. Reruns agree: the hash is md5 of doc_id and text. Empty in, empty out.
     """
     rows = materialize(rows, "sizes")
     plan, few = thresholds(rows, weights, share, cap)
@@ -128,7 +130,7 @@ def mix_rows(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at = {c: F.col(f"c{names.index(c)}") for c in ("doc_id", "text", "source")}
-    rows = plain.withColumns({"_source": at["source"], "_size": size_of(at["text"]), "_h": hash_of(at["doc_id"])})
+    rows = plain.withColumns({"_source": at["source"], "_size": size_of(at["text"]), "_h": hash_of(at["doc_id"], at["text"])})
     plan, few = thresholds(rows.select(F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_h").alias("h")), weights, share, cap)
     named = rows.withColumnsRenamed({"_source": "source", "_h": "h"}).drop("_size")
     out = _by_source(named, plan, few).withColumn("_n", F.explode(F.expr("array_repeat(0, " + COPIES + ")")))

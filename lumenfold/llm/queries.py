@@ -98,7 +98,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
 _OP4 = """
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
-    ('0x' || substr(md5(coalesce(cast(doc_id AS VARCHAR), '')), 1, 12))::BIGINT AS h FROM documents),
+    ('0x' || substr(md5(coalesce(cast(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 12))::BIGINT AS h FROM documents),
 s AS (SELECT source, sum(size)::DOUBLE AS source_size FROM d GROUP BY source),
 w AS (SELECT *, 2.0 * source_size AS most,
     list_extract([3.0, 1.0, 2.0], ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT)::DOUBLE AS weight FROM s),
@@ -121,4 +121,32 @@ WITH d AS (SELECT doc_id, {_FOLD} AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
   doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256 FROM d"""
 
-ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": _OP2, "op3_url_filters": _OP3, "op4_mix_sources": _OP4, "op9_exact_dedup": _OP9}
+_OP6 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_FOLD}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(cast(item_id AS VARCHAR), '') AS item, w, least(10, len(w)) AS n
+  FROM (SELECT item_id, regexp_extract_all({_FOLD}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark) WHERE len(w) > 0),
+windows_ AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM b, unnest(range(1, len(w) - n + 2)) t(i)),
+grams AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM d, (SELECT DISTINCT n FROM b), unnest(range(1, len(w) - n + 2)) t(i)),
+hits AS (SELECT r, i, n, item FROM grams JOIN windows_ USING (n, g)),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""
+
+# every pair that shares a shingle, on distinct shingle sets; a document's component by its links' closure
+_OP8 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_FOLD}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS s FROM d),
+g AS (SELECT md5(array_to_string(s, chr(10))) AS g, any_value(s) AS s FROM s WHERE len(s) > 0 GROUP BY 1),
+e AS (SELECT g, len(s) AS n, unnest(s) AS x FROM g),
+links AS (SELECT a.g AS a, b.g AS b FROM e a JOIN e b ON a.x = b.x AND a.g <> b.g GROUP BY a.g, b.g, a.n, b.n
+  HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach(a, b) AS (SELECT g, g FROM g UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+ids AS (SELECT md5(array_to_string(s, chr(10))) AS g, min(doc_id) AS least FROM s WHERE len(s) > 0 GROUP BY 1),
+comp AS (SELECT a AS g, min(least) AS component FROM reach JOIN ids ON b = g GROUP BY a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, CASE WHEN len(s) = 0 THEN doc_id ELSE component END AS component_id,
+  CASE WHEN len(s) = 0 THEN true ELSE doc_id = component END AS kept
+FROM s LEFT JOIN comp ON comp.g = md5(array_to_string(s, chr(10)))"""
+
+ORACLE_SQL: dict[str, str] = {"op6_decontamination": _OP6, "op8_near_dedup": _OP8, "op2_chat_formatting": _OP2, "op3_url_filters": _OP3, "op4_mix_sources": _OP4, "op9_exact_dedup": _OP9}
