@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm.common import materialize
 
-#: Steps of the loop: as many as shards up to this. Over n shards the loop makes
-#: 1/1 + 1/2 + ... + 1/n jumps on average (15 for a million); 200 has odds under 1e-100.
-MAX_JUMPS = 200
+#: Steps that are tried first. Over n shards the loop makes 1/1 + 1/2 + ... + 1/n jumps on
+#: average (15 for a million). A key that needs more goes on with as many as there are shards.
+JUMPS = 200
 
 
 def jump_hash(key: str, shards: int) -> Column:
@@ -25,16 +25,18 @@ def jump_hash(key: str, shards: int) -> Column:
     two64 = "18446744073709551616BD"
     start = f"pmod(cast(coalesce({key}, 0) as decimal(38,0)), {two64})"
     step = f"""pmod(cast(s.k * 2862933555777941757BD + 1BD as decimal(38,0)), {two64})"""
-    jump = "cast(floor((s.j + 1) * (2147483648D / (cast(floor(k2 / 8589934592BD) as double) + 1D))) as bigint)"
-    return F.expr(
-        f"""cast(aggregate(sequence(1, {min(shards, MAX_JUMPS)}),
-            named_struct('k', cast({start} as decimal(38,0)), 'b', 0L, 'j', 0L),
-            (s, i) -> if(s.j >= {shards}L, s,
-              transform(array(named_struct('s', s, 'k2', cast({step} as decimal(38,0)))),
-                x -> named_struct('k', x.k2, 'b', x.s.j, 'j',
-                  {jump.replace('s.j + 1', 'x.s.j + 1').replace('k2', 'x.k2')}))[0]),
-            s -> s.b) as int)"""
-    )
+    jump = "cast(floor((x.s.j + 1) * (2147483648D / (cast(floor(x.k2 / 8589934592BD) as double) + 1D))) as bigint)"
+    state = f"named_struct('k', cast({start} as decimal(38,0)), 'b', 0L, 'j', 0L)"
+
+    def jumps(most: int, begin: str) -> str:
+        return f"""aggregate(sequence(1, {most}), {begin}, (s, i) -> if(s.j >= {shards}L, s,
+            transform(array(named_struct('s', s, 'k2', cast({step} as decimal(38,0)))),
+              x -> named_struct('k', x.k2, 'b', x.s.j, 'j', {jump}))[0]))"""
+
+    if shards <= JUMPS:
+        return F.expr(f"cast({jumps(shards, state)}.b as int)")
+    whole = f"transform(array({jumps(JUMPS, state)}), d -> if(d.j >= {shards}L, d, {jumps(shards, 'd')}))[0]"
+    return F.expr(f"cast({whole}.b as int)")
 
 
 def shard(docs: DataFrame, shards: int = 8, ranges: int | None = None) -> DataFrame:
@@ -44,7 +46,8 @@ def shard(docs: DataFrame, shards: int = 8, ranges: int | None = None) -> DataFr
     0). Law "key": doc_id and the number of shards decide alone, and one more shard
     takes rows only into itself. Equal doc_ids share a shard; a null doc_id goes
     where key 0 goes. slot numbers a shard's rows from 0 without gaps in the order of
-    doc_id, nulls first; repeated rows take consecutive slots. Empty in, empty out.
+    doc_id, nulls first; repeated rows take consecutive slots. Very long texts count whole.
+    Other columns are ignored, whatever their names. Empty in, empty out.
     """
     spark = docs.sparkSession
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
