@@ -145,7 +145,12 @@ def read_back(formatted: pd.Series, spans: pd.Series) -> pd.DataFrame:
 
 
 def chat_digest(conversations: DataFrame) -> DataFrame:
-    """One row per conversation: its id and what read_back() finds in its formatted text."""
+    """One row per conversation: its id and what read_back() finds in its formatted text.
+
+    Null and empty texts and roles are empty turns, very long texts are formatted whole.
+    Turns tie by role, then text; repeated rows are turns each. A null conv_id is a
+    conversation. Other columns are ignored, whatever their names. Empty in, empty out.
+    """
     trees = materialize(linear_trees(conversations), "messages")
     formatted = format_trees(trees).withColumn("conv_id", F.regexp_extract("leaf", r"^(.*):\d+$", 1))
     out = formatted.select(F.expr("try_cast(conv_id as bigint)").alias("conv_id"), F.pandas_udf(read_back, FOUND)("formatted", "loss_spans").alias("r"))

@@ -48,7 +48,8 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", partitions: int | None =
     identical after lower-casing A-Z; null counts as empty. Ties: repeated rows of one
     doc_id are separate members of their group, and all rows that bear keep_id are
     kept. A null doc_id never wins unless its whole group has none (keep_id is then
-    null and kept true). An empty table gives no rows; other columns are ignored.
+    null and kept true). Very long texts are compared whole. An empty table gives no rows;
+    other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -107,7 +107,8 @@ def judge(pages: DataFrame, rules: list[Rule], default_allow: bool = True, key:
     The canonical URL is "." + host + path. Of the rules that fit, the longest name
     wins, a block before an allow of the same name; with none, rule is null and the
     verdict is the default. A null URL or one without "://" has empty host and path.
-    Repeated rows are judged each; other columns are ignored.
+    Very long URLs are followed whole. Repeated rows and null ids are judged each; other
+    columns are ignored, whatever their names. Empty in, empty out.
     """
     ranked = sorted(rules, key=lambda r: (-len(r.name), r.allow, r.name))
     machine = Automaton([r.glob for r in ranked])
