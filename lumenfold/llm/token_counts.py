@@ -9,7 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+from lumenfold.llm.common import materialize
+
+#: A file of the installed public vocabularies, or the path of any other rank file.
+TOKENIZER = "byte_bpe_50k.tiktoken"
 #: Lengths a block of the two-level suffix sums holds.
 BLOCK = 1024
 
@@ -20,13 +23,17 @@ def _encoder(path: str):
     import public_tokenizers
     import tiktoken
 
-    with open(path, "rb") as f:
+    with open(path if "/" in path else public_tokenizers.path(path), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_lengths(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """doc_id, n_tokens of every whole text; a null text has 0 tokens."""
+    """doc_id, n_tokens of every whole text; a null or empty text has 0 tokens.
+
+    Very long texts are encoded whole. A row for each row, repeated ones and null doc_ids
+    too; other columns are ignored. The vocabulary file must be there on every executor.
+    """
 
     @F.pandas_udf("bigint")
     def length(texts: pd.Series) -> pd.Series:
@@ -44,10 +51,13 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     truncated_tokens: all documents' tokens when each is cut at n_tokens.
 
     Rows are summed before any shuffle; suffix sums run within blocks of lengths and
-    then over blocks, so no task meets more than a block of lengths or all blocks.
+    then over blocks, so no task meets more than a block of lengths or all blocks. The
+    histogram is written before both read it, so that texts are encoded once. Null n_tokens
+    count as 0, repeated rows each, equal lengths in one row; other columns are ignored.
     Empty in, empty out.
     """
-    hist = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("block", F.expr(f"n_tokens div {BLOCK}"))
+    by_length = lengths.groupBy(F.coalesce("n_tokens", F.lit(0).cast("bigint")).alias("n_tokens")).agg(F.count("*").alias("n_docs"))
+    hist = materialize(by_length, "histogram").withColumn("block", F.expr(f"n_tokens div {BLOCK}"))
     blocks = hist.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     after = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
