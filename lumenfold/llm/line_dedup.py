@@ -1,10 +1,10 @@
 """Operator 1, fuzzy line dedup by MinHash, in SQL functions only.
 
 A line's shingles are its 5-character pieces at every place. Distinct normalised lines get
-48 minimum hashes of all their shingles, in 24 bands of 6 values each, any two bands with
+60 minimum hashes of all their shingles, in 30 bands of 7 values each, any two bands with
 one value in common at most. Links are confirmed by the exact Jaccard similarity of the
 same shingles, and union-find keeps one line per component. Two lines of similarity 0.8
-share a band with probability 0.991, of 0.85 with 0.998, of 0.9 with 0.9998 (simulated).
+share a band with probability 0.991, of 0.85 with 0.999, of 0.9 with 0.9999 (simulated).
 
 Each line is first compared with one hub, the least line of its buckets. A bucket that then
 still holds several components is open. Small ones are compared whole; in large ones, in
@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from lumenfold.llm.common import discard, few, join_components, materialize
 
 WIDTH = 5
-VALUES = 48
+VALUES = 60
 #: Bands are shifts of one set of values whose differences are all distinct.
-BANDS = [[(2 * b + k) % VALUES for k in (0, 1, 4, 10, 12, 17)] for b in range(24)]
+BANDS = [[(2 * b + k) % VALUES for k in (0, 1, 4, 10, 18, 23, 25)] for b in range(30)]
 #: Lines of at most so many shingle places get a second key for each band, of its first 2
 #: values: few shingles leave few different minima, and one that differs spoils many bands.
 SHORT = 12
