@@ -4,37 +4,37 @@ A word that the model knows scores by its log frequency in each language. An uns
 word falls back to its character n-grams of 5, 4, 3, 2 and at last 1 characters: the
 longest order of which the model knows any n-gram scores it.
 
-The model is fitted on a bounded sample of labelled rows (SAMPLE_DOCS a language, by
-hash of doc_id, the MAX_LANGS most frequent languages) and keeps at most MAX_WORDS words and MAX_GRAMS n-grams, so that what
-is broadcast has a fixed bound. Prediction reads every whole text.
+The model is fitted on a bounded sample of labelled rows, SAMPLE_DOCS of each language by
+hash of doc_id, and keeps every language, word and n-gram of that sample: nothing is cut.
+Words and n-grams are known by 64-bit hashes. Prediction reads every whole text.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import materialize
+from lumenfold.llm.common import few, materialize
 
-SAMPLE_DOCS, MAX_LANGS, MAX_WORDS, MAX_GRAMS, ORDERS = 1000, 200, 120_000, 80_000, (5, 4, 3, 2, 1)
-#: Words longer than this are scored by n-grams of their pieces of this length.
-PIECE = 40
+#: Labelled rows of each language that the model is fitted on.
+SAMPLE_DOCS = 1000
+ORDERS = (5, 4, 3, 2, 1)
 FLOOR = 0.5
-#: Unseen words whose scores a Python worker keeps.
-CACHE = 30_000
-WORDS = re.compile(r"[^\W\d_]+")
+#: Characters of text that are scored at once, unless one text is longer.
+CHARS = 500_000
+WORDS = regex.compile(r"[\p{L}\p{M}]+")
 
 
 def words_of(text: str) -> list[str]:
-    found = WORDS.findall(text.lower())
-    if any(len(w) > PIECE for w in found):
-        found = [w[i : i + PIECE] for w in found for i in range(0, len(w), PIECE)]
-    return found
+    """Runs of letters and combining marks, lower-cased."""
+    return WORDS.findall(text.lower())
 
 
 def has_letter(text: str | None) -> bool:
@@ -46,91 +46,131 @@ def grams_of(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
+def hash_of(strings: list[str]) -> np.ndarray:
+    return pd.util.hash_array(np.array(strings, object)).view(np.int64) if strings else np.zeros(0, np.int64)
+
+
 class Model:
-    """Log frequencies less their mean: a row of one matrix for each known word and n-gram, a column a language."""
-
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]):
-        self.langs, self.unseen = langs, {}
-        width = len(langs)
-        totals = {0: np.full(width, 1.0)} | {n: np.full(width, 1.0) for n in ORDERS}
-        for v in words.values():
-            totals[0] += v
-        for g, v in grams.items():
-            totals[len(g)] += v
-        rows = [np.log((v + FLOOR) / (totals[0] + FLOOR * max(1, len(words)))) for v in words.values()]
-        rows += [np.log((v + FLOOR) / (totals[len(g)] + FLOOR * max(1, len(grams)))) for g, v in grams.items()]
-        matrix = np.array(rows).reshape(len(rows), width)
-        self.matrix = (matrix - matrix.mean(axis=1, keepdims=True)).astype(np.float32) if width else matrix
-        self.words = {w: i for i, w in enumerate(words)}
-        self.grams = {g: i for i, g in enumerate(grams, len(words))}
-
-    def unseen_word(self, w: str) -> np.ndarray:
-        """Mean of the longest n-grams known; zeros where none is."""
-        got = self.unseen.get(w)
-        if got is None:
-            got = np.zeros(len(self.langs), np.float32)
-            for n in ORDERS:
-                known = [i for g in grams_of(w, n) if (i := self.grams.get(g)) is not None]
-                if known:
-                    got = self.matrix[known].mean(axis=0)
-                    break
-            if len(self.unseen) >= CACHE:
-                self.unseen.clear()
-            self.unseen[w] = got
-        return got
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text) if text else []
-        if not words or not self.langs or not any(c.isalpha() for w in words for c in w):
-            return "und", 0.0
-        sums, known, times = np.zeros(len(self.langs)), [], []
-        for w, n in Counter(words).items():
-            i = self.words.get(w)
-            if i is None:
-                sums += n * self.unseen_word(w)
-            else:
-                known.append(i)
-                times.append(n)
-        sums += np.array(times, np.float64) @ self.matrix[np.array(known, np.int64)]
-        odds = np.exp(sums - sums.max())
-        best = int(odds.argmax())
-        return self.langs[best], float(odds[best] / odds.sum())
+    """Log frequencies: for words (order 0) and n-grams of each order a floor per language,
+    and for each known key what the languages that have it score above their floor."""
+
+    def __init__(self, counts: pa.Table):
+        """counts(order, key, lang, n): key the hash of a word or n-gram of that order, n above 0."""
+        self.langs = sorted(pc.unique(counts["lang"]).to_pylist())
+        lang = pc.index_in(counts["lang"], value_set=pa.array(self.langs, pa.string())).to_numpy()
+        order, key, n = (counts[c].to_numpy() for c in ("order", "key", "n"))
+        rows = {o: np.flatnonzero(order == o) for o in (0, *ORDERS)}
+        rows = {o: r[np.lexsort((lang[r], key[r]))] for o, r in rows.items()}
+        known = {o: len(np.unique(key[r])) for o, r in rows.items()}
+        grams = sum(known[o] for o in ORDERS)
+        self.keys, self.first, self.at, self.above, self.floor = {}, {}, {}, {}, {}
+        for o, r in rows.items():
+            total = 1 + np.bincount(lang[r], n[r], len(self.langs))
+            self.floor[o] = np.log(FLOOR / (total + FLOOR * max(1, known[o] if o == 0 else grams)))
+            self.keys[o], first = np.unique(key[r].astype(np.int64), return_index=True)
+            self.first[o] = np.append(first, len(r)).astype(np.int64)
+            self.at[o], self.above[o] = lang[r].astype(np.int32), np.log((n[r] + FLOOR) / FLOOR).astype(np.float32)
+
+    def _known(self, order: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in hashes that the order knows, their scores: a row each, a column a language)."""
+        keys = self.keys[order]
+        row = np.minimum(np.searchsorted(keys, hashes), max(0, len(keys) - 1))
+        at = np.flatnonzero(keys[row] == hashes) if len(keys) else np.zeros(0, np.int64)
+        first, n = self.first[order][row[at]], self.first[order][row[at] + 1] - self.first[order][row[at]] if len(at) else at
+        out = np.tile(self.floor[order], (len(at), 1))
+        cell = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n) if len(at) else at
+        out[np.repeat(np.arange(len(at)), n), self.at[order][cell]] += self.above[order][cell]
+        return at, out
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """A row for each word, a column for each language; all alike where nothing is known."""
+        out = np.zeros((len(words), len(self.langs)))
+        at, rows = self._known(0, hash_of(words))
+        out[at] = rows
+        left = np.setdiff1d(np.arange(len(words)), at)
+        for n in ORDERS:
+            if not len(left):
+                break
+            grams = [grams_of(words[k], n) for k in left]
+            owner = np.repeat(np.arange(len(left)), [len(g) for g in grams])
+            at, rows = self._known(n, hash_of([g for x in grams for g in x]))
+            owner = owner[at]
+            mine, start, times = np.unique(owner, return_index=True, return_counts=True)
+            if len(mine):  # the mean of the known n-grams of this order
+                out[left[mine]] = np.add.reduceat(rows, start, axis=0) / times[:, None]
+            left = np.delete(left, mine)
+        return out
+
+    def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
+        """Of each text the language and its share of the odds; "und" and 0 without a letter or language."""
+        words = [words_of(t) if t else [] for t in texts]
+        code, distinct = pd.factorize(np.array([w for x in words for w in x], object))
+        scores = self.scores(distinct.tolist())
+        letters = np.array([has_letter(w) for w in distinct], bool)
+        at = 0
+        for x in words:
+            mine = code[at : at + len(x)]
+            at += len(x)
+            if not self.langs or not letters[mine].any():
+                yield "und", 0.0
+                continue
+            sums = scores[mine].sum(axis=0)
+            odds = np.exp(sums - sums.max())
+            best = int(odds.argmax())
+            yield self.langs[best], float(odds[best] / odds.sum())
+
+
+def _chunks(texts: list[str | None]) -> Iterator[list[str | None]]:
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t or "") > CHARS:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t or "")
+    if part:
+        yield part
 
 
 def _words(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: words_of(t) if t else [])
 
 
-def _grams(words: pd.Series) -> pd.Series:
-    return words.map(lambda w: [g for n in ORDERS for g in grams_of(w, n)])
+def _hashes(words: pd.Series) -> pd.Series:
+    return pd.Series(hash_of(words.tolist()))
 
 
-def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
+def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(w, lang, n) -> (order, key, lang, n): the n-grams of all orders, added up in each batch."""
+    for batch in batches:
+        for n in ORDERS:
+            grams = [grams_of(w, n) for w in batch["w"]]
+            row = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+            key = hash_of([g for x in grams for g in x])
+            rows = pd.DataFrame({"order": n, "key": key, "lang": batch["lang"].to_numpy(object)[row], "n": batch["n"].to_numpy()[row]})
+            yield rows.groupby(["order", "key", "lang"], as_index=False)["n"].sum()
+
+
+def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """labelled(doc_id, text, lang) -> Model. The sample is the same on every run: of each
-    language the rows with the least hash of doc_id. Rows without text, lang or letters teach nothing."""
+    language the rows with the least hash of doc_id, ties by doc_id and text. Rows without
+    text, lang or letters teach nothing; without any the model has no language."""
     rows = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
     # a hash threshold takes about twice the sample where rows are read, so that the
     # window meets few rows of a language however many there are
     h = F.xxhash64(F.col("doc_id").cast("string"))
-    per_lang = rows.groupBy("lang").agg(F.count("*").alias("_k")).orderBy(F.col("_k").desc(), "lang").limit(MAX_LANGS)
+    per_lang = materialize(rows.groupBy("lang").agg(F.count("*").alias("_k")), "languages")
     share = F.shiftrightunsigned(h, 11) / F.lit(float(2**53))
-    some = rows.join(F.broadcast(per_lang), "lang").where(share * F.col("_k") < 2.0 * sample_docs + 50)
-    least = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned(h, 11), "doc_id"))
+    some = rows.join(few(per_lang), "lang").where(share * F.col("_k") < 2.0 * sample_docs + 50)
+    least = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned(h, 11), "doc_id", F.xxhash64("text")))
     sample = some.withColumn("_n", least).where(F.col("_n") <= sample_docs)
     per_word = sample.select("lang", F.explode(F.pandas_udf(_words, "array<string>")("text")).alias("w")).groupBy("w", "lang").agg(F.count("*").alias("n"))
     per_word = materialize(per_word, "words")
-    langs = sorted(r[0] for r in per_word.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGS).select("lang").collect())
-
-    def bounded(counts: DataFrame, key: str, most: int) -> dict[str, np.ndarray]:
-        # the most frequent keys only: the driver and every task hold `most` rows at most
-        top = counts.groupBy(key).agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).orderBy(F.col("n").desc(), key).limit(most)
-        out = {}
-        for r in top.collect():
-            out[r[key]] = np.array([float(r["by"].get(x, 0)) for x in langs])
-        return out
-
-    per_gram = per_word.select("lang", "n", F.explode(F.pandas_udf(_grams, "array<string>")("w")).alias("g")).groupBy("g", "lang").agg(F.sum("n").alias("n"))
-    return Model(langs, bounded(per_word, "w", max_words), bounded(per_gram, "g", max_grams))
+    words = per_word.select(F.lit(0).alias("order"), F.pandas_udf(_hashes, "bigint")("w").alias("key"), "lang", "n")
+    grams = per_word.select("w", "lang", "n").mapInPandas(_grams, "order int, key bigint, lang string, n bigint")
+    grams = grams.groupBy("order", "key", "lang").agg(F.sum("n").alias("n"))
+    # Arrow columns of numbers and a language: what the driver gets is bounded by the sample
+    return Model(words.union(grams.select("order", "key", "lang", "n")).toArrow())
 
 
 def predictor(spark, model: Model):
@@ -140,7 +180,8 @@ def predictor(spark, model: Model):
     @F.pandas_udf("lang_pred string, score double, letters boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
         own = shared.value
-        return pd.DataFrame([(*own.predict(t), has_letter(t)) for t in texts], columns=["lang_pred", "score", "letters"])
+        rows = [(*p, has_letter(t)) for part in _chunks(texts.tolist()) for t, p in zip(part, own.predict(part))]
+        return pd.DataFrame(rows, columns=["lang_pred", "score", "letters"])
 
     return predict
 
@@ -154,8 +195,10 @@ def identify(docs: DataFrame) -> DataFrame:
 
     Learns from documents outside the fold whose crc32(doc_id as text) mod 5 is 0, from
     text and lang alone. lang_pred is a learned language, or "und" with score 0 where
-    the text is null or has no letter or nothing was learned. A null doc_id is not held
-    out and teaches nothing. Equal texts get equal answers.
+    the text is null or empty or has no letter or nothing was learned. Languages that score
+    alike: the least name. Very long texts are scored whole. A null doc_id is not held out
+    and teaches nothing. Equal texts get equal answers, repeated rows one each. Other
+    columns are ignored. Empty in, empty out.
     """
     taught = docs.where(~held_out()).select("doc_id", "text", "lang")
     predict = predictor(docs.sparkSession, fit(taught))

@@ -3,6 +3,8 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 
 from lumenfold.llm import chat, decontaminate, language_id, mixing, sharding, token_counts, url_filter
 from lumenfold.llm.queries import RULES
@@ -22,11 +24,13 @@ def test_sharding(docs, rows):
     assert sorted((r["size"], r.text_crc32) for r in got) == want
 
 
-def test_jump_hash_wide_keys(spark):
+def test_jump_hash_wide_keys(spark, monkeypatch):
     keys = [0, 1, -1, 2**63 - 1, -(2**63), 123456789012345]
-    df = spark.createDataFrame([(k,) for k in keys], "k bigint").select("k", *[sharding.jump_hash("k", n).alias(f"n{n}") for n in (1, 2, 1000)])
-    for r in df.collect():
-        assert (r.n1, r.n2, r.n1000) == tuple(brute.jump(r.k, n) for n in (1, 2, 1000))
+    for steps in (sharding.JUMPS, 2):  # with 2 steps most keys take the longer way
+        monkeypatch.setattr(sharding, "JUMPS", steps)
+        df = spark.createDataFrame([(k,) for k in keys], "k bigint").select("k", *[sharding.jump_hash("k", n).alias(f"n{n}") for n in (1, 2, 1000)])
+        for r in df.collect():
+            assert (r.n1, r.n2, r.n1000) == tuple(brute.jump(r.k, n) for n in (1, 2, 1000))
 
 
 def test_mixing(docs, rows, empty):
@@ -73,10 +77,21 @@ def test_mixing_many_sources_are_salted(docs, monkeypatch):
 def test_decontamination(docs, rows, spark, empty):
     items = [(1, rows[13][1][: len(rows[13][1]) // 2]), (2, "TWO words"), (3, None), (4, "!!"), (10, " ".join(rows[7][1].split()[5000:5030])), (11, prose(77, 40)), (12, "one")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    for blocks in (decontaminate.BLOCK_WORDS, 20):
-        got = decontaminate.find_leaks(docs, bench, ["doc_id"], block_words=blocks).collect()
-        have = sorted(repr((r.doc_id, r.n_words, sum(h.end - h.start for h in r.hits), list(r["items"]))) for r in got)
-        assert have == sorted(repr((r[0], *brute.leaks(r[1], items))) for r in rows)
+    text_of = {str(i): brute.bench_words(t) for i, t in items}
+    for block_bytes in (decontaminate.BLOCK_BYTES, 100):
+        got = decontaminate.find_leaks(docs, bench, ["doc_id", "text"], block_bytes=block_bytes).collect()
+        have = []
+        for r in got:
+            hit, w = set(), brute.bench_words(r.text)
+            for m in r.matches:
+                assert text_of[m.item][m.item_start : m.item_start + m.length] == w[m.start : m.start + m.length]
+                hit |= set(range(m.start, m.start + m.length))
+            have.append(repr((r.doc_id, r.n_words, len(hit), sorted({m.item for m in r.matches}))))
+        assert sorted(have) == sorted(repr((r[0], *brute.leaks(r[1], items))) for r in rows)
+        whole = next(m for r in got if r.doc_id == 7 for m in r.matches)
+        assert (whole.item, whole.item_start, whole.start, whole.length) == ("10", 0, 5000, 30)
+    digests = decontaminate.contamination(docs, bench).collect()
+    assert sorted(repr((r.doc_id, r.n_words, r.n_hit)) for r in digests) == sorted(repr((r[0], *brute.leaks(r[1], items)[:2])) for r in rows)
     out = decontaminate.contamination(docs, bench).where("doc_id = 11").first()
     assert out.items_sha256 == hashlib.sha256(b"2").hexdigest() and out.contaminated
     clean = decontaminate.remove_contaminated(docs, bench)
@@ -85,14 +100,36 @@ def test_decontamination(docs, rows, spark, empty):
     assert decontaminate.contamination(docs, bench.where("false")).where("contaminated").count() == 0
 
 
-def test_suffix_search_random():
+def test_longest_matches_random(monkeypatch):
+    """Matches are verbatim, no end extends, none is missing; pairs in small and large chunks."""
     r = random.Random(5)
-    for _ in range(60):
-        texts = [" ".join(r.choice("abc") for _ in range(r.randrange(0, 60))) for _ in range(4)]
-        items = [(k, " ".join(r.choice("abcd") for _ in range(r.randrange(0, 9)))) for k in range(4)]
-        block = decontaminate.Block([(str(i), t.encode()) for i, t in items], 4)
-        for t, (n, spans, found) in zip(texts, block.judge([x.encode() for x in texts])):
-            assert (n, sum(b - a for a, b in spans), sorted(block.ids[i] for i in found)) == brute.leaks(t, items, 4)
+    for pairs in (1, 7, 1 << 20):
+        monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+        for _ in range(150):
+            some = r.choice(["ab", "abc", "abcdefgh"])
+            texts = [" ".join(r.choice(some + "?z") for _ in range(r.randrange(0, 60))) for _ in range(4)]
+            items = [(k, " ".join(r.choice(some) for _ in range(r.randrange(0, 14)))) for k in range(4)]
+            block = decontaminate.Block([(str(i), t.encode()) for i, t in items], 4)
+            for t, (n, found) in zip(texts, block.judge([x.encode() for x in texts])):
+                w, hit = brute.bench_words(t), set()
+                for i, at, start, length in found:
+                    x = brute.bench_words(items[i][1])
+                    assert x[at : at + length] == w[start : start + length] and length >= min(4, len(x))
+                    assert not (at and start and x[at - 1] == w[start - 1])
+                    assert not (at + length < len(x) and start + length < len(w) and x[at + length] == w[start + length])
+                    hit |= set(range(start, start + length))
+                assert len(set(found)) == len(found)
+                assert (n, len(hit), sorted({str(i) for i, *_ in found})) == brute.leaks(t, items, 4)
+
+
+def test_suffix_array():
+    r = random.Random(6)
+    for _ in range(100):
+        numbers = np.array([r.randrange(0, 4) for _ in range(r.randrange(1, 80))])
+        run = decontaminate.runs_of(numbers)
+        at = np.flatnonzero(numbers)
+        want = sorted(at.tolist(), key=lambda i: (numbers[i : i + run[i]].tolist(), i))
+        assert decontaminate.suffix_array(numbers, run, at).tolist() == want
 
 
 def test_language_id(spark, docs, empty):
@@ -104,7 +141,7 @@ def test_language_id(spark, docs, empty):
     assert got[60].lang_pred == got[61].lang_pred == "und" and got[62].lang_pred == "en"
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
     model = language_id.fit(taught.where("doc_id < 40"))
-    assert model.predict("freundenhaus")[0] == "de"  # unseen: n-grams decide
+    assert next(model.predict(["freundenhaus"]))[0] == "de"  # unseen: n-grams decide
     assert language_id.identify(docs).count() == docs.count() and language_id.identify(empty).count() == 0
 
 
@@ -196,23 +233,93 @@ def test_token_counts(docs, rows, empty):
     assert token_counts.length_histogram(token_counts.token_lengths(empty)).count() == 0
 
 
+def language_counts(words, grams=()):
+    """words {word: {lang: n}} and n-grams likewise, as the table that a model is made of."""
+    rows = [(0, w, x, n) for w, by in dict(words).items() for x, n in by.items()] + [(len(g), g, x, n) for g, by in dict(grams).items() for x, n in by.items()]
+    out = pd.DataFrame(rows, columns=["order", "text", "lang", "n"])
+    columns = [pa.array(out["order"], pa.int32()), pa.array(language_id.hash_of(out["text"].tolist()), pa.int64()), pa.array(out["lang"], pa.string()), pa.array(out["n"], pa.int64())]
+    return pa.table(columns, names=["order", "key", "lang", "n"])
+
+
 def test_language_model_backs_off():
-    words = {"bonjour": np.array([0.0, 9.0]), "hello": np.array([9.0, 0.0])}
-    grams = {"^bonj": np.array([0.0, 5.0]), "ello$": np.array([5.0, 0.0]), "lo": np.array([2.0, 1.0]), "o": np.array([1.0, 2.0])}
-    model = language_id.Model(["en", "fr"], words, grams)
-    assert model.predict("Hello hello")[0] == "en" and model.predict("BONJOUR")[0] == "fr"
+    words = {"bonjour": {"fr": 9}, "hello": {"en": 9}}
+    grams = {"^bonj": {"fr": 5}, "ello$": {"en": 5}, "lo": {"en": 2, "fr": 1}, "o": {"en": 1, "fr": 2}}
+    model = language_id.Model(language_counts(words, grams))
+    lang = lambda t: next(model.predict([t]))[0]
+    assert lang("Hello hello") == "en" and lang("BONJOUR") == "fr"
     # unseen words: the longest order with a known n-gram decides, shorter ones are not asked
-    assert model.predict("bonjoxlo")[0] == "fr" and model.predict("cello")[0] == "en"
-    assert model.predict("xlo")[0] == "en" and model.predict("xo")[0] == "fr"
-    # nothing known: all languages are as likely
-    assert model.predict("zzz") == ("en", 0.5)
-    assert [model.predict(t) for t in (None, "", "12 _ !")] == [("und", 0.0)] * 3
-    assert language_id.Model([], {}, {}).predict("hello") == ("und", 0.0)
-    assert len(model.unseen) == 5
-
-
-def test_language_model_keeps_few_unseen_words(monkeypatch):
-    monkeypatch.setattr(language_id, "CACHE", 3)
-    model = language_id.Model(["a", "b"], {}, {"q": np.array([3.0, 1.0])})
-    got = [model.predict(f"q{'x' * k}") for k in range(20)]
-    assert len(set(got)) == 1 and len(model.unseen) <= 3
+    assert lang("bonjoxlo") == "fr" and lang("cello") == "en" and lang("xlo") == "en" and lang("xo") == "fr"
+    # nothing known: all languages are as likely, the least name is taken
+    assert list(model.predict(["zzz"])) == [("en", 0.5)]
+    assert list(model.predict([None, "", "12 _ !", "hello"]))[:3] == [("und", 0.0)] * 3
+    assert list(language_id.Model(language_counts({})).predict(["hello"])) == [("und", 0.0)]
+
+
+def test_language_fit_and_predict_against_brute_force(spark, monkeypatch):
+    """Every score from plain counts of the same words and n-grams, in chunks of any size."""
+    from collections import Counter
+    from math import exp, log
+
+    monkeypatch.setattr(language_id, "CHARS", 60)
+    r, taught = random.Random(12), []
+    for i in range(60):
+        lang = "abc"[i % 3]
+        taught.append((i, " ".join("".join(r.choice("xyz" + lang * 3) for _ in range(r.randrange(1, 9))) for _ in range(r.randrange(1, 12))), lang))
+    taught += [(60, "नमस्ते नमस्ते दुनिया", "d"), (61, None, "a"), (62, "xx", None)]
+    model = language_id.fit(spark.createDataFrame(taught, "doc_id bigint, text string, lang string"))
+    by, langs = {n: {x: Counter() for x in "abcd"} for n in range(6)}, "abcd"
+    for _, t, x in taught:
+        if t and x:
+            for w in t.split():
+                by[0][x][w] += 1
+                for n in language_id.ORDERS:
+                    by[n][x].update(language_id.grams_of(w, n))
+    kinds = {n: len({k for c in by[n].values() for k in c}) for n in by}
+    size = {n: kinds[0] if n == 0 else sum(kinds[k] for k in language_id.ORDERS) for n in by}
+    value = lambda n, x, k: log((by[n][x][k] + 0.5) / (1 + sum(by[n][x].values()) + 0.5 * size[n]))
+    known = lambda n, k: any(by[n][x][k] for x in langs)
+
+    def score(w):
+        if known(0, w):
+            return [value(0, x, w) for x in langs]
+        for n in language_id.ORDERS:
+            some = [g for g in language_id.grams_of(w, n) if known(n, g)]
+            if some:
+                return [sum(value(n, x, g) for g in some) / len(some) for x in langs]
+        return [0.0] * 4
+
+    texts = [t for _, t, _ in taught] + ["aaaa qqq", "नमस", "bxq ccc", "q " * 500 + "a"]
+    got = [p for part in language_id._chunks(texts) for p in model.predict(part)]
+    assert model.langs == list(langs) and len(got) == len(texts)
+    for t, (lang, share) in zip(texts, got):
+        if not t:
+            assert (lang, share) == ("und", 0.0)
+            continue
+        sums = [sum(c) for c in zip(*[score(w) for w in t.split()])]
+        odds = [exp(s - max(sums)) for s in sums]
+        assert abs(max(odds) / sum(odds) - share) < 1e-4 and abs(odds[langs.index(lang)] - max(odds)) < 1e-4
+
+
+def test_urls_empty_repeated_and_extra_columns(spark):
+    schema = "page_id bigint, url string, host string, path string, rule string, at int"
+    rows = [(1, "http://a.org/x", "h", "p", "r", 1)] * 2 + [(None, "http://b.com/de/", "h", "p", "r", 1)]
+    got = url_filter.judge(spark.createDataFrame(rows, schema), RULES).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(1, "a.org", "/x", "org/", "allow")] * 2 + [(None, "b.com", "/de/", "com/de/", "block")]))
+    assert url_filter.judge(spark.createDataFrame([], schema), RULES).count() == 0
+
+
+def test_chat_long_texts_and_extra_columns(spark):
+    long = prose(40, 30_000)
+    rows = [(1, 0, "user", long, "n", "f"), (1, 1, "assistant", long, "n", "f")]
+    (got,) = chat.chat_digest(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, node string, formatted string")).collect()
+    assert got.n_turns == 2 and got.loss_sha256 == hashlib.sha256(long.encode()).hexdigest()
+
+
+def test_mixing_rows_without_ids(spark):
+    """Null and repeated doc_ids with texts of their own are told apart by the texts: half a document from the target."""
+    rows = [(None if i < 10 else 5, prose(200 + i, 10 + i % 3), f"s{i // 10}") for i in range(20)]
+    by = {}
+    for r in mixing.mix(mixing.sized(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))).collect():
+        x = by.setdefault(r.source, [0, r.target])
+        x[0] += r.copies * r["size"]
+    assert len(by) == 2 and all(abs(taken - target) <= 6.0 + 1e-6 for taken, target in by.values())
