@@ -17,30 +17,51 @@ ORACLE_SQL = None
 SHARDS = 8
 
 
+#: The least share of the odds that a document's best language must have, and the languages
+#: whose documents stay; None: all that the model learned.
+MIN_SCORE, LANGUAGES = 0.5, None
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in no language: null texts and texts without a letter.
+    """Rejects documents in no language: null and empty texts, texts without a letter, texts
+    whose best language has less than MIN_SCORE of the odds or isn't one of LANGUAGES.
 
-    All others stay, also where the model learned no language or one named "und"."""
-    predict = language_id.predictor(spark, language_id.fit(docs.where(~language_id.held_out())))
-    return docs.where(predict(docs["text"])["letters"])
+    Where the model learned no language (no label), documents with a letter stay. Repeated
+    rows are judged each, very long texts whole; all columns are carried. Empty in, empty out."""
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    p = language_id.predictor(spark, model)(docs["text"])
+    sure = p["letters"]
+    if model.langs:
+        sure = sure & (p["score"] >= MIN_SCORE)
+    if model.langs and LANGUAGES is not None:
+        sure = sure & p["lang_pred"].isin(list(LANGUAGES))
+    return docs.where(sure)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group stays: five-word shingles, similarity 0.8 or more."""
+    """One row of each group stays: five-word shingles, similarity 0.8 or more.
+
+    Rows without words (null, empty) all stay, repeated ones too; see near_dedup.keep_one."""
     return near_dedup.keep_one(docs, width=5, percent=80)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold ten consecutive words of a benchmark item go."""
+    """Documents that hold ten consecutive words of a benchmark item, or a whole shorter item, go.
+
+    Rows without words stay; repeated rows are judged each. Empty in, empty out."""
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Source weights take effect: a row stays 0, 1 or 2 times."""
+    """Source weights take effect: a row stays 0, 1 or 2 times.
+
+    A null source is a source; rows without words go, or stay as their hash says. Repeated
+    rows (doc_id and text) share their fate. Empty in, empty out."""
     return mixing.mix_rows(docs)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard and slot of every row, repeated ones too; see sharding.shard."""
     return sharding.shard(docs, SHARDS)
 
 
