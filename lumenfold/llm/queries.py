@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import chat, decontaminate, exact_dedup, language_id, line_dedup, mixing, near_dedup, sharding, token_counts, url_filter
+from lumenfold.llm import chat, decontaminate, divergence, embedding_dedup, exact_dedup, language_id, line_dedup, mixing, near_dedup, sharding, token_counts, url_filter, whitening
 from lumenfold.llm.common import table
 
 RULES = [url_filter.Rule("org/", True), url_filter.Rule("example.org/es/", False), url_filter.Rule("example.org/en/1", False), url_filter.Rule("com/fr/", True), url_filter.Rule("com/de/", False)]
@@ -58,9 +58,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(token_counts.token_lengths(table(spark, sf_dir, "documents")))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), min_docs=3, top=200)
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+    return near.select("vec_id", "n_links", "component_id", F.expr("vec_id <=> component_id").alias("kept"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_chat_formatting, op3_url_filters, op4_mix_sources, op5_language_id, op6_decontamination, op7_sharding, op8_near_dedup, op9_exact_dedup, op10_token_counts)
+    for f in (op1_line_dedup, op2_chat_formatting, op3_url_filters, op4_mix_sources, op5_language_id, op6_decontamination, op7_sharding, op8_near_dedup, op9_exact_dedup, op10_token_counts, op11_source_divergence, op12_embedding_dedup, op13_whitening)
 }
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -149,4 +162,34 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, CASE WHEN len(s) = 0 THEN doc_id EL
   CASE WHEN len(s) = 0 THEN true ELSE doc_id = component END AS kept
 FROM s LEFT JOIN comp ON comp.g = md5(array_to_string(s, chr(10)))"""
 
-ORACLE_SQL: dict[str, str] = {"op6_decontamination": _OP6, "op8_near_dedup": _OP8, "op2_chat_formatting": _OP2, "op3_url_filters": _OP3, "op4_mix_sources": _OP4, "op9_exact_dedup": _OP9}
+_OP11 = """
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+w AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v, sum(lang_n) AS total FROM kept GROUP BY lang),
+t AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (t.total + v.v) AS p, 1 + (1000000000::HUGEINT * (k.lang_n + 1)) // (v.total + v.v) AS q
+  FROM t JOIN kept k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item COLLATE "binary") AS rank FROM every)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM r WHERE part = 'pair' OR rank <= 200"""
+
+_OP12 = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e, row_number() OVER () AS r FROM embeddings),
+u AS (SELECT r, vec_id, e FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON a.r <> b.r AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.95),
+reach(a, b) AS (SELECT r, r FROM v UNION SELECT x.a, l.b FROM reach x JOIN links l ON x.b = l.a),
+c AS (SELECT a AS r, min(vec_id) AS component_id FROM reach JOIN v ON b = r GROUP BY a),
+n AS (SELECT a AS r, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN c USING (r) LEFT JOIN n USING (r)"""
+
+ORACLE_SQL: dict[str, str] = {"op11_source_divergence": _OP11, "op12_embedding_dedup": _OP12, "op6_decontamination": _OP6, "op8_near_dedup": _OP8, "op2_chat_formatting": _OP2, "op3_url_filters": _OP3, "op4_mix_sources": _OP4, "op9_exact_dedup": _OP9}
