@@ -17,18 +17,26 @@ one task's work and gives a star of links per component found in it.
    hold several components go on. Members whose signatures can't reach the threshold
    with a member of another component are put aside; the others are compared on full
    sets, each pair in the first tree that brings it together. What exceeds REGION goes
-   block by block: those outside the region's largest component against all.
+   block by block: those outside the region's largest component against all whose sets are
+   of a like size.
 
-So a cut at a greater depth in step 1 loses no link: step 2 compares at base again.
+A run of the first trees counts as solved in step 1 only if none of its rows went deeper and
+it fits as a whole, whatever tasks it lay in; any other run is compared at base again in
+step 2. So a greater depth, or a cut between tasks, loses no link.
+
+Shingle sets are told apart by 128 bits.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +60,7 @@ _ADD = _RNG.integers(0, 2**32, VALUES, dtype=np.uint64).astype(np.uint32)
 _PLACE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
 FOREST = "key bigint, region bigint, g bigint, n bigint, t int"
-SIGNED = "doc_id bigint, row_hash bigint, n_shingles bigint, g bigint, sig binary"
+SIGNED = "doc_id bigint, row_hash bigint, n_shingles bigint, name binary, sig binary"
 
 
 def shape(percent: int) -> tuple[int, int, int]:
@@ -110,7 +118,7 @@ def _signer(width: int):
         known = _WordHashes()
         for batch in batches:
             texts = batch.column(2).cast(pa.binary())
-            n, gs, sigs, wait, at = [], [], [None] * len(batch), [], []
+            n, names, sigs, wait, at = [], [], [None] * len(batch), [], []
 
             def flush():
                 for k, row in zip(at, _sign_all(wait) if wait else []):
@@ -122,7 +130,7 @@ def _signer(width: int):
             for k in range(len(batch)):
                 s = shingle_hashes(texts[k].as_py(), width, known)
                 n.append(len(s))
-                gs.append(xxhash.xxh64_intdigest(s.tobytes()) - 2**63 if len(s) else None)
+                names.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
                 if len(s):
                     wait.append(s)
                     at.append(k)
@@ -131,7 +139,7 @@ def _signer(width: int):
                     flush()
                     size = 0
             flush()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(gs, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "row_hash", "n_shingles", "g", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "row_hash", "n_shingles", "name", "sig"])
 
     return run
 
@@ -261,11 +269,12 @@ def _sifter(percent: int):
 def _neighbours(base: int):
     """Sorted (t, prefix, g, n) -> FOREST: those with a neighbour that shares base values.
 
-    key names the run at base, region that at the depth where the run fits. A run that two
-    tasks share is known by its key; its depths may differ, which step 2 makes good.
+    key names the run at base, region that at the depth where the run fits: the key itself
+    where that is base, else a name that no other task gives. A run that tasks share, or that
+    is cut, is known by its key; its depths may differ, which step 2 makes good.
     """
 
-    def regions(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def regions(held: list[pa.RecordBatch], part: int) -> pa.RecordBatch:
         table = pa.Table.from_batches(held).combine_chunks()
         t, g, n = (table.column(c).to_numpy() for c in ("t", "g", "n"))
         rows = np.frombuffer(b"".join(table.column("prefix").to_pylist()), np.uint32).reshape(-1, DEPTH)
@@ -283,14 +292,14 @@ def _neighbours(base: int):
         full = depth == 0
         chunk[full] = 1 + np.cumsum(np.maximum(1, n[full] // UNIT)) // REGION
         depth[full] = DEPTH
-        name = lambda k, d, c: xxhash.xxh64_intdigest(rows[k, :d].tobytes(), seed=int(t[k]) * 1_000_003 + int(d) * 1009 + int(c)) - 2**63
         at = np.flatnonzero(keep)
-        keys = [name(k, base, 0) for k in at]
-        inner = [name(k, depth[k], chunk[k]) for k in at]
+        keys = [xxhash.xxh64_intdigest(rows[k, :base].tobytes(), seed=int(t[k])) - 2**63 for k in at]
+        inner = [key if depth[k] == base else xxhash.xxh64_intdigest(b"%d/%d/%d/%d/" % (t[k], depth[k], chunk[k], part) + rows[k, : depth[k]].tobytes()) - 2**63 for k, key in zip(at, keys)]
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(inner, pa.int64()), pa.array(g[at], pa.int64()), pa.array(n[at], pa.int64()), pa.array(t[at], pa.int32())], names=["key", "region", "g", "n", "t"])
 
     def run(batches):
         held, size = [], 0
+        parts = count(TaskContext.get().partitionId() << 32)
         for batch in batches:
             if not len(batch):
                 continue
@@ -298,15 +307,15 @@ def _neighbours(base: int):
             t, values = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             cut = next((k for k in range(len(t) - 1, 0, -1) if t[k] != t[k - 1] or values[k][: 4 * base] != values[k - 1][: 4 * base]), 0)
             if cut == 0 and size > HELD:
-                yield regions(held)
+                yield regions(held, next(parts))
                 held, size = [], 0
             if cut:
-                yield regions([*held, batch.slice(0, cut)])
+                yield regions([*held, batch.slice(0, cut)], next(parts))
                 held, size = [], 0
             held.append(batch.slice(cut))
             size += len(batch) - cut
         if held:
-            yield regions(held)
+            yield regions(held, next(parts))
 
     return run
 
@@ -317,11 +326,11 @@ def forest(reps: DataFrame, percent: int) -> DataFrame:
     leaf = F.expr(f"substring(concat(sig, sig), {4 * base} * t + 1, {4 * DEPTH})")
     rows = reps.select("g", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("t")).select("t", leaf.alias("prefix"), "g", "n")
     parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(parts, "t", "prefix").sortWithinPartitions("t", "prefix").mapInArrow(_neighbours(base), FOREST)
+    return rows.repartitionByRange(parts, "t", "prefix", "g").sortWithinPartitions("t", "prefix", "g").mapInArrow(_neighbours(base), FOREST)
 
 
 def sign(docs: DataFrame, width: int) -> DataFrame:
-    """docs(doc_id, row_hash, text) -> with n_shingles, g (hash of the shingle set) and signature."""
+    """docs(doc_id, row_hash, text) -> with n_shingles, name (128 bits of the shingle set) and signature."""
     return docs.select("doc_id", "row_hash", "text").mapInArrow(_signer(width), SIGNED)
 
 
@@ -340,10 +349,13 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, row: Col
     """
     source = docs.select("doc_id", (F.xxhash64("doc_id", "text") if row is None else row).alias("row_hash"), "text")
     signed = materialize(sign(source, width), "signed")
-    reps = materialize(signed.where("g is not null").dropDuplicates(["g"]).select("g", "doc_id", "row_hash", F.col("n_shingles").alias("n"), "sig"), "reps")
+    reps = signed.where("name is not null").dropDuplicates(["name"]).select("name", "doc_id", "row_hash", F.col("n_shingles").alias("n"), "sig")
+    reps = materialize(reps.withColumn("g", F.monotonically_increasing_id()), "reps")
     leaves = materialize(forest(reps.select("g", "n", "sig"), percent), "forest")
-    counts = leaves.groupBy("key").agg(F.count("*").alias("rows"), F.greatest(F.count("*"), F.ceil(F.sum("n") / UNIT)).alias("k"))
-    members = materialize(leaves.join(counts.where("rows > 1").select("key", "k"), "key"), "members")
+    crowd = F.greatest(F.count("*"), F.ceil(F.sum("n") / UNIT))
+    counts = leaves.groupBy("key").agg(F.count("*").alias("rows"), crowd.alias("k"), F.max(F.col("region") != F.col("key")).alias("cut"))
+    counts = counts.where("rows > 1").select("key", "k", ((F.col("k") <= REGION) & ~F.col("cut")).alias("whole"))
+    members = materialize(leaves.join(counts, "key"), "members")
 
     # full sets of the members alone, from their texts
     again = materialize(members.select("g").distinct().join(reps.select("g", "doc_id", "row_hash"), "g"), "again")
@@ -351,46 +363,52 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, row: Col
     sets = materialize(texts.dropDuplicates(["g"]).mapInArrow(_setter(width), "g bigint, shingles binary"), "sets")
 
     # 1: whole regions of the first trees, deeper where crowded
-    regions = members.where(F.col("t") < FIRST).select("region", "g")
+    regions = members.where((F.col("t") < FIRST) & (F.col("whole") | (F.col("region") != F.col("key")))).select("region", "g")
     work = regions.join(sets, "g").select("region", "g", F.col("g").alias("name"), F.lit(-1).alias("side"), "shingles")
     links = materialize(_by_region(work, _solver(percent), "a bigint, b bigint"), "stars")
     found = join_components(None, links)
 
     # 2: regions that still hold several components
     named = members.join(found.select(F.col("node").alias("g"), F.col("comp").alias("name")), "g", "left").withColumn("name", F.coalesce("name", "g"))
-    named = named.where((F.col("t") >= FIRST) | (F.col("region") != F.col("key")))
+    named = named.where((F.col("t") >= FIRST) | ~F.col("whole"))
     open_keys = named.groupBy("key").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo <> hi").select("key")
     named = materialize(named.join(open_keys, "key"), "open")
     rows = named.where(F.col("k") <= REGION).select(F.col("key").alias("region"), "t", "g", "n", "name", F.lit(-1).alias("side"))
     large = named.where(F.col("k") > REGION)
     if not large.isEmpty():
-        rows = rows.union(_blocks(large))
+        rows = rows.union(_blocks(large, percent))
     sifted = _by_region(rows.join(reps.select("g", "sig"), "g"), _sifter(percent), "region bigint, g bigint, name bigint, side int")
     sifted = materialize(sifted, "sifted")
     more = materialize(_by_region(sifted.join(sets, "g"), _solver(percent), "a bigint, b bigint"), "stars")
     of = join_components(found, more)
 
-    rows = signed.select("doc_id", "row_hash", "n_shingles", "g").join(few(of.select(F.col("node").alias("g"), "comp")), "g", "left")
-    rows = materialize(rows.select("doc_id", "row_hash", "n_shingles", F.coalesce("comp", "g").alias("comp")), "rows")
+    own = reps.select("name", "g").join(few(of.select(F.col("node").alias("g"), "comp")), "g", "left")
+    own = materialize(own.select("name", F.coalesce("comp", "g").alias("comp")), "own")
+    rows = materialize(signed.select("doc_id", "row_hash", "n_shingles", "name").join(few(own), "name", "left").drop("name"), "rows")
     least = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
     out = rows.join(least, "comp", "left").select("doc_id", "row_hash", "n_shingles", "comp", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
-    for used in (leaves, members, again, sets, links, found, named, sifted, more, of, reps, signed):
+    for used in (leaves, members, again, sets, links, found, named, sifted, more, of, own, reps, signed):
         discard(used)
     return out
 
 
-def _blocks(large: DataFrame) -> DataFrame:
-    """Crowded regions in blocks of half REGION: members outside the largest component
-    meet all blocks, members of it only blocks of the others."""
-    half = REGION // 2
-    per = large.groupBy("key", "name").agg(F.greatest(F.count("*"), F.ceil(F.sum("n") / UNIT)).alias("c"))
-    top = per.groupBy("key").agg(F.max(F.struct("c", "name")).alias("m"), F.sum("c").alias("all"))
-    top = top.select("key", F.col("m.name").alias("main"), F.ceil(F.col("m.c") / half).cast("int").alias("n_main"), F.ceil((F.col("all") - F.col("m.c")) / half).cast("int").alias("n_rest"))
-    rows = large.join(top, "key").withColumn("in_main", F.col("name") == F.col("main"))
-    side = F.when(F.col("in_main"), F.col("n_rest") + F.pmod(F.xxhash64("g"), F.col("n_main"))).otherwise(F.pmod(F.xxhash64("g"), F.greatest("n_rest", F.lit(1)))).cast("int")
-    last = F.when(F.col("in_main"), F.col("n_rest") - 1).otherwise(F.col("n_rest") + F.col("n_main") - 1)
-    rows = rows.withColumn("side", side).withColumn("with", F.explode(F.sequence(F.lit(0), last)))
-    return rows.select(F.xxhash64("key", F.least("side", "with"), F.greatest("side", "with")).alias("region"), "t", "g", "n", "name", "side")
+def _blocks(large: DataFrame, percent: int) -> DataFrame:
+    """Crowded regions in blocks of REGION: members outside the largest component meet all
+    blocks of their size class and of the next ones, members of it only blocks of the others.
+
+    Two sets of the least similarity differ in size by one class at most."""
+    size = large.withColumn("size", F.floor(F.log(F.col("n")) / F.lit(max(math.log(100 / percent) * (1 + 1e-9), 1e-9))).cast("bigint"))
+    per = size.groupBy("key", "name").agg(F.count("*").alias("c"))
+    main = per.groupBy("key").agg(F.max_by("name", F.struct("c", "name")).alias("main"))
+    rows = size.join(main, "key").withColumn("in_main", F.col("name") == F.col("main"))
+    crowd = F.greatest(F.count("*"), F.ceil(F.sum("n") / UNIT))
+    blocks = rows.groupBy("key", "size", "in_main").agg(F.ceil(crowd / REGION).cast("int").alias("blocks"))
+    rows = rows.join(blocks, ["key", "size", "in_main"]).withColumn("side", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int"))
+    # each row meets the blocks of its own class and of the next, from either side
+    near = blocks.select("key", F.explode(F.sequence(F.col("size") - 1, F.col("size") + 1)).alias("size"), F.col("size").alias("size2"), F.col("in_main").alias("in_main2"), F.col("blocks").alias("blocks2"))
+    met = rows.join(near, ["key", "size"]).where("NOT (in_main AND in_main2)").withColumn("side2", F.explode(F.sequence(F.lit(0), F.col("blocks2") - 1)))
+    one, two = F.struct("size", "in_main", "side"), F.struct(*[F.col(f"{c}2").alias(c) for c in ("size", "in_main", "side")])
+    return met.select(F.xxhash64("key", F.least(one, two), F.greatest(one, two)).alias("region"), "t", "g", "n", "name", F.when(one <= two, 0).otherwise(1).alias("side"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -59,6 +59,42 @@ def test_near_crowded_regions(spark, monkeypatch, region, held):
     assert sorted(repr(tuple(r)) for r in got) == near_want(rows, 4)
 
 
+@pytest.mark.parametrize("region, held, parts, seed", [(4, 4, 16, 1), (4, 4, 1, 2), (4, 65_536, 5, 3), (1024, 4, 16, 4), (4, 4, 7, 5), (2, 3, 16, 6)])
+def test_near_runs_cut_between_tasks(spark, monkeypatch, region, held, parts, seed):
+    """Chains of near copies whose runs lie in several tasks and batches: every link is found."""
+    monkeypatch.setattr(near_dedup, "REGION", region)
+    monkeypatch.setattr(near_dedup, "HELD", held)
+    r, some = random.Random(seed), []
+    for k in range(10):
+        base = prose(300 + 40 * seed + k, 60 + r.randrange(60))
+        for _ in range(r.randrange(3, 30)):
+            some.append(base)
+            base = edited(base, r.randrange(60), f"E{r.randrange(100)}") if r.random() < 0.7 else edited(some[-1 - r.randrange(min(3, len(some)))], r.randrange(50), "x")
+    rows = list(enumerate(some))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 4).select("doc_id", "n_shingles", "component_id").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(repr(tuple(r)) for r in got) == near_want(rows, 4)
+
+
+def test_near_group_beyond_a_region(spark):
+    """1,500 near copies at the default bounds over 9 tasks are one group; others stay apart."""
+    base = prose(77, 200)
+    some = [edited(edited(base, i % 200, f"a{i}"), (i * 7 + 3) % 200, f"b{i}") for i in range(1500)] + [prose(9000 + i, 70) for i in range(20)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 9)
+        got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(some)), "doc_id bigint, text string"), 4).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [r.component_id for r in sorted(got)] == [0] * 1500 + list(range(1500, 1520))
+
+
 @pytest.mark.parametrize("percent", [50, 65, 90])
 def test_near_other_thresholds(spark, percent):
     base = prose(19, 60)
