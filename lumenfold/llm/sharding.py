@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import materialize
+from lumenfold.llm.common import few, materialize
 
 #: Steps that are tried first. Over n shards the loop makes 1/1 + 1/2 + ... + 1/n jumps on
 #: average (15 for a million). A key that needs more goes on with as many as there are shards.
@@ -49,10 +49,28 @@ def shard(docs: DataFrame, shards: int = 8, ranges: int | None = None) -> DataFr
     doc_id, nulls first; repeated rows take consecutive slots. Very long texts count whole.
     Other columns are ignored, whatever their names. Empty in, empty out.
     """
-    spark = docs.sparkSession
-    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return _placed(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("seq")), shards, ranges).drop("seq")
+
+
+def shard_rows(docs: DataFrame, shards: int = 8) -> DataFrame:
+    """The rows of docs, all columns, with what shard() says of each behind them.
+
+    A column of docs that has the name of an added one gets an underscore behind its own.
+    The rows are numbered once, so that texts take no part in the numbering of slots."""
+    names = docs.columns
+    numbered = materialize(docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("seq", F.monotonically_increasing_id()), "numbered")
+    at = {c: F.col(f"c{i}") for i, c in enumerate(names)}
+    placed = materialize(_placed(numbered.select(at["doc_id"].alias("doc_id"), at["text"].alias("text"), "seq"), shards).drop("doc_id"), "placed")
+    added = [c for c in placed.columns if c != "seq"]
+    own = [F.col(f"c{i}").alias(c + "_" if c in added else c) for i, c in enumerate(names)]
+    return numbered.join(few(placed), "seq").select(*own, *added)
+
+
+def _placed(rows: DataFrame, shards: int, ranges: int | None = None) -> DataFrame:
+    """rows(doc_id, text, seq) -> shard()'s columns and seq."""
+    n = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), jump_hash("doc_id", shards).alias("shard"), jump_hash("doc_id", shards + 1).alias("grown_shard"), F.monotonically_increasing_id().alias("seq"))
+    rows = rows.select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), jump_hash("doc_id", shards).alias("shard"), jump_hash("doc_id", shards + 1).alias("grown_shard"), "seq")
     rows = materialize(rows, "keys")
     # (doc_id, seq) is unique: a key that holds a third of all rows still splits
     dealt = materialize(rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.col("seq")).withColumn("part", F.spark_partition_id()), "ranges")
@@ -61,4 +79,4 @@ def shard(docs: DataFrame, shards: int = 8, ranges: int | None = None) -> DataFr
     offsets = counts.select("part", "shard", F.coalesce(before, F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy("part", "shard").orderBy(F.col("doc_id").asc_nulls_first(), "size", "text_crc32", "seq"))
     out = dealt.withColumn("rank", rank).join(offsets, ["part", "shard"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("rank") - 1).alias("slot"), "grown_shard")
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("rank") - 1).alias("slot"), "grown_shard", "seq")

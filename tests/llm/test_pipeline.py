@@ -12,10 +12,23 @@ def test_stages_on_edge_rows(spark, docs, tmp_path_factory, empty):
             at = stage(spark, at, d)
             if k < 4:
                 assert at.columns == start.columns
-        assert "shard" in at.columns
+        assert at.columns == [*start.columns, "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
         at.count()
 
 
+def test_last_stage_carries_rows(spark, docs, rows):
+    """All columns with shard and slot, a clashing one renamed, slots without gaps."""
+    start = docs.withColumnRenamed("comp", "shard").withColumnRenamed("h", "seq")
+    got = corpus_pipeline.assign_shards(spark, start, "")
+    assert got.columns == [c if c != "shard" else "shard_" for c in start.columns] + ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    out = got.collect()
+    assert sorted(map(repr, (tuple(r)[: len(start.columns)] for r in out))) == sorted(map(repr, map(tuple, rows)))
+    for shard in range(8):
+        mine = sorted((r.slot, r.doc_id is not None, r.doc_id or 0) for r in out if r.shard == shard)
+        assert [m[0] for m in mine] == list(range(len(mine))) and [m[1:] for m in mine] == sorted(m[1:] for m in mine)
+    assert all(r.shard == brute.jump(r.doc_id or 0, 8) for r in out)
+
+
 def test_language_stage_keeps_all_with_letters(spark, docs):
     got = corpus_pipeline.identify_language(spark, docs, "")
     assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in got.collect()} == {0, 1, 2, 14}
@@ -88,4 +101,4 @@ def test_whole_pipeline_against_brute_force(spark, tmp_path_factory):
         taken, whole = sum(size[r.doc_id] for r in mine), sum(size[i] for i in ids if i % 2 == source)
         target = whole * 2.0 if source == 0 else 1.5 * sum(size.values()) - 2.0 * sum(size[i] for i in ids if i % 2 == 0)
         assert abs(taken - target) <= 50 / 2 + 1e-6 and all(sum(r.doc_id == i for r in mine) <= 2 for i in ids)
-    assert all(r.shard == brute.jump(r.doc_id, 8) for r in out)
+    assert all(r.shard == brute.jump(r.doc_id, 8) and r.text == rows[r.doc_id][1] and r.source == rows[r.doc_id][3] for r in out)
