@@ -61,8 +61,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of every row, repeated ones too; see sharding.shard."""
-    return sharding.shard(docs, SHARDS)
+    """Every row with all its columns, its shard and its slot; repeated rows take slots each.
+
+    See sharding.shard_rows. Empty in, empty out."""
+    return sharding.shard_rows(docs, SHARDS)
 
 
 STAGES = [
