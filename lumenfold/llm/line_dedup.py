@@ -1,20 +1,30 @@
 """Operator 1, fuzzy line dedup by MinHash, in SQL functions only.
 
 A line's shingles are its 5-character pieces at every place. Distinct normalised lines get
-60 minimum hashes of all their shingles, in 30 bands of 7 values each, any two bands with
-one value in common at most. Links are confirmed by the exact Jaccard similarity of the
-same shingles, and union-find keeps one line per component. Two lines of similarity 0.8
-share a band with probability 0.991, of 0.85 with 0.999, of 0.9 with 0.9999 (simulated).
+60 minimum hashes: the hash of a shingle says which of 4 groups it is in, and each group has
+15 minima, so that a shingle costs 15 comparisons. They make 30 bands of 7 values each, any
+two bands with one value in common at most. Links are confirmed by the exact Jaccard
+similarity of the same shingles, and union-find keeps one line per component. Two lines of
+similarity 0.8 share a band with probability 0.99, of 0.85 with 0.999 (measured in a test).
+
+Before texts are fetched, a pair whose signatures agree in fewer than AGREE of 60 values, by
+two bits of each, is put aside: at similarity 0.8 that is more than six standard deviations
+below the mean. Lines that may have few shingles are never put aside so.
 
 Each line is first compared with one hub, the least line of its buckets. A bucket that then
 still holds several components is open. Small ones are compared whole; in large ones, in
 every round, one more line meets all that are not in its component and leaves. What is open
 after ROUNDS rounds is compared whole: those outside a bucket's largest component against
 all of it, in blocks. So no link between members of a bucket is lost.
+
+Lines are told apart by 128 bits. Candidates are known by 64 of them; where lines share those,
+all of them are fetched and compared.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,11 +34,14 @@ WIDTH = 5
 VALUES = 60
 #: Bands are shifts of one set of values whose differences are all distinct.
 BANDS = [[(2 * b + k) % VALUES for k in (0, 1, 4, 10, 18, 23, 25)] for b in range(30)]
+#: Groups of shingles, and minimum hashes of each.
+GROUPS, EACH = 4, VALUES // 4
 #: Lines of at most so many shingle places get a second key for each band, of its first 2
 #: values: few shingles leave few different minima, and one that differs spoils many bands.
-SHORT = 12
-#: Shingles that one row carries to the minimum hashes.
-STRIDE = 4
+SHORT = 24
+#: Values of 60 that candidates agree on at least, if both fill FILLED of 256 bins, which takes
+#: as many different shingles.
+AGREE, FILLED = 30, 30
 #: Members of an open bucket up to which it is compared whole at once.
 SMALL = 16
 #: Rounds of one hub an open bucket before blocks.
@@ -48,8 +61,11 @@ def normalize(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no from 0, norm: every line of every text, blank ones too. A null text has none."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("doc_id", "line_no", normalize(F.col("line")).alias("norm"))
+    """doc_id, line_no from 0, norm, line and second: every line of every text, blank ones too;
+    line and second are two hashes of norm, null where it is blank. A null text has no line."""
+    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("doc_id", "line_no", normalize(F.col("line")).alias("norm"))
+    some = lambda c, name: F.when(F.col("norm") != "", c).alias(name)
+    return rows.select("doc_id", "line_no", "norm", some(F.xxhash64("norm"), "line"), some(F.xxhash64(F.lit(7), "norm"), "second"))
 
 
 def shingles(norm: str) -> str:
@@ -60,38 +76,69 @@ def shingles(norm: str) -> str:
         sequence(0, greatest(length({norm}) - {WIDTH}, 0)), i -> xxhash64(substring(b, 4 * i + 1, {4 * WIDTH})))))[0]"""
 
 
-def band_keys(texts: DataFrame) -> DataFrame:
-    """texts(line, norm), a row a line -> (line, key): the band keys of each line.
+def signatures(texts: DataFrame) -> DataFrame:
+    """texts(line, second, norm), a row a line -> line, second, last, filled (bins of shingles) and
+    m0 to m59, null where a line has no shingle of the value's group.
+
+    Where texts is partitioned by line and second, as after a groupBy, nothing here is shuffled."""
+    wide = texts.select("line", "second", F.encode("norm", "UTF-32").alias("b"), F.expr(f"greatest(length(norm) - {WIDTH}, 0)").alias("last"))
+    places = wide.select("line", "second", "b", "last", F.explode(F.expr("sequence(0, last)")).alias("i"))
+    hashed = places.select("line", "second", "last", F.expr(f"xxhash64(substring(b, 4 * i + 1, {4 * WIDTH}))").alias("h"))
+    return minima(hashed)
 
-    Where texts is partitioned by line, as after a groupBy, nothing here is shuffled.
-    """
-    wide = texts.select("line", F.encode("norm", "UTF-32").alias("b"), F.expr(f"greatest(length(norm) - {WIDTH}, 0)").alias("last"))
-    places = wide.select("line", "b", "last", F.explode(F.expr(f"sequence(0, last, {STRIDE})")).alias("i"))
-    # behind the last shingle it is hashed again, which no minimum notices
-    at = [f"4 * least(i + {k}, last) + 1" for k in range(STRIDE)]
-    hashed = places.select("line", "last", *[F.expr(f"xxhash64(substring(b, {x}, {4 * WIDTH}))").alias(f"h{k}") for k, x in enumerate(at)])
 
-    def value(v: int) -> Column:
-        return F.min(F.least(*[F.expr(f"shiftleft(h{k}, {_FROM[v]}) ^ ({_XOR[v]}L)") for k in range(STRIDE)])).alias(f"m{v}")
+def minima(hashed: DataFrame) -> DataFrame:
+    """hashed(line, second, last, h), a row a shingle -> what signatures() gives."""
+    hashed = hashed.withColumn("g", F.expr(f"cast(h & {GROUPS - 1} as int)"))
+    # the constants are the same in all groups, whose hashes differ
+    least = [F.expr(f"min(shiftleft(h, {_FROM[v]}) ^ ({_XOR[v]}L))").alias(f"v{v}") for v in range(EACH)]
+    bins = F.expr("bit_or(shiftleft(1L, cast((h >> 2) & 63 as int)))").alias("bins")
+    one = hashed.groupBy("line", "second", "g").agg(F.max("last").alias("last"), bins, *least)
+    values = [F.min(F.when(F.col("g") == k, F.col(f"v{v}"))).alias(f"m{k * EACH + v}") for k in range(GROUPS) for v in range(EACH)]
+    return one.groupBy("line", "second").agg(F.max("last").alias("last"), F.sum(F.bit_count("bins")).alias("filled"), *values)
 
-    signed = hashed.groupBy("line").agg(F.max("last").alias("last"), *[value(v) for v in range(VALUES)])
-    key = lambda b, band: F.xxhash64(F.lit(b), *[f"m{v}" for v in band])
-    keys = F.array(*[key(b, band) for b, band in enumerate(BANDS)])
-    more = F.array(*[key(b, band[:2]) for b, band in enumerate(BANDS, len(BANDS))])
-    return signed.select("line", F.explode(F.when(F.col("last") < SHORT, F.concat(keys, more)).otherwise(keys)).alias("key"))
+
+def band_keys(texts: DataFrame) -> DataFrame:
+    """texts(line, second, norm), a row a line -> (key, line, sign): the band keys of each line, sign
+    null; and one row with a key of its own that holds two bits of each value and filled."""
+    signed = signatures(texts)
+
+    def key(b: int, band: list[int], every: bool) -> Column:
+        there = [F.col(f"m{v}").isNotNull() for v in band]
+        there = reduce(lambda x, y: x & y if every else x | y, there)
+        return F.when(there, F.xxhash64(F.lit(b), *[F.coalesce(f"m{v}", F.lit(0)) for v in band]))
+
+    keys = F.array(*[key(b, band, False) for b, band in enumerate(BANDS)])
+    more = F.array(*[key(b, band[:2], True) for b, band in enumerate(BANDS, len(BANDS))])
+    keys = F.filter(F.when(F.col("last") < SHORT, F.concat(keys, more)).otherwise(keys), lambda k: k.isNotNull())
+    bits = [" + ".join(f"shiftleft(coalesce(shiftright(m{v}, {at}) & 1, 0), {v})" for v in range(VALUES)) for at in (40, 41)]
+    sign = F.expr(f"named_struct('low', {bits[0]}, 'high', {bits[1]}, 'filled', filled)")
+    rows = signed.select("line", keys.alias("keys"), sign.alias("sign"))
+    lacks = F.expr("cast(null as struct<low:bigint,high:bigint,filled:bigint>)")
+    each = F.concat(F.transform("keys", lambda k: F.struct(k.alias("key"), lacks.alias("sign"))), F.array(F.struct(F.xxhash64(F.lit(-1), "line").alias("key"), "sign")))
+    return rows.select("line", F.explode(each).alias("e")).select("e.key", "line", "e.sign")
+
+
+def _alike(pairs: DataFrame, signs: DataFrame) -> DataFrame:
+    """pairs(a, b) whose signatures agree well enough, or of which one may have few shingles."""
+    rows = pairs
+    for end in ("a", "b"):
+        rows = rows.join(signs.select(F.col("line").alias(end), F.col("sign").alias(f"s{end}")), end)
+    agree = F.lit(VALUES) - F.bit_count(F.expr("(sa.low ^ sb.low) | (sa.high ^ sb.high)"))
+    return rows.where((F.least("sa.filled", "sb.filled") < FILLED) | (agree >= AGREE)).select("a", "b").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) that are similar on their full sets of shingles."""
-    left = texts.select(F.col("line").alias("a"), F.col("norm").alias("ta"))
-    right = texts.select(F.col("line").alias("b"), F.col("norm").alias("tb"))
+    """Pairs (a, b) of ids that are similar on their full sets of shingles; pairs has lines."""
+    left = texts.select(F.col("line").alias("a"), F.col("id").alias("ia"), F.col("norm").alias("ta"))
+    right = texts.select(F.col("line").alias("b"), F.col("id").alias("ib"), F.col("norm").alias("tb"))
     # lambdas name the sets and the count: plain columns would be made again at every use
     alike = F.expr(
         f"""transform(array(named_struct('x', {shingles("ta")}, 'y', {shingles("tb")})),
             p -> transform(array(size(array_intersect(p.x, p.y))),
                 n -> n * 100 >= (size(p.x) + size(p.y) - n) * {percent})[0])[0]"""
     )
-    return pairs.join(left, "a").join(right, "b").where(alike).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(alike).select(F.col("ia").alias("a"), F.col("ib").alias("b"))
 
 
 def _ordered(line: str, other: str) -> list[Column]:
@@ -99,10 +146,10 @@ def _ordered(line: str, other: str) -> list[Column]:
 
 
 def _open_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
-    """members(key, line) of the buckets that hold several components, with comp and the bucket's size k."""
-    named = members.join(found.select(F.col("node").alias("line"), "comp"), "line", "left").withColumn("comp", F.coalesce("comp", "line"))
+    """members(key, line, id) of the buckets that hold several components, with comp and the bucket's size k."""
+    named = members.join(found.select(F.col("node").alias("id"), "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     several = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("k")).where("x <> y").select("key", "k")
-    return named.join(several, "key").select("key", "line", "comp", "k")
+    return named.join(several, "key").select("key", "line", "id", "comp", "k")
 
 
 def _largest(named: DataFrame) -> DataFrame:
@@ -121,24 +168,29 @@ def _all_blocks(named: DataFrame) -> DataFrame:
 
 
 def line_components(lines: DataFrame, percent: int = 80) -> DataFrame:
-    """lines(line, norm), repeats and all -> (line, comp) of the lines that have links."""
+    """lines(line, second, norm), repeats and all -> (line, second, comp) of the lines that have links."""
     bucket = Window.partitionBy("key")
-    keys = band_keys(lines.groupBy("line").agg(F.first("norm").alias("norm")))
-    members = materialize(keys.withColumns({"hub": F.min("line").over(bucket), "_last": F.max("line").over(bucket)}).where("hub <> _last").drop("_last"), "members")
+    keys = band_keys(lines.groupBy("line", "second").agg(F.first("norm").alias("norm")))
+    keys = keys.withColumns({"hub": F.min("line").over(bucket), "_last": F.max("line").over(bucket)})
+    every = materialize(keys.where("hub <> _last or sign is not null").drop("_last"), "members")
+    signs, members = every.where("sign is not null").select("line", "sign"), every.where("sign is null").drop("sign")
     some = materialize(members.select("line").distinct(), "some")
-    texts = materialize(lines.join(few(some), "line", "left_semi").groupBy("line").agg(F.first("norm").alias("norm")), "texts")
-    used = [members, some, texts]
+    texts = lines.join(few(some), "line", "left_semi").groupBy("line", "second").agg(F.first("norm").alias("norm"))
+    texts = materialize(texts.withColumn("id", F.monotonically_increasing_id()), "texts")
+    signs = materialize(signs.join(few(some), "line", "left_semi"), "signs")
+    used = [every, some, texts, signs]
 
     def linked(pairs: DataFrame, found: DataFrame | None) -> DataFrame:
-        links = materialize(_verified(pairs, texts, percent), "links")
+        close = materialize(_alike(pairs, signs), "close")
+        links = materialize(_verified(close, texts, percent), "links")
         out = join_components(found, links)
-        used.extend([links, out])
+        used.extend([close, links, out])
         return out
 
     tested = materialize(members.where("line <> hub").groupBy("line").agg(F.min("hub").alias("hub")).select(*_ordered("line", "hub")).distinct(), "pairs")
     used.append(tested)
     found = linked(tested, None)
-    members = members.select("key", "line")
+    members = members.select("key", "line").join(few(texts.select("line", "id")), "line")
     for turn in range(ROUNDS + 1):
         named = materialize(_open_buckets(members, found), "open")
         used.append(named)
@@ -154,17 +206,16 @@ def line_components(lines: DataFrame, percent: int = 80) -> DataFrame:
             used.append(hubs)
             met = met.union(members.join(hubs, "key").where("comp <> own").select(*_ordered("line", "hub")).distinct())
             # a hub has met all others of its bucket
-            members = members.join(hubs, "key").where("line <> hub").select("key", "line")
+            members = members.join(hubs, "key").where("line <> hub").select("key", "line", "id")
         pairs = materialize(met.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         used.append(pairs)
         tested = tested.union(pairs)
         found = linked(pairs, found)
         if turn < ROUNDS and members.isEmpty():
             break
-    out = found.select(F.col("node").alias("line"), "comp")
-    for table in used:
-        if table is not found:
-            discard(table)
+    out = materialize(texts.select("line", "second", "id").join(found.select(F.col("node").alias("id"), "comp"), "id").select("line", "second", "comp"), "linked")
+    for table in [*used, found]:
+        discard(table)
     return out
 
 
@@ -177,13 +228,17 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     and so do rows that share its doc_id and line_no. A null doc_id orders last. Other
     columns of docs are ignored, whatever their names. Empty in, empty out.
     """
-    lines = lines_of(docs).withColumn("line", F.when(F.col("norm") != "", F.xxhash64("norm")))
-    comps = line_components(lines.where("line is not null").select("line", "norm"), percent)
-    rows = lines.select("doc_id", "line_no", "line").join(few(comps), "line", "left")
-    rows = materialize(rows.select("doc_id", "line_no", F.coalesce("comp", "line").alias("comp")), "rows")
+    lines = lines_of(docs)
+    comps = line_components(lines.where("line is not null").select("line", "second", "norm"), percent)
+    # blank lines take no part in the joins
+    rows = lines.where("line is not null").drop("norm").join(few(comps), ["line", "second"], "left")
+    own = F.when(F.col("comp").isNull(), F.struct("line", "second"))
+    rows = materialize(rows.select("doc_id", "line_no", F.struct("comp", own.alias("own")).alias("comp")), "rows")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
-    best = rows.where("comp is not null").groupBy("comp").agg(F.count("*").alias("n"), F.min(place).alias("w")).where("n > 1").select("comp", "w")
-    out = rows.join(best, "comp", "left")
+    best = rows.groupBy("comp").agg(F.count("*").alias("n"), F.min(place).alias("w")).where("n > 1").select("comp", "w")
+    found = rows.join(best, "comp", "left").select("doc_id", "line_no", "w")
+    blank = lines.where("line is null").select("doc_id", "line_no", F.lit(None).cast(found.schema["w"].dataType).alias("w"))
+    out = found.union(blank)
     alone = F.col("w").isNull()
     keep_doc, keep_line = F.when(alone, F.col("doc_id")).otherwise(F.col("w.doc_id")), F.when(alone, F.col("line_no")).otherwise(F.col("w.line_no"))
     return out.select("doc_id", "line_no", (keep_doc.eqNullSafe(F.col("doc_id")) & (keep_line == F.col("line_no"))).alias("kept"), keep_doc.alias("keep_doc_id"), keep_line.alias("keep_line_no"))

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lumenfold.llm import exact_dedup, line_dedup, near_dedup
 from lumenfold.llm.common import connected_components
@@ -149,6 +150,46 @@ def test_line_candidates_by_the_link_shingles(spark):
     assert [x.keep_doc_id for x in sorted(got)] == comp
 
 
+def near_pair(r, shared, union):
+    """Two lines of which shared of union shingles are common: words of 5 letters apart by what no shingle joins."""
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(union)]
+    return words[: shared + (union - shared) // 2], words[:shared] + words[shared + (union - shared) // 2 :]
+
+
+@pytest.mark.parametrize("union, percent, recall", [(20, 80, 0.985), (40, 80, 0.985), (100, 80, 0.985), (100, 85, 0.997), (200, 90, 0.999)])
+def test_line_recall(spark, union, percent, recall):
+    """The share of pairs of a similarity that have a band in common and pass the sieve (of 1,500 pairs)."""
+    r, rows = random.Random(union + percent), []
+    for k in range(1500):
+        shingles = [set(w) for w in near_pair(r, union * percent // 100, union)]
+        rows += [(k, side, h) for side, words in enumerate(shingles) for h in words]
+    spark.createDataFrame(rows, "pair int, side int, h string").createOrReplaceTempView("made")
+    # signatures of sets of shingles as given: a line is replaced by rows of its shingles
+    real = line_dedup.signatures
+
+    def by_sets(texts):
+        hashed = spark.table("made").select((F.col("pair") * 2 + F.col("side")).cast("bigint").alias("line"), F.lit(0).cast("bigint").alias("second"), F.lit(union).alias("last"), F.xxhash64("h").alias("h"))
+        return line_dedup.minima(hashed)
+
+    line_dedup.signatures = by_sets
+    try:
+        rows = line_dedup.band_keys(None).cache()
+    finally:
+        line_dedup.signatures = real
+    keys = rows.where("sign is null").select("key", "line", (F.col("line") / 2).cast("int").alias("pair"))
+    both = keys.groupBy("key", "pair").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("a", "b").distinct()
+    found = line_dedup._alike(both, rows.where("sign is not null").select("line", "sign")).count()
+    assert found / 1500 >= recall, found
+
+
+def test_line_names_of_128_bits(spark, docs, monkeypatch):
+    """Lines that share 64 bits of their name are lines of their own."""
+    real = line_dedup.lines_of
+    want = sorted(map(repr, map(tuple, line_dedup.dedup_lines(docs).collect())))
+    monkeypatch.setattr(line_dedup, "lines_of", lambda d: real(d).withColumn("line", F.when(F.col("line").isNotNull(), F.pmod("line", F.lit(3)))))
+    assert sorted(map(repr, map(tuple, line_dedup.dedup_lines(docs).collect()))) == want
+
+
 def test_empty_tables(empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
     assert near_dedup.near_duplicates(empty).count() == 0
