@@ -145,3 +145,15 @@ def walk_seconds(dist: Column, speed: Column) -> Column:
 def speak(lines: Column, category: Column, u: Column) -> Column:
     """O-76: a line of the category, of "idle" where that is missing."""
     return pick(F.coalesce(F.try_element_at(lines, category), F.try_element_at(lines, F.lit("idle"))), u)
+
+
+# Odds of a remark when a use begins, when one ends, and when a character wanders off.
+REMARKS = {"arrived_use": 0.6, "done": 0.35, "wander": 0.25}
+
+
+def remark(event: Column, need: Column, anim: Column, u: Column) -> Column:
+    """The category of the line that an event calls forth; null where nothing is said."""
+    begins = F.when(need == "hunger", "hungry").when(anim == "sleep", "tired").otherwise("fun")
+    said = F.when(event == "arrived_use", begins).when(event == "done", "fun").when(event == "wander", "idle")
+    odds = F.create_map(*[F.lit(x) for pair in REMARKS.items() for x in pair])
+    return F.when(u < F.coalesce(F.try_element_at(odds, event), F.lit(0.0)), said)

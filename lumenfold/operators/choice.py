@@ -95,29 +95,68 @@ def wander_target(u: Column, v: Column) -> tuple[Column, Column]:
     return (u - 0.5) * 40, (v - 0.5) * 30
 
 
+def running_affinity(chats: DataFrame, asked: DataFrame, per_hour: float = 2.2) -> DataFrame:
+    """O-43 as of a time: asked(house, src, dst, at_s, ...) with score: what chats(house, src, dst, end_s, hours) that were over
+    before at_s have added up to. One sorted pass over both, no range join."""
+    names = [c for c in asked.columns if c not in ("house", "src", "dst", "at_s")]
+    one = asked.select("house", "src", "dst", "at_s", F.lit(0).alias("_chat"), F.lit(0.0).alias("_hours"), F.struct(F.lit(True).alias("_is"), *names).alias("_r"))
+    two = chats.select("house", "src", "dst", F.col("end_s").alias("at_s"), F.lit(1).alias("_chat"), F.col("hours").cast("double").alias("_hours"), F.lit(None).cast(one.schema["_r"].dataType).alias("_r"))
+    # at one time those who ask come first
+    w = Window.partitionBy("house", "src", "dst").orderBy("at_s", "_chat").rowsBetween(Window.unboundedPreceding, 0)
+    rows = one.union(two).withColumn("score", F.sum(F.col("_hours") * F.lit(per_hour)).over(w)).where("_chat = 0")
+    return rows.select("house", "src", "dst", "at_s", *[F.col(f"_r.{c}").alias(c) for c in names], "score")
+
+
+def partner_as_of(decisions: DataFrame, members: DataFrame, chats: DataFrame, seed: str) -> DataFrame:
+    """O-50, O-51, O-74 as of each decision: decisions(house, id, at_s, decision) -> with other: the partner chosen by the scores of
+    that time, null where the house has nobody else. members(house, id, ordinal); a house has a
+    handful. chats as running_affinity() takes them."""
+    others = members.select("house", F.col("id").alias("dst"), "ordinal")
+    asked = decisions.withColumnRenamed("id", "src").join(others, "house").where("src <> dst")
+    scored = running_affinity(chats, asked)
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "ordinal", F.col("dst").alias("id"))))
+    found = scored.groupBy("house", F.col("src").alias("id"), "at_s", "decision").agg(ranked.alias("_ranked"))
+    u, v = derive.draw(seed, "decision", F.lit("top")), derive.draw(seed, "decision", F.lit("any"))
+    at = F.when(u < 0.7, F.lit(1)).otherwise((F.floor(v * F.size("_ranked")) + 1).cast("int"))
+    found = found.select("house", "id", "decision", F.try_element_at("_ranked", at)["id"].alias("other"))
+    return decisions.join(found, ["house", "id", "decision"], "left")
+
+
 def decide(entities: DataFrame, objects: DataFrame, scores: DataFrame, seed: str) -> DataFrame:
     """O-74: one action for each entity: wander, chat, use or idle, and with whom or what.
 
     entities(house, id, ordinal, state, partner, hunger, energy, fun, social, sociability,
     trait_energy, playfulness, order, favorites); objects(house, id, ordinal, need, ...)
-    with room; scores(house, id, other, score). Joins are on the house, equi only.
-    """
+    with room; scores(house, id, other, score), of repeated ones the greatest. A house is a
+    handful of rows: each table is dealt by house once, and the house's choices are made in its row."""
     needs = {n: F.col(n) for n in ("hunger", "energy", "fun", "social")}
     top = derive.most_urgent(derive.need_weights(needs, F.col("sociability"), F.col("trait_energy"), F.col("playfulness")))
-    rows = entities.withColumn("_top", top).withColumn("_wander", wander(F.col("_top.weight"), F.col("order"), derive.draw(seed, "house", "id", F.lit("wander"))))
-    pairs = chat_pairs(entities).join(scores, ["house", "id", "other"], "left")
-    partner = choose_partner(pairs, seed).select("house", "id", F.col("other").alias("_other"))
-    rows = rows.join(partner, ["house", "id"], "left")
-    need = F.when((F.col("_top.need") == "social") & F.col("_other").isNull(), "fun").otherwise(F.col("_top.need"))
-    rows = rows.withColumn("need", need)
-    able = objects.select("house", F.col("id").alias("object_id"), F.col("ordinal").alias("object_ordinal"), "need")
-    found = rows.where((~F.col("_wander")) & (F.col("need") != "social")).select("house", "id", "need", "favorites").join(able, ["house", "need"])
-    found = prefer(found, ["house", "id"], F.array_contains("favorites", F.col("object_id")))
-    found = choose_one(found, ["house", "id"], "object_ordinal", derive.draw(seed, "house", "id", F.lit("object"))).select("house", "id", "object_id")
-    rows = rows.join(found, ["house", "id"], "left")
-    action = F.when(F.col("_wander"), "wander").when(F.col("need") == "social", "chat").when(F.col("object_id").isNotNull(), "use").otherwise("idle")
+    wanders = wander(F.col("_top.weight"), F.col("order"), derive.draw(seed, "house", "id", F.lit("wander")))
+    rows = entities.withColumn("_top", top).withColumn("_wander", wanders)
+    who = rows.groupBy("house").agg(F.collect_list(F.struct("id", "ordinal", "state", "partner", "favorites", F.col("_top.need").alias("need"), F.col("_wander").alias("wander"))).alias("who"))
+    liked = scores.groupBy("house").agg(F.collect_list(F.struct("id", "other", "score")).alias("liked"))
+    able = objects.groupBy("house").agg(F.collect_list(F.struct("need", "ordinal", "id")).alias("able"))
+    me = F.col("me")
+    each = who.join(liked, "house", "left").join(able, "house", "left").select("house", "who", "liked", "able", F.explode("who").alias("me")).withColumn("id", me["id"])
+
+    def score(other: Column) -> Column:
+        mine = F.filter("liked", lambda s: (s["id"] == me["id"]) & (s["other"] == other))
+        return F.coalesce(F.array_max(F.transform(mine, lambda s: s["score"])), F.lit(0.0))
+
+    free = F.filter("who", lambda w: (w["id"] != me["id"]) & w["partner"].isNull() & (w["state"] != "using"))
+    each = each.withColumn("_free", F.array_sort(F.transform(free, lambda w: F.struct((-score(w["id"])).alias("s"), w["ordinal"].alias("o"), w["id"].alias("id")))))
+    u, v = derive.draw(seed, "house", "id", F.lit("top")), derive.draw(seed, "house", "id", F.lit("any"))
+    at = F.when(u < 0.7, F.lit(1)).otherwise((F.floor(v * F.size("_free")) + 1).cast("int"))
+    each = each.withColumn("_other", F.try_element_at("_free", at)["id"])
+    each = each.withColumn("need", F.when((me["need"] == "social") & F.col("_other").isNull(), "fun").otherwise(me["need"]))
+    found = F.filter("able", lambda o: o["need"] == F.col("need"))
+    each = each.withColumn("_found", F.array_sort(F.transform(found, lambda o: F.struct(o["ordinal"].alias("o"), o["id"].alias("id")))))
+    favored = F.filter("_found", lambda o: F.array_contains(me["favorites"], o["id"]))
+    pool = F.when(F.size(favored) > 0, favored).otherwise(F.col("_found"))
+    each = each.withColumn("object_id", F.when(~me["wander"] & (F.col("need") != "social"), derive.pick(pool, derive.draw(seed, "house", "id", F.lit("object")))["id"]))
+    action = F.when(me["wander"], "wander").when(F.col("need") == "social", "chat").when(F.col("object_id").isNotNull(), "use").otherwise("idle")
     x, z = wander_target(derive.draw(seed, "house", "id", F.lit("x")), derive.draw(seed, "house", "id", F.lit("z")))
-    return rows.select("house", "id", F.col("need"), action.alias("action"), F.when(action == "chat", F.col("_other")).alias("other"), F.when(action == "use", F.col("object_id")).alias("object_id"), F.when(action == "wander", x).alias("x"), F.when(action == "wander", z).alias("z"))
+    return each.select("house", "id", "need", action.alias("action"), F.when(action == "chat", F.col("_other")).alias("other"), "object_id", F.when(action == "wander", x).alias("x"), F.when(action == "wander", z).alias("z"))
 
 
 def seat_greedily(entities: DataFrame, seats: DataFrame) -> DataFrame:

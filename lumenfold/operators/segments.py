@@ -57,12 +57,16 @@ TRANSITIONS = [
     ("chatting", "done", "idle"),
     ("chatting", "partner_gone", "idle"),
     ("gathered", "released", "idle"),
+    ("idle", "visited", "chatting"),
+    ("walking", "visited", "chatting"),
+    ("gathered", "visited", "chatting"),
 ]
 COMMANDS = ("move", "use", "gather")
 
 
 def next_state(rows: DataFrame) -> DataFrame:
-    """O-66, O-77..O-79: rows(state, event, free_will) with next_state. A command leads to
+    """O-66, O-77..O-79: rows(state, event, free_will) with next_state. A partner who is visited turns to
+    chatting too, unless in use of something. A command leads to
     walking from anywhere; deciding needs free will (null: yes); other events are ignored."""
     pairs = F.create_map(*[F.lit(x) for a, b, c in TRANSITIONS for x in (f"{a}/{b}", c)])
     to = F.try_element_at(pairs, F.concat_ws("/", "state", "event"))
@@ -71,11 +75,16 @@ def next_state(rows: DataFrame) -> DataFrame:
 
 
 def close_on_command(segments: DataFrame, commands: DataFrame) -> DataFrame:
-    """O-78: a command(house, id, at_s) ends the segment that is open then.
-
-    Both go through one window by (house, id): no range join."""
-    events = segments.select("house", "id", "start_s", "end_s", F.lit(None).cast("double").alias("at_s")).unionByName(commands.select("house", "id", F.col("at_s").alias("start_s"), F.lit(None).cast("double").alias("end_s"), "at_s"))
-    # from the end backwards, so that the frame only grows: the last command met is the next one
-    later = Window.partitionBy("house", "id").orderBy(F.col("start_s").desc(), F.col("at_s").isNotNull().desc()).rowsBetween(Window.unboundedPreceding, -1)
-    rows = events.withColumn("cut_s", F.last("at_s", ignorenulls=True).over(later))
-    return rows.where("at_s is null").withColumn("end_s", F.least("end_s", "cut_s")).drop("at_s", "cut_s")
+    """O-78: a command(house, id, at_s) ends the segment that is open then; one that begins with the
+    command stays.
+
+    Both go through one window by (house, id): no range join. Other columns of segments stay."""
+    names = [c for c in segments.columns if c not in ("house", "id")]
+    rows = segments.select("house", "id", "start_s", F.lit(None).cast("double").alias("at_s"), F.struct(*names).alias("r"))
+    none = F.lit(None).cast(rows.schema["r"].dataType).alias("r")
+    rows = rows.union(commands.select("house", "id", F.col("at_s").alias("start_s"), "at_s", none))
+    # from the end backwards, so that the frame only grows: the last command met is the next one;
+    # of equal times the segment comes first, so its own command is not met
+    later = Window.partitionBy("house", "id").orderBy(F.col("start_s").desc(), F.col("at_s").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("cut_s", F.last("at_s", ignorenulls=True).over(later)).where("r is not null")
+    return rows.select("house", "id", *[F.least("r.end_s", "cut_s").alias(c) if c == "end_s" else F.col(f"r.{c}").alias(c) for c in names])

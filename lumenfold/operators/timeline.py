@@ -15,9 +15,11 @@ def timeline(lines: DataFrame, scene: str = "scene_id", turn: str = "turn", text
     return lines.withColumn("start_s", start).withColumn("end_s", start + delay)
 
 
-def spoken(lines: DataFrame, entities: DataFrame, speaker: str = "speaker_id") -> DataFrame:
-    """O-31: timed lines of known speakers; an unknown speaker's line keeps its time and is not said."""
-    return lines.join(F.broadcast(entities.select(F.col("id").alias(speaker))), speaker, "left_semi")
+def spoken(lines: DataFrame, entities: DataFrame, speaker: str = "speaker_id", house: str | None = None) -> DataFrame:
+    """O-31: timed lines of known speakers, of their house where there is one; an unknown speaker's line keeps its
+    time, so those after it start no sooner, and is not said."""
+    on = [house, speaker] if house else [speaker]
+    return lines.join(entities.withColumnRenamed("id", speaker).select(*on), on, "left_semi")
 
 
 def replies(chats: DataFrame, delay_s: float = 2.6) -> DataFrame:
@@ -26,7 +28,32 @@ def replies(chats: DataFrame, delay_s: float = 2.6) -> DataFrame:
     return chats.where(at < F.col("end_s")).withColumn("reply_s", at)
 
 
-def toggles(presses: DataFrame, key: str, at: str) -> DataFrame:
-    """O-28, O-71: every second press ends what the first began."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(at))
-    return presses.withColumn("active", n % 2 == 1)
+def open_chats(points: DataFrame, chats: DataFrame) -> DataFrame:
+    """points(house, id, at_s, ...) with chats: how many chats(house, id, start_s, end_s) of that id are on then, from
+    their start up to but not at their end; a null end is never.
+
+    Starts, ends and points go through one ordered window: no range join, and chats may overlap."""
+    names = [c for c in points.columns if c not in ("house", "id", "at_s")]
+    row = F.struct(F.lit(True).alias("_is"), *names)
+    asked = points.select("house", "id", "at_s", F.lit(0).alias("change"), row.alias("r"))
+    none = F.lit(None).cast(asked.schema["r"].dataType).alias("r")
+    known = chats.where("start_s is not null and (end_s is null or end_s > start_s)")
+    changes = known.select("house", "id", F.col("start_s").alias("at_s"), F.lit(1).alias("change"), none).union(known.where("end_s is not null").select("house", "id", F.col("end_s").alias("at_s"), F.lit(-1).alias("change"), none))
+    w = Window.partitionBy("house", "id").orderBy("at_s", F.col("r").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = asked.union(changes).withColumn("chats", F.sum("change").over(w)).where("r is not null")
+    return rows.select("house", "id", "at_s", *[F.col(f"r.{c}").alias(c) for c in names], "chats")
+
+
+def fired_replies(chats: DataFrame, delay_s: float = 2.6) -> DataFrame:
+    """O-68: chats(house, chat, id, other, start_s, end_s), id having come to other -> house, id (who answers), chat,
+    at_s: the answers that are said. An answer is due delay_s after its chat began and asks only whether
+    its speaker is in any chat then, be it another one."""
+    due = chats.select("house", F.col("other").alias("id"), (F.col("start_s") + F.lit(delay_s)).alias("at_s"), "chat")
+    both = chats.select("house", F.explode(F.array("id", "other")).alias("id"), "start_s", "end_s")
+    return open_chats(due, both).where("chats > 0").select("house", "id", "chat", "at_s")
+
+
+def bubbles(lines: DataFrame, seconds: float = 3.5) -> DataFrame:
+    """O-67: lines(house, id, at_s, seq) with until_s: a line is seen for so long, or until its speaker's next one."""
+    w = Window.partitionBy("house", "id").orderBy("at_s", "seq")
+    return lines.withColumn("until_s", F.least(F.col("at_s") + F.lit(seconds), F.lead("at_s").over(w)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NEEDS = ("hunger", "energy", "fun", "social")
@@ -56,11 +56,22 @@ def objects(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, OBJECT_SCHEMA)
 
 
-def register(table: DataFrame, rows: list[tuple]) -> DataFrame:
-    """O-02: objects appended behind those there; rows lack the ordinal."""
-    spark = table.sparkSession
-    start = table.agg(F.coalesce(F.max("ordinal") + 1, F.lit(0))).first()[0]
-    return table.unionByName(spark.createDataFrame([(start + i, *r) for i, r in enumerate(rows)], OBJECT_SCHEMA))
+def register(table: DataFrame, rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """O-02: objects appended behind those there, each key's (a house's) by itself: rows have the columns of
+    table but the ordinal, which goes on from the greatest one, in the order given."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    both = table.withColumn("_new", F.lit(None).cast("int")).unionByName(rows.withColumn("ordinal", F.lit(None).cast("int")).withColumn("_new", place))
+    top = F.coalesce(F.max("ordinal").over(Window.partitionBy(*keys)), F.lit(-1))
+    return both.withColumn("ordinal", F.coalesce("ordinal", (top + F.col("_new")).cast("int"))).drop("_new")
+
+
+def by_id(rows: DataFrame, table: DataFrame, on: list[str], order: str | None = None) -> DataFrame:
+    """O-20, O-21: rows with what table has under the same keys, nulls where it has nothing. Of several
+    the first in order counts; without an order keys are unique."""
+    if order is not None:
+        w = Window.partitionBy(*on).orderBy(order)
+        table = table.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return rows.join(table, on, "left")
 
 
 def seats(spark: SparkSession) -> DataFrame:

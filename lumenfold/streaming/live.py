@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lumenfold.operators import pairing
+
 PAIRED = "house bigint, id string, partner string, event string"
 PAIRS = "partners map<string,string>"
 
@@ -33,20 +35,11 @@ def occupancy(changes: DataFrame) -> DataFrame:
 
 
 def _pair(key, batches, state: GroupState):
-    """O-35: a link forms on arrival, and only with a partner who is free; both get it.
-    An arrival at a partner who has a link, or a repeated one, comes to nothing. A house's
-    rows of one trigger are few; they are put in order over all of its batches."""
+    """O-35 on a stream. A house's rows of one trigger are few; they are put in order over all of its batches."""
     partners = dict(state.get[0] or {}) if state.exists else {}
     out = []
     for r in pd.concat(list(batches)).sort_values("seq", kind="stable").itertuples(index=False):
-        if r.kind == "leave":
-            other = partners.pop(r.id, None)
-            if other:
-                partners.pop(other, None)
-                out += [(key[0], r.id, other, "parted"), (key[0], other, r.id, "parted")]
-        elif r.id != r.other and not r.other_using and r.other not in partners and r.id not in partners:
-            partners[r.id], partners[r.other] = r.other, r.id
-            out += [(key[0], r.id, r.other, "linked"), (key[0], r.other, r.id, "linked")]
+        out += [(key[0], *x) for x in pairing.step(partners, r)]
     state.update((partners,))
     yield pd.DataFrame(out, columns=["house", "id", "partner", "event"])
 
