@@ -10,9 +10,13 @@ from lumenfold.functions import derive
 
 def available(objects: DataFrame, users: DataFrame) -> DataFrame:
     """O-22, O-44: objects(house, id, capacity) with users counted from open segments(house,
-    object_id), those with room only."""
-    open_ = users.groupBy("house", F.col("object_id").alias("id")).agg(F.count("*").alias("users"))
-    return objects.join(open_, ["house", "id"], "left").withColumn("users", F.coalesce("users", F.lit(0))).where("users < capacity")
+    object_id), those with room only. (house, id) is a key of objects; both tables are dealt
+    and counted together, so no join."""
+    names = [c for c in objects.columns if c not in ("house", "id")]
+    spots = objects.select("house", "id", F.struct(*names).alias("o"), F.lit(0).alias("u"))
+    open_ = users.select("house", F.col("object_id").alias("id"), F.lit(None).cast(spots.schema["o"].dataType).alias("o"), F.lit(1).alias("u"))
+    both = spots.union(open_).groupBy("house", "id").agg(F.first("o", ignorenulls=True).alias("o"), F.sum("u").alias("users"))
+    return both.where("o is not null and users < o.capacity").select("house", "id", "o.*", "users")
 
 
 def prefer(candidates: DataFrame, who: list[str], favorite: Column) -> DataFrame:

@@ -37,10 +37,11 @@ def timers(starts: DataFrame, seconds: Column, at: Column) -> DataFrame:
     return starts.withColumn("due_s", F.col("start_s") + seconds).withColumn("over", F.col("start_s") + seconds <= at)
 
 
-def game_clock(commands: DataFrame) -> DataFrame:
+def game_clock(commands: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
     """O-71, O-61: speed commands(house, at_s, speed) -> the stretch each holds for, its game
-    minutes and the game minutes before it. The last stretch is open."""
-    w = Window.partitionBy("house").orderBy("at_s")
+    minutes and the game minutes before it. The last stretch is open. Of equal times, in the order
+    of ties, each but the last is empty."""
+    w = Window.partitionBy("house").orderBy("at_s", *ties)
     rows = commands.withColumn("until_s", F.lead("at_s").over(w)).withColumn("minutes", (F.col("until_s") - F.col("at_s")) * F.col("speed") * 10)
     return rows.withColumn("minutes_before", F.coalesce(F.sum("minutes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions import derive
 from lumenfold.operators import choice, commands, movement, occupancy, pairing, scan, segments, snapshot, timeline, toggles
 from lumenfold.sources import catalog
+from lumenfold.streaming import live, timers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -565,23 +566,19 @@ def speed_commands(spark, d):
     return _speeds(spark, d).select("house", F.col("seq").alias("event_id"), "speed", F.round("run_s", 3).alias("run_s"))
 
 
-@query(f"""WITH m AS (SELECT house, at_s, event_id, CASE WHEN value IS NULL THEN 2 ELSE value END * 1.0 AS speed, lead(at_s) OVER (PARTITION BY house ORDER BY at_s, event_id) - at_s AS held FROM {_SPEED})
+@query(f"""WITH m AS (SELECT house, floor(at_s) AS at_s, event_id, CASE WHEN value IS NULL THEN 2 ELSE value END * 1.0::DOUBLE AS speed, lead(floor(at_s)) OVER (PARTITION BY house ORDER BY floor(at_s), event_id) - floor(at_s) AS held FROM {_SPEED})
 SELECT house, event_id, round(held * speed * 10, 3) AS minutes, round(coalesce(sum(held * speed * 10) OVER (PARTITION BY house ORDER BY at_s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 2) AS minutes_before FROM m""")
 def speed_clock(spark, d):
     """O-61, O-71: game minutes of each stretch of one speed."""
     v = F.col("value")
-    c = timed(spark, d).select(F.col("event_type").alias("house"), "at_s", F.col("event_id"), F.when(v < 15, 0).when(v < 30, 1).when(v < 45, 3).otherwise(2).alias("speed"))
-    return segments.game_clock(c).select("house", "event_id", F.round("minutes", 3).alias("minutes"), F.round("minutes_before", 2).alias("minutes_before"))
+    c = timed(spark, d).select(F.col("event_type").alias("house"), F.floor("at_s").cast("double").alias("at_s"), F.col("event_id"), F.when(v < 15, 0).when(v < 30, 1).when(v < 45, 3).otherwise(2).alias("speed"))
+    return segments.game_clock(c, ("event_id",)).select("house", "event_id", F.round("minutes", 3).alias("minutes"), F.round("minutes_before", 2).alias("minutes_before"))
 
 
-@query(f"""WITH RECURSIVE c AS {_SPEED},
-run AS (SELECT house, 0::BIGINT AS n, 1 AS speed, 0::DOUBLE AS at_s, 0::DOUBLE AS run_s FROM (SELECT DISTINCT house FROM c)
-  UNION ALL SELECT w.house, c.n, CASE WHEN c.value IS NOT NULL THEN c.value WHEN w.speed > 0 THEN 0 ELSE 1 END, c.at_s, w.run_s + CASE WHEN w.speed > 0 THEN c.at_s - w.at_s ELSE 0 END
-  FROM run w JOIN c ON c.house = w.house AND c.n = w.n + 1),
-p AS (SELECT house, at_s, event_id, 30 * k AS length_s, run_s, row_number() OVER (PARTITION BY house ORDER BY at_s, event_id) AS n
-  FROM (SELECT event_type AS house, at_s, event_id, k FROM {_TIMED}) JOIN run USING (house, at_s)),
-walk AS (SELECT house, 0::BIGINT AS n, NULL::BIGINT AS event_id, false AS starts, -1e9::DOUBLE AS over_s FROM (SELECT DISTINCT house FROM c)
-  UNION ALL SELECT w.house, p.n, p.event_id, NOT (w.starts AND p.run_s < w.over_s), p.run_s + p.length_s FROM walk w JOIN p ON p.house = w.house AND p.n = w.n + 1)
+@query(f"""WITH RECURSIVE c AS (SELECT s.*, 30 * k AS length_s FROM {_SPEED} s JOIN {_TIMED} t ON s.event_id = t.event_id),
+walk AS (SELECT house, 0::BIGINT AS n, NULL::BIGINT AS event_id, 1 AS speed, 0::DOUBLE AS at_s, 0::DOUBLE AS run_s, false AS starts, -1e9::DOUBLE AS over_s FROM (SELECT DISTINCT house FROM c)
+  UNION ALL SELECT b.house, b.n, b.event_id, CASE WHEN b.value IS NOT NULL THEN b.value WHEN b.was > 0 THEN 0 ELSE 1 END, b.at_s, b.run_s, NOT (b.starts AND b.run_s < b.over_s), b.run_s + b.length_s
+  FROM (SELECT c.*, w.speed AS was, w.starts, w.over_s, w.run_s + CASE WHEN w.speed > 0 THEN c.at_s - w.at_s ELSE 0 END AS run_s FROM walk w JOIN c ON c.house = w.house AND c.n = w.n + 1) b)
 SELECT house, event_id, starts FROM walk WHERE n > 0""")
 def scene_toggles(spark, d):
     """O-28, O-69, O-71: which presses begin a scene; scenes end by themselves and stand still with the house."""
@@ -751,7 +748,7 @@ _INPUTS = """(SELECT event_id, user_id AS house, ts, CASE event_type WHEN 'view'
     ELSE list_extract(['1', '8', '9', ' ', 'G', 'f', 'q'], (event_id % 7 + 1)::INT) END AS name FROM events)"""
 
 
-def inputs(spark: SparkSession, d: str) -> DataFrame:
+def inputs_of(events: DataFrame) -> DataFrame:
     """Events as inputs of five sources, each delivered twice."""
     kind, n = F.col("event_type"), F.col("event_id")
     nth = lambda names: F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
@@ -761,7 +758,7 @@ def inputs(spark: SparkSession, d: str) -> DataFrame:
         .when(kind == "click", F.concat_ws(":", nth(["entity", "object", "ground", "wall"]), n % 9)).when(kind == "signup", (n % 8).cast("string"))
         .otherwise(nth(["1", "8", "9", " ", "G", "f", "q"]))
     )
-    rows = _t(spark, d, "events").select(n.alias("input_id"), F.col("user_id").alias("house"), "ts", source.alias("source"), name.alias("name"))
+    rows = events.select(n.alias("input_id"), F.col("user_id").alias("house"), "ts", source.alias("source"), name.alias("name"))
     return rows.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
 
 
@@ -772,7 +769,7 @@ def inputs(spark: SparkSession, d: str) -> DataFrame:
   ELSE CASE name WHEN '1' THEN 'select:0' WHEN '8' THEN 'select:7' WHEN ' ' THEN 'speed:toggle' WHEN 'G' THEN 'scene' WHEN 'f' THEN 'follow' END END AS command FROM {_INPUTS}) WHERE command IS NOT NULL""")
 def command_table(spark, d):
     """O-06: one table of commands from buttons, toolbar, keys, pointer and roster."""
-    return commands.command_table(inputs(spark, d))
+    return commands.command_table(inputs_of(_t(spark, d, "events")))
 
 
 @query(f"""WITH e AS (SELECT id, CASE id % 3 WHEN 0 THEN 'arrived_use' WHEN 1 THEN 'done' ELSE 'wander' END AS event, CASE id % 4 WHEN 0 THEN 'hunger' WHEN 1 THEN 'energy' ELSE 'fun' END AS need,
@@ -792,3 +789,31 @@ def scene_release(spark, d):
     """O-77: at the end of a scene those who sit are freed, the others go on."""
     e = entities(spark, d).withColumn("state", F.when(F.col("state") == "using", "gathered").otherwise(F.col("state")))
     return toggles.release_seated(e, derive.draw("seat", "id")).select("id", "next_state", "idle_s")
+
+
+def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    schema = _t(spark, d, name).schema
+    # a pattern, as a stream takes a folder or a pattern and the table may be one file
+    return spark.readStream.schema(schema).parquet(f"{d}/{{{name}.parquet}}")
+
+
+@query(ORACLE_SQL["command_table"])
+def live_commands(spark, d):
+    """O-06 on a stream that reads what is there and ends: the same commands as the batch."""
+    return live.available_now(live.command_stream(inputs_of(_stream(spark, d, "events"))), "commands")
+
+
+@query("""WITH c AS (SELECT user_id AS house, event_id AS chat, event_id % 4 AS id, (event_id + 1 + event_id // 4 % 3) % 4 AS other, date_trunc('millisecond', ts) AS ts,
+    date_trunc('millisecond', ts) + to_milliseconds(round(value * 20000)::BIGINT) AS over FROM events),
+m AS (SELECT house, id, ts, over FROM c UNION ALL SELECT house, other, ts, over FROM c), w AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 SECONDS AS upto FROM events)
+SELECT house, chat, other AS id, ts + INTERVAL 2600 MILLISECONDS AS at, 'reply' AS what FROM c, w WHERE ts + INTERVAL 2600 MILLISECONDS <= upto
+  AND EXISTS (SELECT 1 FROM m WHERE m.house = c.house AND m.id = c.other AND m.ts <= c.ts + INTERVAL 2600 MILLISECONDS AND c.ts + INTERVAL 2600 MILLISECONDS < m.over)
+UNION ALL SELECT house, chat, unnest([id, other]), over, 'over' FROM c, w WHERE over <= upto""")
+def live_replies(spark, d):
+    """O-66..O-68 on a stream: answers and ends of chats fire by event-time timers."""
+    e = _stream(spark, d, "events")
+    n, ms = F.col("event_id"), F.date_trunc("millisecond", F.col("ts").cast("timestamp"))
+    over = F.timestamp_millis(F.unix_millis(ms) + F.round(F.col("value") * 20000).cast("bigint"))
+    chats = e.select(F.col("user_id").alias("house"), n.alias("chat"), (n % 4).alias("id"), ((n + 1 + F.floor(n / 4) % 3) % 4).alias("other"), ms.alias("ts"), over.alias("over"))
+    fired = live.available_now(timers.chat_timers(chats), "replies", timers.STORE)
+    return fired.withColumn("at", F.col("at").cast("timestamp_ntz"))

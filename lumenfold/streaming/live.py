@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lumenfold.operators import pairing
+from lumenfold.operators import commands, pairing
+from lumenfold.sources.staging import new_path
 
 PAIRED = "house bigint, id string, partner string, event string"
 PAIRS = "partners map<string,string>"
@@ -48,3 +49,28 @@ def chat_links(arrivals: DataFrame) -> DataFrame:
     """O-35, O-66 on a stream: arrivals(house, seq, kind, id, other, other_using) -> links
     made and parted. State is one small map a house; houses run in parallel."""
     return arrivals.groupBy("house").applyInPandasWithState(_pair, PAIRED, PAIRS, "append", GroupStateTimeout.NoTimeout)
+
+
+def command_stream(inputs: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """O-06 on a stream: inputs(input_id, house, ts, source, name) -> the commands of command_table(). An input
+    delivered again within late of its first time is dropped, and so is one that comes later
+    than that behind the newest. State: input_ids of that long."""
+    rows = inputs.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    rows = rows.select("input_id", "house", "ts", commands.command_of(F.col("source"), F.col("name")).alias("command")).where("command is not null and ts is not null")
+    return rows.dropDuplicatesWithinWatermark(["input_id"]).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def available_now(stream: DataFrame, name: str, settings: dict[str, str] | None = None) -> DataFrame:
+    """Runs a stream over all that is there, into a table in the shared folder -> that table. settings
+    hold while it runs."""
+    spark = stream.sparkSession
+    path, before = new_path(spark, name), {k: spark.conf.get(k, None) for k in settings or {}}
+    try:
+        for k, v in (settings or {}).items():
+            spark.conf.set(k, v)
+        out = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-progress").outputMode("append").trigger(availableNow=True).start()
+        out.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(stream.schema).parquet(path)

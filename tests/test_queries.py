@@ -39,17 +39,36 @@ def test_against_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-def test_saves_and_commands_cover_all_characters(spark, monkeypatch):
-    """Every character is saved and parsed, every one gets a command."""
+def test_saves_and_commands_cover_all_rows(spark, monkeypatch):
+    """Every character is saved and parsed; every event is a segment or a command."""
     seen = {}
     parse, close = queries.snapshot.parse, queries.segments.close_on_command
     monkeypatch.setattr(queries.snapshot, "parse", lambda saves: seen.setdefault("parsed", parse(saves)))
-    monkeypatch.setattr(queries.segments, "close_on_command", lambda s, c: close(s, seen.setdefault("commands", c)))
+    monkeypatch.setattr(queries.segments, "close_on_command", lambda s, c: close(seen.setdefault("segments", s), seen.setdefault("commands", c)))
     queries.save_and_restore(spark, D)
     queries.commands_close_segments(spark, D)
     every = {(r.house, r.id) for r in queries.entities(spark, D).select("house", "id").collect()}
     assert {(r.house, int(s.id)) for r in seen["parsed"].collect() for s in r.sims} == every
-    assert {(r.house, r.id) for r in seen["commands"].where("at_s is not null").collect()} == every
+    assert seen["segments"].count() + seen["commands"].count() == spark.read.parquet(f"{D}/events.parquet").count()
+
+
+def test_every_query_reads_given_tables(spark):
+    """No query runs on rows of its own alone."""
+    for name, f in queries.QUERIES.items():
+        if not name.startswith("live_"):
+            assert any(d in str(x) for x in f(spark, D).inputFiles() for d in (D, "checkpoint", "ckpt")), name
+
+
+def test_decisions_are_dealt_by_house_once(spark):
+    plan = queries.decisions(spark, D)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") <= 6 and "Window" not in plan
+
+
+def test_no_range_joins(spark):
+    """As-of and interval lookups go through ordered windows."""
+    for name in ("drag_filter", "fired_replies", "positions_asked", "commands_close_segments", "speed_commands", "scene_toggles", "bubble_ends"):
+        plan = queries.QUERIES[name](spark, D)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan and ("Join" not in plan or name == "scene_toggles"), name
 
 
 def test_entry(spark):
