@@ -1,4 +1,7 @@
-"""Operator 1, fuzzy line dedup by MinHash, in SQL functions only.
+"""Operator 1, fuzzy line dedup by MinHash.
+
+Signatures are made by numpy over Arrow batches, all else is SQL functions: in SQL functions
+alone the operator doesn't keep the limits it was given (figures in the README).
 
 A line's shingles are its 5-character pieces at every place. Distinct normalised lines get
 60 minimum hashes: the hash of a shingle says which of 4 groups it is in, and each group has
@@ -23,8 +26,8 @@ all of them are fetched and compared.
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,10 +52,15 @@ ROUNDS = 3
 #: Rows outside a bucket's largest component that one part of it compares.
 BLOCK = 256
 
-# Permutations of the hash family: one constant of 64 bits each, from a rule; a third of the
-# values each reads the hash from its bit 0, 16 or 32 on.
-_XOR = [(i + 1) * 0x9E3779B97F4A7C15 % 2**64 - 2**63 for i in range(VALUES)]
-_FROM = [16 * (i % 3) for i in range(VALUES)]
+#: Characters that are signed at once, unless one line is longer; names that a task knows as signed.
+CHARS, NAMES = 500_000, 200_000
+KEYED = "key bigint, line bigint, sign struct<low:bigint,high:bigint,filled:bigint>"
+PAD = "\0" * (WIDTH - 1)
+
+_RNG = np.random.default_rng(20240229)
+_MUL = _RNG.integers(1, 2**32, VALUES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+_ADD = _RNG.integers(0, 2**32, VALUES, dtype=np.uint64).astype(np.uint32)
+_MIX = _RNG.integers(1, 2**63, WIDTH, dtype=np.uint64) | np.uint64(1)
 
 
 def normalize(line: Column) -> Column:
@@ -76,47 +84,100 @@ def shingles(norm: str) -> str:
         sequence(0, greatest(length({norm}) - {WIDTH}, 0)), i -> xxhash64(substring(b, 4 * i + 1, {4 * WIDTH})))))[0]"""
 
 
-def signatures(texts: DataFrame) -> DataFrame:
-    """texts(line, second, norm), a row a line -> line, second, last, filled (bins of shingles) and
-    m0 to m59, null where a line has no shingle of the value's group.
-
-    Where texts is partitioned by line and second, as after a groupBy, nothing here is shuffled."""
-    wide = texts.select("line", "second", F.encode("norm", "UTF-32").alias("b"), F.expr(f"greatest(length(norm) - {WIDTH}, 0)").alias("last"))
-    places = wide.select("line", "second", "b", "last", F.explode(F.expr("sequence(0, last)")).alias("i"))
-    hashed = places.select("line", "second", "last", F.expr(f"xxhash64(substring(b, 4 * i + 1, {4 * WIDTH}))").alias("h"))
-    return minima(hashed)
-
-
-def minima(hashed: DataFrame) -> DataFrame:
-    """hashed(line, second, last, h), a row a shingle -> what signatures() gives."""
-    hashed = hashed.withColumn("g", F.expr(f"cast(h & {GROUPS - 1} as int)"))
-    # the constants are the same in all groups, whose hashes differ
-    least = [F.expr(f"min(shiftleft(h, {_FROM[v]}) ^ ({_XOR[v]}L))").alias(f"v{v}") for v in range(EACH)]
-    bins = F.expr("bit_or(shiftleft(1L, cast((h >> 2) & 63 as int)))").alias("bins")
-    one = hashed.groupBy("line", "second", "g").agg(F.max("last").alias("last"), bins, *least)
-    values = [F.min(F.when(F.col("g") == k, F.col(f"v{v}"))).alias(f"m{k * EACH + v}") for k in range(GROUPS) for v in range(EACH)]
-    return one.groupBy("line", "second").agg(F.max("last").alias("last"), F.sum(F.bit_count("bins")).alias("filled"), *values)
-
-
-def band_keys(texts: DataFrame) -> DataFrame:
-    """texts(line, second, norm), a row a line -> (key, line, sign): the band keys of each line, sign
-    null; and one row with a key of its own that holds two bits of each value and filled."""
-    signed = signatures(texts)
-
-    def key(b: int, band: list[int], every: bool) -> Column:
-        there = [F.col(f"m{v}").isNotNull() for v in band]
-        there = reduce(lambda x, y: x & y if every else x | y, there)
-        return F.when(there, F.xxhash64(F.lit(b), *[F.coalesce(f"m{v}", F.lit(0)) for v in band]))
-
-    keys = F.array(*[key(b, band, False) for b, band in enumerate(BANDS)])
-    more = F.array(*[key(b, band[:2], True) for b, band in enumerate(BANDS, len(BANDS))])
-    keys = F.filter(F.when(F.col("last") < SHORT, F.concat(keys, more)).otherwise(keys), lambda k: k.isNotNull())
-    bits = [" + ".join(f"shiftleft(coalesce(shiftright(m{v}, {at}) & 1, 0), {v})" for v in range(VALUES)) for at in (40, 41)]
-    sign = F.expr(f"named_struct('low', {bits[0]}, 'high', {bits[1]}, 'filled', filled)")
-    rows = signed.select("line", keys.alias("keys"), sign.alias("sign"))
-    lacks = F.expr("cast(null as struct<low:bigint,high:bigint,filled:bigint>)")
-    each = F.concat(F.transform("keys", lambda k: F.struct(k.alias("key"), lacks.alias("sign"))), F.array(F.struct(F.xxhash64(F.lit(-1), "line").alias("key"), "sign")))
-    return rows.select("line", F.explode(each).alias("e")).select("e.key", "line", "e.sign")
+def hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every shingle, which line it is of): all places of all lines, in order."""
+    # four zeros behind each line, so that a short one is one shingle
+    points = np.frombuffer((PAD.join(lines) + PAD).encode("utf-32-le"), "<u4")
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    places = np.maximum(size - (WIDTH - 1), 1)
+    begin = np.cumsum(size + len(PAD)) - size - len(PAD)
+    owner = np.repeat(np.arange(len(lines)), places)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(places) - places - begin, places)
+    h = points[at].astype(np.uint64) * _MIX[0]
+    for k in range(1, WIDTH):
+        h += points[at + k] * _MIX[k]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h, owner
+
+
+def minima(h: np.ndarray, owner: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, a row a line; whether its group has a shingle; filled bins) of shingles in the order of their lines."""
+    values, there, filled = np.zeros((VALUES, lines), np.uint32), np.zeros((VALUES, lines), bool), np.zeros(lines, np.int64)
+    for g in range(GROUPS):
+        mine = np.flatnonzero((h & np.uint64(GROUPS - 1)) == g)
+        if not len(mine):
+            continue
+        one, of = h[mine], owner[mine]
+        start = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        row = of[start]
+        bins = np.bitwise_or.reduceat(np.uint64(1) << ((one >> np.uint64(2)) & np.uint64(63)), start)
+        filled[row] += np.bitwise_count(bins)
+        one = (one >> np.uint64(32)).astype(np.uint32)
+        work = np.empty_like(one)
+        for v in range(g * EACH, (g + 1) * EACH):
+            np.multiply(one, _MUL[v], out=work)
+            np.add(work, _ADD[v], out=work)
+            values[v, row], there[v, row] = np.minimum.reduceat(work, start), True
+    return values, there, filled
+
+
+def keys_of(values: np.ndarray, there: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, lines): a key for each band of which a line has a value, one of two values more for each band of a short line that has both."""
+    keys, lines = [], []
+    for b, band in enumerate(BANDS + [band[:2] for band in BANDS]):
+        has = there[band].all(axis=0) & short if b >= len(BANDS) else there[band].any(axis=0)
+        at = np.flatnonzero(has)
+        key = np.full(len(at), b + 1, np.uint64)
+        for v in band:
+            key = (key ^ values[v, at]) * _MIX[0]
+            key ^= key >> np.uint64(31)
+        keys.append(key * _MIX[1])
+        lines.append(at)
+    return np.concatenate(keys).view(np.int64), np.concatenate(lines)
+
+
+def _signer(batches):
+    """line, second, norm -> KEYED: the band keys of each line, and one row with its sign. A line that comes
+    again may be signed again."""
+    seen: set[tuple[int, int]] = set()
+    kind = pa.struct([("low", pa.int64()), ("high", pa.int64()), ("filled", pa.int64())])
+
+    def signed(names: list[int], lines: list[str]):
+        h, owner = hashes(lines)
+        values, there, filled = minima(h, owner, len(lines))
+        short = np.fromiter(map(len, lines), np.int64, len(lines)) - WIDTH < SHORT
+        keys, at = keys_of(values, there, short)
+        name = np.array(names, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(name[at]), pa.nulls(len(keys), kind)], names=["key", "line", "sign"])
+        bits = [(((values >> np.uint32(at)) & np.uint32(1)).astype(np.uint64) << np.arange(VALUES, dtype=np.uint64)[:, None]).sum(axis=0, dtype=np.uint64).view(np.int64) for at in (5, 11)]
+        sign = pa.StructArray.from_arrays([pa.array(bits[0]), pa.array(bits[1]), pa.array(filled)], fields=list(kind))
+        own = (name.view(np.uint64) ^ _MIX[2]) * _MIX[3]
+        yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(name), sign], names=["key", "line", "sign"])
+
+    for batch in batches:
+        names, lines, size = [], [], 0
+        for row in zip(*(batch.column(c).to_pylist() for c in (0, 1)), batch.column(2)):
+            if row[:2] in seen:
+                continue
+            seen.add(row[:2])
+            names.append(row[0])
+            lines.append(row[2].as_py())
+            size += len(lines[-1])
+            if size > CHARS:
+                yield from signed(names, lines)
+                names, lines, size = [], [], 0
+        if lines:
+            yield from signed(names, lines)
+        if len(seen) > NAMES:
+            seen.clear()
+
+
+def band_keys(lines: DataFrame) -> DataFrame:
+    """lines(line, second, norm), repeats and all -> KEYED: (key, line, sign); sign is null but in one row a
+    line, with a key of its own, which has two bits of each value and filled. No shuffle here."""
+    return lines.select("line", "second", "norm").mapInArrow(_signer, KEYED)
 
 
 def _alike(pairs: DataFrame, signs: DataFrame) -> DataFrame:
@@ -170,10 +231,10 @@ def _all_blocks(named: DataFrame) -> DataFrame:
 def line_components(lines: DataFrame, percent: int = 80) -> DataFrame:
     """lines(line, second, norm), repeats and all -> (line, second, comp) of the lines that have links."""
     bucket = Window.partitionBy("key")
-    keys = band_keys(lines.groupBy("line", "second").agg(F.first("norm").alias("norm")))
+    keys = band_keys(lines)
     keys = keys.withColumns({"hub": F.min("line").over(bucket), "_last": F.max("line").over(bucket)})
     every = materialize(keys.where("hub <> _last or sign is not null").drop("_last"), "members")
-    signs, members = every.where("sign is not null").select("line", "sign"), every.where("sign is null").drop("sign")
+    signs, members = every.where("sign is not null").select("line", "sign").distinct(), every.where("sign is null").drop("sign").distinct()
     some = materialize(members.select("line").distinct(), "some")
     texts = lines.join(few(some), "line", "left_semi").groupBy("line", "second").agg(F.first("norm").alias("norm"))
     texts = materialize(texts.withColumn("id", F.monotonically_increasing_id()), "texts")
