@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.sources.staging import new_path
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -21,29 +19,12 @@ def fold_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir where it is set.
-
-    Unset, a local master (tests, one machine) gets a temporary folder, any other master a
-    folder in the warehouse, which a cluster shares as well. No setting is changed.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and spark.sparkContext.master.split("[")[0] == "local":
-        found = _local_dir()
-    return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lumenfold").rstrip("/")
-
-
-@lru_cache(maxsize=1)
-def _local_dir() -> str:
-    return tempfile.mkdtemp(prefix="lumenfold-")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, so a
     lost executor costs a file read, and values that depend on the order of
     execution (partition numbers, row numbers) are fixed for every later reader."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lumenfold_path = path

@@ -7,6 +7,10 @@ longest order of which the model knows any n-gram scores it.
 The model is fitted on a bounded sample of labelled rows, SAMPLE_DOCS of each language by
 hash of doc_id, and keeps every language, word and n-gram of that sample: nothing is cut.
 Words and n-grams are known by 64-bit hashes. Prediction reads every whole text.
+
+The model is a table of counts, written once. Up to MODEL_ROWS rows it is broadcast and texts are
+scored in batches; a larger one is joined with the distinct words of the texts, and never
+passes through the driver.
 """
 
 from __future__ import annotations
@@ -27,8 +31,10 @@ from lumenfold.llm.common import few, materialize
 SAMPLE_DOCS = 1000
 ORDERS = (5, 4, 3, 2, 1)
 FLOOR = 0.5
+#: Rows of counts (some 30 bytes each) up to which the model is broadcast.
+MODEL_ROWS = 8_000_000
 #: Characters of text that are scored at once, unless one text is longer.
-CHARS = 500_000
+CHARS = 250_000
 WORDS = regex.compile(r"[\p{L}\p{M}]+")
 
 
@@ -151,8 +157,8 @@ def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield rows.groupby(["order", "key", "lang"], as_index=False)["n"].sum()
 
 
-def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """labelled(doc_id, text, lang) -> Model. The sample is the same on every run: of each
+def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """labelled(doc_id, text, lang) -> the model: counts(order, key, lang, n), written to the shared folder. The sample is the same on every run: of each
     language the rows with the least hash of doc_id, ties by doc_id and text. Rows without
     text, lang or letters teach nothing; without any the model has no language."""
     rows = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
@@ -169,21 +175,96 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     words = per_word.select(F.lit(0).alias("order"), F.pandas_udf(_hashes, "bigint")("w").alias("key"), "lang", "n")
     grams = per_word.select("w", "lang", "n").mapInPandas(_grams, "order int, key bigint, lang string, n bigint")
     grams = grams.groupBy("order", "key", "lang").agg(F.sum("n").alias("n"))
-    # Arrow columns of numbers and a language: what the driver gets is bounded by the sample
-    return Model(words.union(grams.select("order", "key", "lang", "n")).toArrow())
+    return materialize(words.union(grams.select("order", "key", "lang", "n")), "model")
+
+
+LABEL = "lang_pred string, score double, letters boolean"
+
 
+def judged(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """docs, all columns, and p: struct(lang_pred, score, letters) of the column text."""
+    return _by_broadcast(docs, counts) if counts.count() <= MODEL_ROWS else _by_join(docs, counts)
 
-def predictor(spark, model: Model):
-    """A column function text -> struct(lang_pred, score, letters)."""
-    shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double, letters boolean")
+def _by_broadcast(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(Model(counts.toArrow()))
+
+    @F.pandas_udf(LABEL)
     def predict(texts: pd.Series) -> pd.DataFrame:
         own = shared.value
         rows = [(*p, has_letter(t)) for part in _chunks(texts.tolist()) for t, p in zip(part, own.predict(part))]
         return pd.DataFrame(rows, columns=["lang_pred", "score", "letters"])
 
-    return predict
+    return docs.withColumn("p", predict("text"))
+
+
+def _by_join(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """As Model does it, word by word: each distinct word of the texts is scored once, in joins with the
+    counts of its hash, of its n-grams of the longest known order else; a document adds up its words."""
+    names = docs.columns
+    numbered = materialize(docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("row", F.monotonically_increasing_id()), "documents")
+    text = F.col(f"c{names.index('text')}")
+    said = numbered.select("row", F.explode(F.pandas_udf(_words, "array<string>")(text)).alias("w")).groupBy("row", "w").agg(F.count("*").alias("times"))
+    said = materialize(said, "said")
+    langs, floors = _floors(counts)
+    place = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1
+    above = counts.select("order", "key", place.alias("l"), F.log((F.col("n") + F.lit(FLOOR)) / F.lit(FLOOR)).alias("above"))
+    known = above.groupBy("order", "key").agg(F.collect_list(F.struct("l", "above")).alias("above"))
+    left = materialize(said.select("w").distinct(), "words")
+    found = None
+    for order in (0, *ORDERS):
+        if order:
+            pieces = left.select("w", F.posexplode(F.pandas_udf(lambda w, n=order: w.map(lambda x: grams_of(x, n)), "array<string>")("w")).alias("at", "gram"))
+        else:
+            pieces = left.select("w", F.lit(0).alias("at"), F.col("w").alias("gram"))
+        pieces = pieces.select("w", "at", F.pandas_udf(_hashes, "bigint")("gram").alias("key"))
+        hit = pieces.join(known.where(F.col("order") == order).drop("order"), "key")
+        # the mean over the known pieces; a word itself is one piece
+        of = hit.groupBy("w").agg(F.lit(order).alias("order"), F.count("*").alias("pieces"), F.flatten(F.collect_list("above")).alias("above"))
+        of = materialize(of, "scored")
+        found = of if found is None else found.union(of)
+        left = materialize(left.join(of, "w", "left_anti"), "words")
+    each = said.join(found, "w").select("row", "order", "times", F.transform("above", lambda a: F.struct(a["l"].alias("l"), (a["above"] * F.col("times") / F.col("pieces")).alias("a"))).alias("above"))
+    # sums by language and by order, both few a document, before they meet in its row
+    by_lang = each.select("row", F.explode("above").alias("x")).groupBy("row", "x.l").agg(F.sum("x.a").alias("a")).groupBy("row").agg(F.collect_list(F.struct("l", "a")).alias("above"))
+    by_order = each.groupBy("row", "order").agg(F.sum("times").alias("n")).groupBy("row").agg(F.collect_list(F.struct("order", "n")).alias("orders"))
+
+    @F.pandas_udf("lang_pred string, score double")
+    def best(above: pd.Series, orders: pd.Series, letters: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, o, letter in zip(above, orders, letters):
+            if not letter or not langs:
+                out.append(("und", 0.0))
+                continue
+            sums = np.zeros(len(langs))
+            for x in o if o is not None else ():
+                sums += x["n"] * floors[x["order"]]
+            for x in a if a is not None else ():
+                sums[x["l"]] += x["a"]
+            odds = np.exp(sums - sums.max())
+            out.append((langs[int(odds.argmax())], float(odds.max() / odds.sum())))
+        return pd.DataFrame(out, columns=["lang_pred", "score"])
+
+    letter = F.pandas_udf(lambda t: t.map(has_letter), "boolean")(text)
+    rows = numbered.withColumn("letters", letter).join(by_lang, "row", "left").join(by_order, "row", "left").withColumn("b", best("above", "orders", "letters"))
+    p = F.struct("b.lang_pred", "b.score", "letters").alias("p")
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], p)
+
+
+def _floors(counts: DataFrame) -> tuple[list[str], dict[int, np.ndarray]]:
+    """The languages in order, and for each order what a piece scores that a language lacks; a number a language and order."""
+    total = counts.groupBy("order", "lang").agg(F.sum("n").alias("n")).collect()
+    langs = sorted({r.lang for r in total})
+    known = {r.order: r.n for r in counts.groupBy("order").agg(F.countDistinct("key").alias("n")).collect()}
+    grams = sum(known.get(o, 0) for o in ORDERS)
+    out = {}
+    for o in (0, *ORDERS):
+        sums = np.ones(len(langs))
+        for r in total:
+            if r.order == o:
+                sums[langs.index(r.lang)] += r.n
+        out[o] = np.log(FLOOR / (sums + FLOOR * max(1, known.get(0, 0) if o == 0 else grams)))
+    return langs, out
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -201,6 +282,5 @@ def identify(docs: DataFrame) -> DataFrame:
     columns are ignored. Empty in, empty out.
     """
     taught = docs.where(~held_out()).select("doc_id", "text", "lang")
-    predict = predictor(docs.sparkSession, fit(taught))
-    out = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), predict("text").alias("p"))
+    out = judged(docs.select("doc_id", "text"), fit(taught)).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "p")
     return out.select("doc_id", "held_out", "p.lang_pred", "p.score")

@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
+from pyspark.sql import functions as F
+
 from lumenfold.llm import chat, decontaminate, language_id, mixing, sharding, token_counts, url_filter
 from lumenfold.llm.queries import RULES
 from tests.llm import brute
@@ -140,7 +142,7 @@ def test_language_id(spark, docs, empty):
     assert len(got) == 63 and all(got[i].lang_pred == ("en", "de")[i % 2] and 0 <= got[i].score <= 1 for i in range(60))
     assert got[60].lang_pred == got[61].lang_pred == "und" and got[62].lang_pred == "en"
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
-    model = language_id.fit(taught.where("doc_id < 40"))
+    model = language_id.Model(language_id.fit(taught.where("doc_id < 40")).toArrow())
     assert next(model.predict(["freundenhaus"]))[0] == "de"  # unseen: n-grams decide
     assert language_id.identify(docs).count() == docs.count() and language_id.identify(empty).count() == 0
 
@@ -151,6 +153,25 @@ def test_language_held_out_accuracy(spark):
     assert x.where("lang_pred = lang").count() >= 0.95 * x.count()
 
 
+def test_language_model_beyond_a_broadcast(spark, docs, empty, monkeypatch):
+    """A model that is joined, not broadcast, says the same of every text."""
+    r, rows = random.Random(13), []
+    for i in range(80):
+        lang = "abc"[i % 3]
+        rows.append((i, " ".join("".join(r.choice("xyz" + lang * 3) for _ in range(r.randrange(1, 9))) for _ in range(r.randrange(1, 12))), lang))
+    rows += [(90, "नमस्ते नमस्ते", "d"), (91, None, "a"), (92, "", "a"), (93, "12 34", "b"), (94, "नमस qqq", None), (3, rows[3][1], "a"), (None, "xx", None)]
+    some = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    for start in (some, docs, some.withColumn("lang", F.lit(None).cast("string")), empty):
+        want = language_id.identify(start).collect()
+        monkeypatch.setattr(language_id, "MODEL_ROWS", -1)
+        got = language_id.identify(start).collect()
+        monkeypatch.undo()
+        key = lambda x: (x.doc_id is None, x.doc_id, x.lang_pred, x.score)
+        assert len(got) == len(want)
+        for a, b in zip(sorted(got, key=key), sorted(want, key=key)):
+            assert a[:3] == b[:3] and abs(a.score - b.score) < 1e-5
+
+
 def test_urls(spark):
     r = random.Random(3)
     urls = [None, "", "nothing", "http://", "://org/", "HTTPS://WWW.Example.ORG/es/x?q", "http://example.org/en/12#a", "http://notexample.org/es/", "http://evil.net/x.example.org/es/", "http://a.com/fr/", "http://com/de/", "http://org", "http://é.org/ü/", "http://a.com:80/de/", "x" * 3000 + "://b.org/" + "y" * 5000]
@@ -266,7 +287,7 @@ def test_language_fit_and_predict_against_brute_force(spark, monkeypatch):
         lang = "abc"[i % 3]
         taught.append((i, " ".join("".join(r.choice("xyz" + lang * 3) for _ in range(r.randrange(1, 9))) for _ in range(r.randrange(1, 12))), lang))
     taught += [(60, "नमस्ते नमस्ते दुनिया", "d"), (61, None, "a"), (62, "xx", None)]
-    model = language_id.fit(spark.createDataFrame(taught, "doc_id bigint, text string, lang string"))
+    model = language_id.Model(language_id.fit(spark.createDataFrame(taught, "doc_id bigint, text string, lang string")).toArrow())
     by, langs = {n: {x: Counter() for x in "abcd"} for n in range(6)}, "abcd"
     for _, t, x in taught:
         if t and x:
