@@ -7,6 +7,7 @@ but the last return the columns of docs. Rows keep every column they came with.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lumenfold.llm import decontaminate, language_id, mixing, near_dedup, sharding
 from lumenfold.llm.common import materialize, table
@@ -29,13 +30,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Where the model learned no language (no label), documents with a letter stay. Repeated
     rows are judged each, very long texts whole; all columns are carried. Empty in, empty out."""
     model = language_id.fit(docs.where(~language_id.held_out()))
-    p = language_id.predictor(spark, model)(docs["text"])
-    sure = p["letters"]
-    if model.langs:
-        sure = sure & (p["score"] >= MIN_SCORE)
-    if model.langs and LANGUAGES is not None:
-        sure = sure & p["lang_pred"].isin(list(LANGUAGES))
-    return docs.where(sure)
+    names = docs.columns
+    text = F.col(f"c{names.index('text')}")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("text", text)
+    rows = language_id.judged(plain, model)
+    sure = F.col("p.letters")
+    if not model.isEmpty():
+        sure = sure & (F.col("p.score") >= MIN_SCORE)
+        if LANGUAGES is not None:
+            sure = sure & F.col("p.lang_pred").isin(list(LANGUAGES))
+    return rows.where(sure).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
