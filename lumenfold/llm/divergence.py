@@ -37,7 +37,7 @@ SCALE = 1_000_000_000
 #: Sources of a block, terms of a chunk, chunks of a segment, about.
 BLOCK, CHUNK, SEGMENT = 32, 1024, 16
 #: Entries that a task counts before it gives them out; bytes of a text that are split at once.
-HELD, SLICE = 300_000, 1 << 20
+HELD, SLICE = 600_000, 1 << 20
 
 COUNTED = "lang string, source string, term binary, n bigint, docs bigint"
 MEMBERS = "array<struct<source:string,total:bigint>>"
@@ -61,21 +61,18 @@ def _words(text: bytes):
 def _counter(batches):
     """lang, source, text -> COUNTED: sums of this task's rows; one row without a term for each group."""
     found: dict[tuple, tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
-    groups, held = set(), 0
+    held = 0
 
     def given():
-        rows = [(lang, source, term, n, docs[term]) for (lang, source), (count, docs) in found.items() for term, n in count.items()]
-        rows += [(*g, None, 0, 0) for g in groups]
+        for (lang, source), (count, docs) in found.items():
+            terms, n = [*count, None], [*count.values(), 0]
+            held_by = [*map(docs.__getitem__, count), 0]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(terms)), pa.array([source] * len(terms)), pa.array(terms, pa.binary()), pa.array(n, pa.int64()), pa.array(held_by, pa.int64())], names=[c.split()[0] for c in COUNTED.split(", ")])
         found.clear()
-        groups.clear()
-        kinds = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
-        for k in range(0, len(rows), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows[k : k + 50_000]), kinds)], names=[c.split()[0] for c in COUNTED.split(", ")])
 
     for batch in batches:
         langs, sources, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())
         for k, group in enumerate(zip(langs, sources)):
-            groups.add(group)
             count, docs = found[group]
             held -= len(count)
             text = texts[k].as_py().translate(_LETTERS)
@@ -93,8 +90,7 @@ def _counter(batches):
             if held > HELD:
                 yield from given()
                 held = 0
-    if groups:
-        yield from given()
+    yield from given()
 
 
 def share(count: Column, total: Column) -> Column:
