@@ -81,7 +81,9 @@ def best_branches(messages: DataFrame, per_tree: int = 1) -> DataFrame:
 
     node is unique; parent is null (or unknown) at a root. score null counts as 0. A
     branch's score is the sum along root to leaf; of each tree the per_tree best leaves
-    are chosen, ties to the least leaf. A cycle has no root and yields nothing.
+    are chosen, ties to the least leaf. A cycle has no root and yields nothing. Rows that repeat
+    a node are messages each, and branches through it come once for each; no message answers
+    a null node. Empty in, empty out.
     """
     m = messages.select("node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     known = m.select(F.col("node").alias("parent"), F.lit(True).alias("known"))

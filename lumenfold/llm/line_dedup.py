@@ -10,15 +10,16 @@ two bands with one value in common at most. Links are confirmed by the exact Jac
 similarity of the same shingles, and union-find keeps one line per component. Two lines of
 similarity 0.8 share a band with probability 0.99, of 0.85 with 0.999 (measured in a test).
 
-Before texts are fetched, a pair whose signatures agree in fewer than AGREE of 60 values, by
-two bits of each, is put aside: at similarity 0.8 that is more than six standard deviations
-below the mean. Lines that may have few shingles are never put aside so.
+Before texts are fetched, pairs are sieved by signs. A sign has 256 bins of shingles: bins that
+one line fills and the other doesn't are shingles they don't share, which bounds the similarity
+from above, exactly. It also has two bits of each of the 60 values: lines with many shingles
+that agree in fewer than AGREE of them are put aside; at similarity 0.8 that is more than six
+standard deviations below the mean.
 
-Each line is first compared with one hub, the least line of its buckets. A bucket that then
-still holds several components is open. Small ones are compared whole; in large ones, in
-every round, one more line meets all that are not in its component and leaves. What is open
-after ROUNDS rounds is compared whole: those outside a bucket's largest component against
-all of it, in blocks. So no link between members of a bucket is lost.
+Each line is first compared with one hub, the least line of its buckets. In a bucket that then
+still holds several components all lines outside its largest component meet all others, in
+blocks, inside a task; only pairs that pass the sieve leave it and are verified. So no link
+between members of a bucket is lost.
 
 Lines are told apart by 128 bits. Candidates are known by 64 of them; where lines share those,
 all of them are fetched and compared.
@@ -32,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import discard, few, join_components, materialize
+from lumenfold.llm.runs import runs
 
 WIDTH = 5
 VALUES = 60
@@ -42,19 +44,15 @@ GROUPS, EACH = 4, VALUES // 4
 #: Lines of at most so many shingle places get a second key for each band, of its first 2
 #: values: few shingles leave few different minima, and one that differs spoils many bands.
 SHORT = 24
-#: Values of 60 that candidates agree on at least, if both fill FILLED of 256 bins, which takes
-#: as many different shingles.
+#: Values of 60 that candidates agree on at least, if both fill FILLED bins, which takes as many
+#: different shingles.
 AGREE, FILLED = 30, 30
-#: Members of an open bucket up to which it is compared whole at once.
-SMALL = 16
-#: Rounds of one hub an open bucket before blocks.
-ROUNDS = 3
-#: Rows outside a bucket's largest component that one part of it compares.
-BLOCK = 256
-
+#: Lines outside a bucket's largest component that one task holds; pairs that it compares at once.
+BLOCK, CELLS = 2048, 1 << 21
 #: Characters that are signed at once, unless one line is longer; names that a task knows as signed.
 CHARS, NAMES = 500_000, 200_000
-KEYED = "key bigint, line bigint, sign struct<low:bigint,high:bigint,filled:bigint>"
+SIGN = ["low", "high", "b0", "b1", "b2", "b3", "places"]
+KEYED = f"key bigint, line bigint, sign struct<{','.join(f'{c}:bigint' for c in SIGN)}>"
 PAD = "\0" * (WIDTH - 1)
 
 _RNG = np.random.default_rng(20240229)
@@ -103,8 +101,8 @@ def hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def minima(h: np.ndarray, owner: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(values, a row a line; whether its group has a shingle; filled bins) of shingles in the order of their lines."""
-    values, there, filled = np.zeros((VALUES, lines), np.uint32), np.zeros((VALUES, lines), bool), np.zeros(lines, np.int64)
+    """(values, a column a line; whether its group has a shingle; bins) of shingles in the order of their lines."""
+    values, there, bins = np.zeros((VALUES, lines), np.uint32), np.zeros((VALUES, lines), bool), np.zeros((GROUPS, lines), np.uint64)
     for g in range(GROUPS):
         mine = np.flatnonzero((h & np.uint64(GROUPS - 1)) == g)
         if not len(mine):
@@ -112,15 +110,14 @@ def minima(h: np.ndarray, owner: np.ndarray, lines: int) -> tuple[np.ndarray, np
         one, of = h[mine], owner[mine]
         start = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
         row = of[start]
-        bins = np.bitwise_or.reduceat(np.uint64(1) << ((one >> np.uint64(2)) & np.uint64(63)), start)
-        filled[row] += np.bitwise_count(bins)
+        bins[g, row] = np.bitwise_or.reduceat(np.uint64(1) << ((one >> np.uint64(2)) & np.uint64(63)), start)
         one = (one >> np.uint64(32)).astype(np.uint32)
         work = np.empty_like(one)
         for v in range(g * EACH, (g + 1) * EACH):
             np.multiply(one, _MUL[v], out=work)
             np.add(work, _ADD[v], out=work)
             values[v, row], there[v, row] = np.minimum.reduceat(work, start), True
-    return values, there, filled
+    return values, there, bins
 
 
 def keys_of(values: np.ndarray, there: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,21 +135,27 @@ def keys_of(values: np.ndarray, there: np.ndarray, short: np.ndarray) -> tuple[n
     return np.concatenate(keys).view(np.int64), np.concatenate(lines)
 
 
+def sign_of(values: np.ndarray, bins: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
+    """The columns SIGN: two bits of each value, the bins, and the places of shingles."""
+    at = np.arange(VALUES, dtype=np.uint64)[:, None]
+    bits = [(((values >> np.uint32(k)) & np.uint32(1)).astype(np.uint64) << at).sum(axis=0, dtype=np.uint64) for k in (5, 11)]
+    return [x.view(np.int64) for x in (*bits, *bins)] + [places.astype(np.int64)]
+
+
 def _signer(batches):
     """line, second, norm -> KEYED: the band keys of each line, and one row with its sign. A line that comes
     again may be signed again."""
     seen: set[tuple[int, int]] = set()
-    kind = pa.struct([("low", pa.int64()), ("high", pa.int64()), ("filled", pa.int64())])
+    kind = pa.struct([(c, pa.int64()) for c in SIGN])
 
     def signed(names: list[int], lines: list[str]):
         h, owner = hashes(lines)
-        values, there, filled = minima(h, owner, len(lines))
-        short = np.fromiter(map(len, lines), np.int64, len(lines)) - WIDTH < SHORT
-        keys, at = keys_of(values, there, short)
+        values, there, bins = minima(h, owner, len(lines))
+        places = np.bincount(owner, minlength=len(lines))
+        keys, at = keys_of(values, there, places <= SHORT)
         name = np.array(names, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(name[at]), pa.nulls(len(keys), kind)], names=["key", "line", "sign"])
-        bits = [(((values >> np.uint32(at)) & np.uint32(1)).astype(np.uint64) << np.arange(VALUES, dtype=np.uint64)[:, None]).sum(axis=0, dtype=np.uint64).view(np.int64) for at in (5, 11)]
-        sign = pa.StructArray.from_arrays([pa.array(bits[0]), pa.array(bits[1]), pa.array(filled)], fields=list(kind))
+        sign = pa.StructArray.from_arrays([pa.array(c) for c in sign_of(values, bins, places)], fields=list(kind))
         own = (name.view(np.uint64) ^ _MIX[2]) * _MIX[3]
         yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(name), sign], names=["key", "line", "sign"])
 
@@ -180,13 +183,53 @@ def band_keys(lines: DataFrame) -> DataFrame:
     return lines.select("line", "second", "norm").mapInArrow(_signer, KEYED)
 
 
-def _alike(pairs: DataFrame, signs: DataFrame) -> DataFrame:
-    """pairs(a, b) whose signatures agree well enough, or of which one may have few shingles."""
+def _alike(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """pairs(a, b) that pass the sieve."""
     rows = pairs
     for end in ("a", "b"):
         rows = rows.join(signs.select(F.col("line").alias(end), F.col("sign").alias(f"s{end}")), end)
+    bins = range(GROUPS)
+    apart = F.expr(" + ".join(f"bit_count(sa.b{g} ^ sb.b{g})" for g in bins))
+    filled = F.expr(f"least({' + '.join(f'bit_count(sa.b{g})' for g in bins)}, {' + '.join(f'bit_count(sb.b{g})' for g in bins)})")
     agree = F.lit(VALUES) - F.bit_count(F.expr("(sa.low ^ sb.low) | (sa.high ^ sb.high)"))
-    return rows.where((F.least("sa.filled", "sb.filled") < FILLED) | (agree >= AGREE)).select("a", "b").distinct()
+    may = apart * (100 + percent) <= (F.col("sa.places") + F.col("sb.places")) * (100 - percent)
+    return rows.where(may & ((filled < FILLED) | (agree >= AGREE))).select("a", "b").distinct()
+
+
+def passes(one: list[np.ndarray], two: list[np.ndarray], percent: int) -> np.ndarray:
+    """The sieve of columns SIGN against others, as a table."""
+    bits = lambda c: (np.bitwise_count(a.view(np.uint64)[:, None] ^ b.view(np.uint64)[None, :]) for a, b in zip(one[c], two[c]))
+    apart = sum(x.astype(np.int64) for x in bits(slice(2, 2 + GROUPS)))
+    filled = [sum(np.bitwise_count(x.view(np.uint64)).astype(np.int64) for x in side[2 : 2 + GROUPS]) for side in (one, two)]
+    unlike = (one[0][:, None] ^ two[0][None, :]) | (one[1][:, None] ^ two[1][None, :])
+    agree = VALUES - np.bitwise_count(unlike.view(np.uint64)).astype(np.int64)
+    may = apart * (100 + percent) <= (one[-1][:, None] + two[-1][None, :]) * (100 - percent)
+    return may & ((np.minimum(filled[0][:, None], filled[1][None, :]) < FILLED) | (agree >= AGREE))
+
+
+def _comparer(percent: int):
+    """Tasks (key, part) sorted, the lines outside the largest component first -> pairs (a, b) that pass the sieve."""
+
+    def run(batches):
+        last, held = None, None
+        for group in runs(batches, ["key", "part", "side"], CELLS // BLOCK):
+            task = (group.column("key")[0].as_py(), group.column("part")[0].as_py())
+            get = lambda c: np.asarray(group.column(c))
+            rows = [get("line"), get("comp"), [get(c) for c in SIGN]]
+            if group.column("side")[0].as_py() == 0:
+                if task != last:
+                    last, held = task, []
+                held.append(rows)
+                continue
+            if task != last:
+                continue
+            for line, comp, sign in held:
+                i, j = np.nonzero(passes(sign, rows[2], percent) & (comp[:, None] != rows[1][None, :]))
+                if len(i):
+                    a, b = line[i], rows[0][j]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return run
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -207,10 +250,10 @@ def _ordered(line: str, other: str) -> list[Column]:
 
 
 def _open_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
-    """members(key, line, id) of the buckets that hold several components, with comp and the bucket's size k."""
+    """members(key, line, id) of the buckets that hold several components, with comp."""
     named = members.join(found.select(F.col("node").alias("id"), "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    several = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("k")).where("x <> y").select("key", "k")
-    return named.join(several, "key").select("key", "line", "id", "comp", "k")
+    several = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    return named.join(several, "key").select("key", "line", "id", "comp")
 
 
 def _largest(named: DataFrame) -> DataFrame:
@@ -219,13 +262,16 @@ def _largest(named: DataFrame) -> DataFrame:
     return size.select("key", F.col("m.comp").alias("main"), (F.col("all") - F.col("m.c")).alias("rest"))
 
 
-def _all_blocks(named: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each bucket: those outside its largest component with all of other components."""
+def _within_buckets(named: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of open buckets that pass the sieve, compared inside tasks: lines outside a bucket's largest
+    component, BLOCK a task, against all of its lines, which stream by."""
     parts = _largest(named).select("key", "main", F.ceil(F.col("rest") / BLOCK).cast("int").alias("parts"))
-    named = named.join(parts, "key")
-    out = named.where("comp <> main").select("key", F.pmod(F.xxhash64("line"), F.col("parts")).cast("int").alias("part"), F.col("line").alias("one"), F.col("comp").alias("own"))
-    every = named.select("key", "line", "comp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return out.join(every, ["key", "part"]).where("own <> comp").select(*_ordered("one", "line")).distinct()
+    rows = named.join(parts, "key").join(signs.select("line", "sign.*"), "line")
+    out = rows.where("comp <> main").withColumn("part", F.pmod(F.xxhash64("line"), F.col("parts")).cast("int")).withColumn("side", F.lit(0))
+    every = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("side", F.lit(1))
+    columns = ["key", "part", "side", "line", "comp", *SIGN]
+    both = out.select(*columns).union(every.select(*columns))
+    return both.repartition("key", "part").sortWithinPartitions("key", "part", "side").mapInArrow(_comparer(percent), "a bigint, b bigint").distinct()
 
 
 def line_components(lines: DataFrame, percent: int = 80) -> DataFrame:
@@ -241,39 +287,18 @@ def line_components(lines: DataFrame, percent: int = 80) -> DataFrame:
     signs = materialize(signs.join(few(some), "line", "left_semi"), "signs")
     used = [every, some, texts, signs]
 
-    def linked(pairs: DataFrame, found: DataFrame | None) -> DataFrame:
-        close = materialize(_alike(pairs, signs), "close")
+    def linked(close: DataFrame, found: DataFrame | None) -> DataFrame:
         links = materialize(_verified(close, texts, percent), "links")
         out = join_components(found, links)
         used.extend([close, links, out])
         return out
 
-    tested = materialize(members.where("line <> hub").groupBy("line").agg(F.min("hub").alias("hub")).select(*_ordered("line", "hub")).distinct(), "pairs")
-    used.append(tested)
-    found = linked(tested, None)
-    members = members.select("key", "line").join(few(texts.select("line", "id")), "line")
-    for turn in range(ROUNDS + 1):
-        named = materialize(_open_buckets(members, found), "open")
-        used.append(named)
-        if named.isEmpty():
-            break
-        met, members = _all_blocks(named.where(F.col("k") <= SMALL)), named.where(F.col("k") > SMALL)
-        if turn == ROUNDS:
-            met = _all_blocks(named)
-        elif not members.isEmpty():
-            outside = members.join(_largest(members), "key").where("comp <> main")
-            hubs = outside.groupBy("key").agg(F.min(F.struct(F.xxhash64("line", F.lit(turn)).alias("h"), "line", "comp")).alias("m")).select("key", F.col("m.line").alias("hub"), F.col("m.comp").alias("own"))
-            hubs = materialize(hubs, "hubs")
-            used.append(hubs)
-            met = met.union(members.join(hubs, "key").where("comp <> own").select(*_ordered("line", "hub")).distinct())
-            # a hub has met all others of its bucket
-            members = members.join(hubs, "key").where("line <> hub").select("key", "line", "id")
-        pairs = materialize(met.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        used.append(pairs)
-        tested = tested.union(pairs)
-        found = linked(pairs, found)
-        if turn < ROUNDS and members.isEmpty():
-            break
+    hubs = members.where("line <> hub").groupBy("line").agg(F.min("hub").alias("hub")).select(*_ordered("line", "hub")).distinct()
+    found = linked(materialize(_alike(hubs, signs, percent), "close"), None)
+    named = materialize(_open_buckets(members.select("key", "line").join(few(texts.select("line", "id")), "line"), found), "open")
+    used.append(named)
+    if not named.isEmpty():
+        found = linked(materialize(_within_buckets(named, signs, percent), "close"), found)
     out = materialize(texts.select("line", "second", "id").join(found.select(F.col("node").alias("id"), "comp"), "id").select("line", "second", "comp"), "linked")
     for table in [*used, found]:
         discard(table)
@@ -306,10 +331,14 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def rewrite(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """doc_id, text with the kept lines only, in order; documents that lose all lines are empty.
-
-    doc_id must be unique here; a document's lines meet in one row, as its text did."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    kept = lines.join(decided.where("kept").select("doc_id", "line_no"), ["doc_id", "line_no"])
-    whole = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
-    return docs.select("doc_id").join(whole, "doc_id", "left").select("doc_id", F.concat_ws("\n", F.transform("l", lambda x: x["line"])).alias("text"))
+    """docs(doc_id, text) -> doc_id, text with the kept lines only, in order: a row per row of docs.
+
+    decided is what dedup_lines() says of docs. Rows that lose all lines, or whose text is null, are
+    empty. Rows of one doc_id, null too, are rewritten each: a line stays where dedup_lines() keeps
+    that doc_id and line_no. A row's lines meet in one row, as its text did. Empty in, empty out."""
+    numbered = materialize(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "texts")
+    lines = numbered.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    stays = decided.where("kept").select(F.col("doc_id").alias("id"), F.col("line_no").alias("no")).distinct()
+    kept = lines.join(stays, lines["doc_id"].eqNullSafe(stays["id"]) & (lines["line_no"] == stays["no"]), "left_semi")
+    whole = kept.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    return numbered.join(whole, "row", "left").select("doc_id", F.concat_ws("\n", F.transform("l", lambda x: x["line"])).alias("text"))

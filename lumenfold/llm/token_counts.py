@@ -71,13 +71,16 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
 
 
 def truncated_total(hist: DataFrame, limits: list[int]) -> DataFrame:
-    """max_tokens, truncated_tokens, docs_cut for any context limit."""
+    """length_histogram() -> max_tokens, truncated_tokens, docs_cut for each limit, repeated ones once.
+
+    An empty histogram gives no rows; no length in it is null."""
     rows = hist.select("n_tokens", "n_docs", F.explode(F.array(*[F.lit(int(x)) for x in sorted(set(limits))])).alias("max_tokens"))
     cut = F.when(F.col("n_tokens") > F.col("max_tokens"), F.col("n_docs")).otherwise(0)
     return rows.groupBy("max_tokens").agg(F.sum(F.col("n_docs") * F.least("n_tokens", "max_tokens")).alias("truncated_tokens"), F.sum(cut).alias("docs_cut"))
 
 
 def quantiles(hist: DataFrame, at: list[float]) -> DataFrame:
-    """Exact lengths at the given shares: the least length that share of documents does not exceed."""
+    """length_histogram() -> q, n_tokens: exact lengths at the given shares from 0 to 1, the least length that
+    such a share of documents does not exceed. Repeated shares once; an empty histogram gives no rows."""
     rows = hist.select("n_tokens", "docs_le", "total_docs", F.explode(F.array(*[F.lit(float(q)) for q in at])).alias("q"))
     return rows.where(F.col("docs_le") >= F.ceil(F.col("q") * F.col("total_docs"))).groupBy("q").agg(F.min("n_tokens").alias("n_tokens"))
