@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import derive
+from lumenfold.operators import scan
 
 
 def evolve(segments: DataFrame) -> DataFrame:
@@ -65,14 +66,42 @@ TRANSITIONS = [
 COMMANDS = ("move", "use", "gather")
 
 
+STATES = ("idle", "walking", "using", "chatting", "gathered")
+
+
+def transition(state: Column, event: Column, free_will: Column) -> Column:
+    """What an event makes of a state. A command leads to walking from anywhere; deciding needs free will
+    (null: yes); events that a state doesn't know leave it."""
+    pairs = F.create_map(*[F.lit(x) for a, b, c in TRANSITIONS for x in (f"{a}/{b}", c)])
+    to = F.try_element_at(pairs, F.concat_ws("/", state, event))
+    held = (event == "decided") & ~F.coalesce(free_will, F.lit(True))
+    return F.when(event.isin(*COMMANDS), "walking").when(held, state).otherwise(F.coalesce(to, state))
+
+
 def next_state(rows: DataFrame) -> DataFrame:
     """O-66, O-77..O-79: rows(state, event, free_will) with next_state. A partner who is visited turns to
-    chatting too, unless in use of something. A command leads to
-    walking from anywhere; deciding needs free will (null: yes); other events are ignored."""
-    pairs = F.create_map(*[F.lit(x) for a, b, c in TRANSITIONS for x in (f"{a}/{b}", c)])
-    to = F.try_element_at(pairs, F.concat_ws("/", "state", "event"))
-    held = (F.col("event") == "decided") & ~F.coalesce("free_will", F.lit(True))
-    return rows.withColumn("next_state", F.when(F.col("event").isin(*COMMANDS), "walking").when(held, F.col("state")).otherwise(F.coalesce(to, "state")))
+    chatting too, unless in use of something."""
+    return rows.withColumn("next_state", transition(F.col("state"), F.col("event"), F.col("free_will")))
+
+
+def state_history(events: DataFrame, keys: list[str], order: list[str], start: str = "idle", block: str | None = None) -> DataFrame:
+    """O-66: events(keys, order, event, free_will) with state: the one that each event leaves, from start on.
+
+    An event is a function from states to states; functions of few states compose, so a history
+    of any length is a prefix scan (see scan.prefix_scan for order and block)."""
+    names = [f"_from_{s}" for s in STATES]
+
+    def compose(a: scan.Values, b: scan.Values) -> scan.Values:
+        def after(state: Column) -> Column:
+            out = F.when(state == STATES[0], b[names[0]])
+            for s, n in zip(STATES[1:], names[1:]):
+                out = out.when(state == s, b[n])
+            return out
+
+        return {n: after(a[n]) for n in names}
+
+    rows = events.withColumns({n: transition(F.lit(s), F.col("event"), F.col("free_will")) for s, n in zip(STATES, names)})
+    return scan.prefix_scan(rows, keys, order, names, compose, block).withColumn("state", F.col(f"_from_{start}")).drop(*names)
 
 
 def close_on_command(segments: DataFrame, commands: DataFrame) -> DataFrame:

@@ -817,3 +817,24 @@ def live_replies(spark, d):
     chats = e.select(F.col("user_id").alias("house"), n.alias("chat"), (n % 4).alias("id"), ((n + 1 + F.floor(n / 4) % 3) % 4).alias("other"), ms.alias("ts"), over.alias("over"))
     fired = live.available_now(timers.chat_timers(chats), "replies", timers.STORE)
     return fired.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+_HAPPENS = f"""(SELECT user_id, event_id, us, k % 7 <> 0 AS free_will, CASE event_type WHEN 'view' THEN 'decided' WHEN 'click' THEN CASE WHEN k % 2 = 0 THEN 'arrived_use' ELSE 'arrived_chat_free' END
+  WHEN 'purchase' THEN 'done' WHEN 'signup' THEN CASE WHEN k % 3 = 0 THEN 'gather' WHEN k % 3 = 1 THEN 'arrived_gather' ELSE 'visited' END ELSE CASE WHEN k % 2 = 0 THEN 'released' ELSE 'arrived' END END AS event,
+  row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS n FROM {_TIMED})"""
+
+
+@query(f"""WITH RECURSIVE e AS {_HAPPENS},
+w AS (SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, 'idle' AS state FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL SELECT e.user_id, e.n, e.event_id, CASE WHEN event = 'gather' THEN 'walking' WHEN event = 'decided' THEN CASE WHEN state = 'idle' AND free_will THEN 'walking' ELSE state END
+    WHEN state = 'walking' AND event = 'arrived' THEN 'idle' WHEN state = 'walking' AND event = 'arrived_use' THEN 'using' WHEN state = 'walking' AND event = 'arrived_chat_free' THEN 'chatting'
+    WHEN state = 'walking' AND event = 'arrived_gather' THEN 'gathered' WHEN state IN ('using', 'chatting') AND event = 'done' THEN 'idle' WHEN state = 'gathered' AND event = 'released' THEN 'idle'
+    WHEN state IN ('idle', 'walking', 'gathered') AND event = 'visited' THEN 'chatting' ELSE state END FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)
+SELECT user_id, event_id, state FROM w WHERE n > 0""")
+def state_histories(spark, d):
+    """O-66, O-77..O-79: the state after every event of a history, histories split by day."""
+    k, kind = F.col("k"), F.col("event_type")
+    event = F.when(kind == "view", "decided").when(kind == "click", F.when(k % 2 == 0, "arrived_use").otherwise("arrived_chat_free")).when(kind == "purchase", "done")
+    event = event.when(kind == "signup", F.when(k % 3 == 0, "gather").when(k % 3 == 1, "arrived_gather").otherwise("visited")).otherwise(F.when(k % 2 == 0, "released").otherwise("arrived"))
+    e = timed(spark, d).select("user_id", "event_id", "us", event.alias("event"), (k % 7 != 0).alias("free_will"), F.floor(F.col("us") / F.lit(86_400_000_000)).alias("day"))
+    return segments.state_history(e, ["user_id"], ["us", "event_id"], block="day").select("user_id", "event_id", "state")

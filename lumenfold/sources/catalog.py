@@ -42,6 +42,7 @@ SEATS = (0.0, 16.0, 3.0, 8)
 
 CAST_SCHEMA = "ordinal int, id string, latin string, mbti string, shirt int, hair int, skin int, traits struct<sociability:double,energy:double,playfulness:double,order:double>, favorites array<string>"
 OBJECT_SCHEMA = "ordinal int, id string, label string, stand_x double, stand_z double, face_x double, face_z double, need string, rate double, anim string, capacity int"
+PROFILE_SCHEMA = "id string, name string, emoji string"
 LINE_SCHEMA = "id string, category string, n int, text string"
 DYNAMIC_SCHEMA = "a string, b string, n int, first string, second string"
 SCENE_SCHEMA = "scene_id int, turn int, speaker_id string, text string"
@@ -82,11 +83,19 @@ def seats(spark: SparkSession) -> DataFrame:
 
 
 def read_dialogue(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """kind: lines, dynamics or scenes, one JSON object a row in path/kind.json. Malformed rows raise."""
-    schema = {"lines": LINE_SCHEMA, "dynamics": DYNAMIC_SCHEMA, "scenes": SCENE_SCHEMA}[kind]
+    """kind: profiles (names and signs of the cast), lines, dynamics or scenes, one JSON object a row in
+    path/kind.json. Malformed rows raise."""
+    schema = {"profiles": PROFILE_SCHEMA, "lines": LINE_SCHEMA, "dynamics": DYNAMIC_SCHEMA, "scenes": SCENE_SCHEMA}[kind]
     return spark.read.schema(schema).option("mode", "FAILFAST").json(f"{path}/{kind}.json")
 
 
+def whole_cast(spark: SparkSession, path: str) -> DataFrame:
+    """O-01: the cast with names, signs and lines from path; null, or no lines, where path has none."""
+    lines = line_pools(read_dialogue(spark, path, "lines"))
+    rows = by_id(by_id(cast(spark), read_dialogue(spark, path, "profiles"), ["id"]), lines, ["id"])
+    return rows.withColumn("lines", F.coalesce("lines", F.expr("cast(map() as map<string,array<string>>)")))
+
+
 def line_pools(lines: DataFrame) -> DataFrame:
     """lines -> id, lines map<category, texts in order>. A character has few lines."""
     pools = lines.groupBy("id", "category").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "text"))), lambda s: s["text"]).alias("texts"))

@@ -319,3 +319,30 @@ def test_release_frees_who_sits(spark):
     e = spark.createDataFrame([("a", "gathered"), ("b", "walking"), ("c", "using")], "id string, state string")
     got = toggles.release_seated(e, F.lit(0.5)).orderBy("id").collect()
     assert [(r.next_state, r.idle_s) for r in got] == [("idle", 1.25), ("walking", None), ("using", None)]
+
+
+@pytest.mark.parametrize("block", [None, "day"])
+def test_state_histories_against_stepping(spark, block):
+    r, rows, want = random.Random(12), [], {}
+    table = {(a, b): c for a, b, c in segments.TRANSITIONS}
+    events = sorted({b for _, b, _ in segments.TRANSITIONS}) + ["move", "unknown"]
+    for who, n in ((1, 700), (2, 3)):
+        state = "idle"
+        for k in range(n):
+            event, will = r.choice(events), r.choice([True, False, None])
+            rows.append((who, k, k // 50, event, will))
+            if event == "move":
+                state = "walking"
+            elif not (event == "decided" and will is False):
+                state = table.get((state, event), state)
+            want[who, k] = state
+    made = spark.createDataFrame(rows, "who int, k int, day int, event string, free_will boolean").repartition(3)
+    got = segments.state_history(made, ["who"], ["k"], block=block).collect()
+    assert {(x.who, x.k): x.state for x in got} == want and set(want.values()) == set(segments.STATES)
+
+
+def test_whole_cast(spark, tmp_path):
+    (tmp_path / "profiles.json").write_text('{"id":"badr","name":"B","emoji":"x"}\n')
+    (tmp_path / "lines.json").write_text('{"id":"badr","category":"idle","n":0,"text":"hm"}\n')
+    got = {r.id: (r.name, r.emoji, r.lines) for r in catalog.whole_cast(spark, str(tmp_path)).collect()}
+    assert len(got) == 8 and got["badr"] == ("B", "x", {"idle": ["hm"]}) and got["omar"] == (None, None, {})
