@@ -43,20 +43,20 @@ from lumenfold.llm.runs import runs
 
 BLOCK = 16
 #: Rows of a tile at most, and numbers in it; longer vectors make shorter tiles, of 512 rows at least.
-TILE, ENTRIES = 8192, 1 << 19
-#: Pairs of tiles that a task gets, about.
-PAIRS = 4
+TILE, ENTRIES = 32_768, 1 << 21
 #: Rows of one packed part of a tile.
 PART = 512
 #: Rows of each side that are compared at once.
 STEP = 1024
-#: Slack on squared distances of coordinates in single precision: for candidates, and for the
-#: test in which block a pair counts, which is the same numbers in every task.
-LOOSE, SLACK = 1e-5, 1e-6
+#: Turned coordinates are rounded to multiples of this, so that all tasks have the same numbers.
+GRAIN = 2.0**-20
+#: Slack on squared distances of such coordinates: for candidates, in single precision, and for
+#: the test in which block a pair counts.
+LOOSE, SLACK = 6e-5, 2e-5
 
 NAMED = "vec_id bigint, name binary, d int, raw binary"
-COORDINATES = "cid bigint, weight bigint, d int, block int, first float, raw binary, turned binary"
-PARTS = "d int, block int, part int, seq int, lo float, hi float, n bigint, cid binary, weight binary, raw binary, turned binary"
+COORDINATES = "cid bigint, weight bigint, d int, block int, first float, raw binary"
+PARTS = "d int, block int, part int, seq int, lo float, hi float, n bigint, cid binary, weight binary, raw binary"
 LINKS = "cid bigint, links bigint, least bigint"
 
 
@@ -88,10 +88,16 @@ def _named(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), pa.array(ds, pa.int32()), pa.array(raws, pa.binary())], names=["vec_id", "name", "d", "raw"])
 
 
-def _units(x: np.ndarray) -> np.ndarray:
-    scale = np.abs(x).max(axis=1, keepdims=True)  # so that no square overflows or vanishes
-    x = x / scale
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors with a greatest component of 1, so that no square overflows or vanishes."""
+    return x / np.abs(x).max(axis=1, keepdims=True)
+
+
+def turned(x: np.ndarray) -> np.ndarray:
+    """Unit vectors of x, turned; exact in single precision."""
+    x = scaled(x)
+    x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return (np.rint(x @ rotation(x.shape[1]) / GRAIN) * GRAIN).astype("<f4")
 
 
 def _turner(small: bool):
@@ -104,13 +110,12 @@ def _turner(small: bool):
                 at = np.flatnonzero(d == size)
                 part = batch.take(pa.array(at))
                 x = np.frombuffer(b"".join(part.column("raw").to_pylist()), "<f8").reshape(-1, size)
-                turned = (_units(x) @ rotation(size)).astype("<f4")
+                place = turned(x)
                 raw = pa.array([r.tobytes() for r in (x.astype("<f4") if small else x)], pa.binary())
-                packed = pa.array([r.tobytes() for r in turned], pa.binary())
                 for b, (start, _) in enumerate(blocks(size)):
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("cid"), part.column("weight"), part.column("d"), pa.array(np.full(len(at), b, np.int32)), pa.array(turned[:, start]), raw, packed],
-                        names=["cid", "weight", "d", "block", "first", "raw", "turned"],
+                        [part.column("cid"), part.column("weight"), part.column("d"), pa.array(np.full(len(at), b, np.int32)), pa.array(place[:, start]), raw],
+                        names=["cid", "weight", "d", "block", "first", "raw"],
                     )
 
     return run
@@ -123,8 +128,8 @@ def _packer(batches):
         first = run.column("first").to_numpy()
         join = lambda c: b"".join(run.column(c).to_pylist())
         one = [run.column("d")[0].as_py(), run.column("block")[0].as_py(), part, seq, first[0], first[-1], len(first)]
-        one += [run.column("cid").to_numpy().astype("<i8").tobytes(), run.column("weight").to_numpy().astype("<i8").tobytes(), join("raw"), join("turned")]
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float32(), pa.float32(), pa.int64(), *[pa.binary()] * 4]
+        one += [run.column("cid").to_numpy().astype("<i8").tobytes(), run.column("weight").to_numpy().astype("<i8").tobytes(), join("raw")]
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float32(), pa.float32(), pa.int64(), *[pa.binary()] * 3]
         yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(one, kinds)], names=[c.split()[0] for c in PARTS.split(", ")])
         seq += 1
 
@@ -137,9 +142,9 @@ class _Side:
         self.cid, self.weight = get("cid", "<i8"), get("weight", "<i8")
         n, raw = len(self.cid), b"".join(r["raw"] for r in rows)
         x = np.frombuffer(raw, "<f4" if len(raw) == 4 * n * d else "<f8").reshape(n, d).astype(np.float64)
-        self.x = x / np.abs(x).max(axis=1, keepdims=True)
+        self.x = scaled(x)
         self.norm = np.sqrt((self.x * self.x).sum(axis=1))
-        self.turned = get("turned", "<f4").reshape(n, d)
+        self.turned = turned(x)
         self.block = self.turned[:, start:end]
         self.half = 0.5 * (self.block.astype(np.float64) ** 2).sum(axis=1)
 
@@ -177,7 +182,7 @@ def _joiner(cosine: float):
             d, block, i_, j_ = (group.column(c)[0].as_py() for c in ("d", "block", "i", "j"))
             start, end = blocks(d)[block]
             side = np.array(group.column("side"))
-            rows = group.select(["cid", "weight", "raw", "turned"]).to_pylist()
+            rows = group.select(["cid", "weight", "raw"]).to_pylist()
             a = _Side([r for r, s in zip(rows, side) if s == 0], d, start, end)
             b = a if i_ == j_ else _Side([r for r, s in zip(rows, side) if s == 1], d, start, end)
             del rows
@@ -272,16 +277,16 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     classes = named.where("name is not null").groupBy("name").agg(F.count("*").alias("weight"), F.first("d").alias("d"), F.first("raw").alias("raw"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
-    turned = classes.select("cid", "weight", "d", "raw").mapInArrow(_turner(small), COORDINATES)
-    dealt = turned.repartitionByRange(parts_, "d", "block", "first", "cid").sortWithinPartitions("d", "block", "first", "cid")
+    placed = classes.select("cid", "weight", "d", "raw").mapInArrow(_turner(small), COORDINATES)
+    dealt = placed.repartitionByRange(parts_, "d", "block", "first", "cid").sortWithinPartitions("d", "block", "first", "cid")
     parts = materialize(dealt.mapInArrow(_packer, PARTS), "parts")
     tiles = materialize(tiles_of(parts), "tiles")
     pairs = materialize(tile_pairs(tiles, cosine), "tile_pairs")
     left = pairs.select("d", "block", "i", "j", F.col("i").alias("tile"), F.lit(0).alias("side"))
     right = pairs.where("i <> j").select("d", "block", "i", "j", F.col("j").alias("tile"), F.lit(1).alias("side"))
-    placed = tiles.select("d", "block", "part", "seq", "tile").join(left.union(right), ["d", "block", "tile"]).drop("tile")
-    work = parts.select("d", "block", "part", "seq", "cid", "weight", "raw", "turned").join(few(placed), ["d", "block", "part", "seq"])
-    work = work.select("d", "block", "i", "j", "side", "cid", "weight", "raw", "turned").repartition(max(1, pairs.count() // PAIRS), "d", "block", "i", "j").sortWithinPartitions("d", "block", "i", "j", "side")
+    meets = tiles.select("d", "block", "part", "seq", "tile").join(left.union(right), ["d", "block", "tile"]).drop("tile")
+    work = parts.select("d", "block", "part", "seq", "cid", "weight", "raw").join(few(meets), ["d", "block", "part", "seq"])
+    work = work.select("d", "block", "i", "j", "side", "cid", "weight", "raw").repartition(max(1, pairs.count()), "d", "block", "i", "j").sortWithinPartitions("d", "block", "i", "j", "side")
     links = materialize(work.mapInArrow(_joiner(cosine), LINKS), "links")
 
     comps = materialize(connected_components(links.select(F.col("cid").alias("a"), F.col("least").alias("b"))), "comps")

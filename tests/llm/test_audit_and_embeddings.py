@@ -45,12 +45,12 @@ def links_of(rows, cosine):
 
 
 @pytest.mark.parametrize("cosine", [0.95, 0.8])
-@pytest.mark.parametrize("tile, part, step", [(8192, 512, 1024), (40, 7, 16), (16, 3, 5)])
+@pytest.mark.parametrize("tile, part, step", [(32_768, 512, 1024), (40, 7, 16), (16, 3, 5)])
 def test_near_vectors(spark, embeddings, monkeypatch, cosine, tile, part, step):
     """Whole tiles, and many small ones that cut every crowd: what brute force says."""
     real = embedding_dedup.tiles_of
     monkeypatch.setattr(embedding_dedup, "TILE", tile)
-    if tile < 8192:
+    if tile < 32_768:
         monkeypatch.setattr(embedding_dedup, "tiles_of", lambda p: real(p).withColumn("tile", embedding_dedup.F.col("part") * 100 + embedding_dedup.F.floor(embedding_dedup.F.col("seq") * part / tile)))
     monkeypatch.setattr(embedding_dedup, "PART", part)
     monkeypatch.setattr(embedding_dedup, "STEP", step)
