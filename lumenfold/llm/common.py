@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def tidy(run):
+    """run(batches), after which the worker gives freed memory back: it is used again for tasks of later
+    stages, and what the allocator keeps of this one would add to theirs."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def give_back() -> None:
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim:
+        trim(0)
+
+
 def few(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """df to be broadcast if it has at most so many rows; else as it is, for a shuffle.
 

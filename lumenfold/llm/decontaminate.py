@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import materialize
+from lumenfold.llm.common import materialize, tidy
 
 WINDOW = 10
 #: Bytes of text a shard holds, unless one document is longer.
@@ -195,7 +195,7 @@ def _search(docs: DataFrame, items: list[tuple[str, bytes]], carry: list[str], w
                 cols = [batch.column(batch.schema.get_field_index(c)).slice(lo, hi - lo) for c in carry]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(n_words, pa.int64()), pa.array(matches, kind)], names=[*carry, "n_words", "matches"])
 
-    return docs.select(*carry, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*carry, F.col("text").alias("_text")).mapInArrow(tidy(run), schema)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, carry: list[str], window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

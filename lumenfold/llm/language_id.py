@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import few, materialize
+from lumenfold.llm.common import few, give_back, materialize
 
 #: Labelled rows of each language that the model is fitted on.
 SAMPLE_DOCS = 1000
@@ -193,6 +193,7 @@ def _by_broadcast(docs: DataFrame, counts: DataFrame) -> DataFrame:
     def predict(texts: pd.Series) -> pd.DataFrame:
         own = shared.value
         rows = [(*p, has_letter(t)) for part in _chunks(texts.tolist()) for t, p in zip(part, own.predict(part))]
+        give_back()
         return pd.DataFrame(rows, columns=["lang_pred", "score", "letters"])
 
     return docs.withColumn("p", predict("text"))

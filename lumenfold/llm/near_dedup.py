@@ -40,15 +40,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import discard, few, join_components, materialize
+from lumenfold.llm.common import discard, few, join_components, materialize, tidy
 
 VALUES = 96
 #: Values of a tree's rotation that are sorted by, the greatest depth.
 DEPTH = 16
 FIRST = 2
 REGION = 1024
-#: Shingles that count as one document more towards REGION.
-UNIT = 8192
+#: Shingles that count as one document more towards REGION: a task compares 4 million at most.
+UNIT = 4096
 #: Rows of one run that a task holds while it looks for its depth; a longer run is cut.
 HELD = 65_536
 #: Odds, as a share, of missing a pair at the threshold, in all trees; in the sifter.
@@ -326,16 +326,16 @@ def forest(reps: DataFrame, percent: int) -> DataFrame:
     leaf = F.expr(f"substring(concat(sig, sig), {4 * base} * t + 1, {4 * DEPTH})")
     rows = reps.select("g", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("t")).select("t", leaf.alias("prefix"), "g", "n")
     parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(parts, "t", "prefix", "g").sortWithinPartitions("t", "prefix", "g").mapInArrow(_neighbours(base), FOREST)
+    return rows.repartitionByRange(parts, "t", "prefix", "g").sortWithinPartitions("t", "prefix", "g").mapInArrow(tidy(_neighbours(base)), FOREST)
 
 
 def sign(docs: DataFrame, width: int) -> DataFrame:
     """docs(doc_id, row_hash, text) -> with n_shingles, name (128 bits of the shingle set) and signature."""
-    return docs.select("doc_id", "row_hash", "text").mapInArrow(_signer(width), SIGNED)
+    return docs.select("doc_id", "row_hash", "text").mapInArrow(tidy(_signer(width)), SIGNED)
 
 
 def _by_region(rows: DataFrame, run, schema: str) -> DataFrame:
-    return rows.repartition("region").sortWithinPartitions("region", "g").mapInArrow(run, schema)
+    return rows.repartition("region").sortWithinPartitions("region", "g").mapInArrow(tidy(run), schema)
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, row: Column | None = None) -> DataFrame:
@@ -360,7 +360,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, row: Col
     # full sets of the members alone, from their texts
     again = materialize(members.select("g").distinct().join(reps.select("g", "doc_id", "row_hash"), "g"), "again")
     texts = source.join(few(again), (source["row_hash"] == again["row_hash"]) & source["doc_id"].eqNullSafe(again["doc_id"])).select("g", "text")
-    sets = materialize(texts.dropDuplicates(["g"]).mapInArrow(_setter(width), "g bigint, shingles binary"), "sets")
+    sets = materialize(texts.dropDuplicates(["g"]).mapInArrow(tidy(_setter(width)), "g bigint, shingles binary"), "sets")
 
     # 1: whole regions of the first trees, deeper where crowded
     regions = members.where((F.col("t") < FIRST) & (F.col("whole") | (F.col("region") != F.col("key")))).select("region", "g")
