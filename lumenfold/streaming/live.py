@@ -41,13 +41,16 @@ def _pair(key, batches, state: GroupState):
     out = []
     for r in pd.concat(list(batches)).sort_values("seq", kind="stable").itertuples(index=False):
         out += [(key[0], *x) for x in pairing.step(partners, r)]
-    state.update((partners,))
+    if partners:
+        state.update((partners,))
+    elif state.exists:
+        state.remove()  # nothing is kept of a house in which nobody chats
     yield pd.DataFrame(out, columns=["house", "id", "partner", "event"])
 
 
 def chat_links(arrivals: DataFrame) -> DataFrame:
     """O-35, O-66 on a stream: arrivals(house, seq, kind, id, other, other_using) -> links
-    made and parted. State is one small map a house; houses run in parallel."""
+    made and parted. State is one small map a house with links; houses run in parallel."""
     return arrivals.groupBy("house").applyInPandasWithState(_pair, PAIRED, PAIRS, "append", GroupStateTimeout.NoTimeout)
 
 

@@ -131,6 +131,9 @@ def test_pairing_over_batches():
     state = State()
     (out,) = live._pair((1,), iter([late, early]), state)
     assert out["event"].tolist() == ["linked", "linked", "parted", "parted", "linked", "linked"] and state.value == ({"c": "b", "b": "c"},)
+    state.exists, state.get, state.remove = True, state.value, lambda: setattr(state, "value", None)
+    list(live._pair((1,), iter([pd.DataFrame([(1, 4, "leave", "c", None, False)], columns=cols)]), state))
+    assert state.value is None  # nothing is kept where nobody chats
 
 
 def test_running_sums(spark, tmp_path):
