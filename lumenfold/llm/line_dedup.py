@@ -18,8 +18,10 @@ standard deviations below the mean.
 
 Each line is first compared with one hub, the least line of its buckets. In a bucket that then
 still holds several components all lines outside its largest component meet all others, in
-blocks, inside a task; only pairs that pass the sieve leave it and are verified. So no link
-between members of a bucket is lost.
+blocks, inside a task; only pairs that pass the sieve leave it and are verified. In the first
+FORESTS rounds a task gives no more of them than would join its components, as most are links
+and leave little for the last round, which gives all. So no link between members of a bucket
+is lost.
 
 Lines are told apart by 128 bits. Candidates are known by 64 of them; where lines share those,
 all of them are fetched and compared.
@@ -49,6 +51,8 @@ SHORT = 24
 AGREE, FILLED = 30, 30
 #: Lines outside a bucket's largest component that one task holds; pairs that it compares at once.
 BLOCK, CELLS = 2048, 1 << 21
+#: Rounds in which pairs that would join components already joined are put off.
+FORESTS = 2
 #: Characters that are signed at once, unless one line is longer; names that a task knows as signed.
 CHARS, NAMES = 500_000, 200_000
 SIGN = ["low", "high", "b0", "b1", "b2", "b3", "places"]
@@ -207,18 +211,42 @@ def passes(one: list[np.ndarray], two: list[np.ndarray], percent: int) -> np.nda
     return may & ((np.minimum(filled[0][:, None], filled[1][None, :]) < FILLED) | (agree >= AGREE))
 
 
-def _comparer(percent: int):
-    """Tasks (key, part) sorted, the lines outside the largest component first -> pairs (a, b) that pass the sieve."""
+class _Joins:
+    """Components that pairs would join."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def _top(self, x: int) -> int:
+        while x in self.up:
+            x = self.up[x]
+        return x
+
+    def new(self, x: np.ndarray, y: np.ndarray) -> list[int]:
+        """The places of pairs that join two components which none before joined."""
+        _, first = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0, return_index=True)
+        out = []
+        for k in first.tolist():
+            a, b = self._top(int(x[k])), self._top(int(y[k]))
+            if a != b:
+                self.up[max(a, b)] = min(a, b)
+                out.append(k)
+        return out
+
+
+def _comparer(percent: int, forest: bool):
+    """Tasks (key, part) sorted, the lines outside the largest component first -> pairs (a, b) that pass the
+    sieve; with forest only those that join components of the task."""
 
     def run(batches):
-        last, held = None, None
+        last, held, joins = None, None, None
         for group in runs(batches, ["key", "part", "side"], CELLS // BLOCK):
             task = (group.column("key")[0].as_py(), group.column("part")[0].as_py())
             get = lambda c: np.asarray(group.column(c))
             rows = [get("line"), get("comp"), [get(c) for c in SIGN]]
             if group.column("side")[0].as_py() == 0:
                 if task != last:
-                    last, held = task, []
+                    last, held, joins = task, [], _Joins()
                 held.append(rows)
                 continue
             if task != last:
@@ -226,6 +254,9 @@ def _comparer(percent: int):
             for line, comp, sign in held:
                 i, j = np.nonzero(passes(sign, rows[2], percent) & (comp[:, None] != rows[1][None, :]))
                 if len(i):
+                    if forest:
+                        k = joins.new(comp[i], rows[1][j])
+                        i, j = i[k], j[k]
                     a, b = line[i], rows[0][j]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -262,8 +293,8 @@ def _largest(named: DataFrame) -> DataFrame:
     return size.select("key", F.col("m.comp").alias("main"), (F.col("all") - F.col("m.c")).alias("rest"))
 
 
-def _within_buckets(named: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of open buckets that pass the sieve, compared inside tasks: lines outside a bucket's largest
+def _within_buckets(named: DataFrame, signs: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Pairs (a, b) of open buckets that pass the sieve, with forest few of them, compared inside tasks: lines outside a bucket's largest
     component, BLOCK a task, against all of its lines, which stream by."""
     parts = _largest(named).select("key", "main", F.ceil(F.col("rest") / BLOCK).cast("int").alias("parts"))
     rows = named.join(parts, "key").join(signs.select("line", "sign.*"), "line")
@@ -271,7 +302,7 @@ def _within_buckets(named: DataFrame, signs: DataFrame, percent: int) -> DataFra
     every = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("side", F.lit(1))
     columns = ["key", "part", "side", "line", "comp", *SIGN]
     both = out.select(*columns).union(every.select(*columns))
-    return both.repartition("key", "part").sortWithinPartitions("key", "part", "side").mapInArrow(_comparer(percent), "a bigint, b bigint").distinct()
+    return both.repartition("key", "part").sortWithinPartitions("key", "part", "side").mapInArrow(_comparer(percent, forest), "a bigint, b bigint").distinct()
 
 
 def line_components(lines: DataFrame, percent: int = 80) -> DataFrame:
@@ -295,10 +326,19 @@ def line_components(lines: DataFrame, percent: int = 80) -> DataFrame:
 
     hubs = members.where("line <> hub").groupBy("line").agg(F.min("hub").alias("hub")).select(*_ordered("line", "hub")).distinct()
     found = linked(materialize(_alike(hubs, signs, percent), "close"), None)
-    named = materialize(_open_buckets(members.select("key", "line").join(few(texts.select("line", "id")), "line"), found), "open")
-    used.append(named)
-    if not named.isEmpty():
-        found = linked(materialize(_within_buckets(named, signs, percent), "close"), found)
+    members = members.select("key", "line").join(few(texts.select("line", "id")), "line")
+    tested = None
+    for turn in range(FORESTS + 1):
+        # what no round has left open stays closed
+        members = materialize(_open_buckets(members, found), "open")
+        used.append(members)
+        if members.isEmpty():
+            break
+        close = _within_buckets(members, signs, percent, turn < FORESTS)
+        close = materialize(close if tested is None else close.join(tested, ["a", "b"], "left_anti"), "close")
+        tested = close if tested is None else tested.union(close)
+        found = linked(close, found)
+        members = members.drop("comp")
     out = materialize(texts.select("line", "second", "id").join(found.select(F.col("node").alias("id"), "comp"), "id").select("line", "second", "comp"), "linked")
     for table in [*used, found]:
         discard(table)

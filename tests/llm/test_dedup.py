@@ -223,9 +223,10 @@ def test_components(spark):
     assert {got[i] for i in range(41)} == {0} and {got[i] for i in (100, 101, 102)} == {100}
 
 
-@pytest.mark.parametrize("block, cells", [(2048, 1 << 21), (4, 64), (3, 6)])
-def test_line_buckets_in_blocks(spark, monkeypatch, block, cells):
+@pytest.mark.parametrize("block, cells, forests", [(2048, 1 << 21, 2), (4, 64, 2), (3, 6, 0), (4, 8, 1)])
+def test_line_buckets_in_blocks(spark, monkeypatch, block, cells, forests):
     """Large groups whose members drift apart, whole and in small blocks: what brute force says."""
+    monkeypatch.setattr(line_dedup, "FORESTS", forests)
     monkeypatch.setattr(line_dedup, "BLOCK", block)
     monkeypatch.setattr(line_dedup, "CELLS", cells)
     r, texts = random.Random(8), []
