@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import fold_ascii, materialize
+from lumenfold.llm.common import fold_ascii, materialize, tidy
 
 RUNS = "doc_id bigint, part int, run bigint, head bigint, text_sha256 string"
 
@@ -31,7 +31,9 @@ def _mark_runs(batches):
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
         runs, heads, shas = [], [], []
-        for i, text in zip(ids.to_pylist(), texts.cast(pa.binary()).to_pylist()):
+        # one text at a time is held beside the batch
+        for i, text in zip(ids.to_pylist(), texts.cast(pa.binary())):
+            text = text.as_py()
             if text != last:  # full comparison with the neighbour
                 run, last, head, sha = run + 1, text, i, hashlib.sha256(text).hexdigest()
             runs.append(run)
@@ -58,7 +60,7 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", partitions: int | None =
     rows = rows.withColumns({"lead": F.substring("norm", 1, 32), "h": F.xxhash64("norm")})
     dealt = rows.repartitionByRange(n, F.col("lead"), F.col("h"), order)
     sorted_rows = dealt.sortWithinPartitions(F.col("lead"), F.col("h"), F.col("norm"), order)
-    marked = materialize(sorted_rows.select("doc_id", "norm").mapInArrow(_mark_runs, RUNS), "runs")
+    marked = materialize(sorted_rows.select("doc_id", "norm").mapInArrow(tidy(_mark_runs), RUNS), "runs")
 
     # one row a run: bounded by distinct texts; runs of one text in several partitions
     # have one digest and meet here as a few partial counts
