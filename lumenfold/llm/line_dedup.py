@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import discard, few, join_components, materialize
@@ -56,7 +56,10 @@ FORESTS = 2
 #: Characters that are signed at once, unless one line is longer; names that a task knows as signed.
 CHARS, NAMES = 500_000, 200_000
 SIGN = ["low", "high", "b0", "b1", "b2", "b3", "places"]
-KEYED = f"key bigint, line bigint, sign struct<{','.join(f'{c}:bigint' for c in SIGN)}>"
+SIGNED = f"line bigint, sign struct<{','.join(f'{c}:bigint' for c in SIGN)}>"
+PACKED, MEMBERS = "part bigint, keys binary, lines binary", "key bigint, line bigint, hub bigint"
+#: Ranges of keys for each shuffle partition; keys that a task holds before it gives them.
+RANGES, PACK = 16, 1 << 20
 PAD = "\0" * (WIDTH - 1)
 
 _RNG = np.random.default_rng(20240229)
@@ -146,45 +149,101 @@ def sign_of(values: np.ndarray, bins: np.ndarray, places: np.ndarray) -> list[np
     return [x.view(np.int64) for x in (*bits, *bins)] + [places.astype(np.int64)]
 
 
-def _signer(batches):
-    """line, second, norm -> KEYED: the band keys of each line, and one row with its sign. A line that comes
-    again may be signed again."""
-    seen: set[tuple[int, int]] = set()
-    kind = pa.struct([(c, pa.int64()) for c in SIGN])
+def _slices(names: list, lines: pa.Array):
+    """(names, lines) of some CHARS at a time, or of one longer line."""
+    some, texts, size = [], [], 0
+    for name, line in zip(names, lines):
+        some.append(name)
+        texts.append(line.as_py())
+        size += len(texts[-1])
+        if size > CHARS:
+            yield some, texts
+            some, texts, size = [], [], 0
+    if texts:
+        yield some, texts
+
+
+def _packed(keys: np.ndarray, lines: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """PACKED: the keys and lines of each range of keys, one row a range."""
+    order = np.argsort(keys)
+    keys, lines = keys[order], lines[order]
+    part = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    ends = pa.array(np.append(start, len(keys)) * 8, pa.int32()).buffers()[1]
+    column = lambda x: pa.Array.from_buffers(pa.binary(), len(start), [None, ends, pa.py_buffer(np.ascontiguousarray(x))])
+    return pa.RecordBatch.from_arrays([pa.array(part[start].astype(np.int64)), column(keys), column(lines)], names=["part", "keys", "lines"])
 
-    def signed(names: list[int], lines: list[str]):
-        h, owner = hashes(lines)
-        values, there, bins = minima(h, owner, len(lines))
-        places = np.bincount(owner, minlength=len(lines))
-        keys, at = keys_of(values, there, places <= SHORT)
-        name = np.array(names, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(name[at]), pa.nulls(len(keys), kind)], names=["key", "line", "sign"])
-        sign = pa.StructArray.from_arrays([pa.array(c) for c in sign_of(values, bins, places)], fields=list(kind))
-        own = (name.view(np.uint64) ^ _MIX[2]) * _MIX[3]
-        yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(name), sign], names=["key", "line", "sign"])
 
+def _packer(ranges: int):
+    """line, second, norm -> PACKED: the band keys of each line. A line that comes again may be signed again."""
+
+    def run(batches):
+        seen: set[tuple[int, int]] = set()
+        keys, lines, held = [], [], 0
+        for batch in batches:
+            names = list(zip(*(batch.column(c).to_pylist() for c in (0, 1))))
+            fresh = []
+            for k, name in enumerate(names):
+                if name not in seen:
+                    seen.add(name)
+                    fresh.append(k)
+            for some, texts in _slices([names[k][0] for k in fresh], batch.column(2).take(pa.array(fresh, pa.int64()))):
+                h, owner = hashes(texts)
+                values, there, _ = minima(h, owner, len(texts))
+                key, at = keys_of(values, there, np.bincount(owner, minlength=len(texts)) <= SHORT)
+                keys.append(key.view(np.uint64))
+                lines.append(np.array(some, np.int64)[at])
+                held += len(at)
+                if held > PACK:
+                    yield _packed(np.concatenate(keys), np.concatenate(lines), ranges)
+                    keys, lines, held = [], [], 0
+            if len(seen) > NAMES:
+                seen.clear()
+        if held:
+            yield _packed(np.concatenate(keys), np.concatenate(lines), ranges)
+
+    return run
+
+
+def _shared(batches):
+    """PACKED, sorted by part -> MEMBERS: the lines of each key that several lines have."""
+    for group in runs(batches, ["part"]):
+        unpack = lambda c, kind: np.frombuffer(b"".join(group.column(c).to_pylist()), kind)  # noqa: B023, E731
+        keys, lines = unpack("keys", np.uint64), unpack("lines", np.int64)
+        order = np.argsort(keys)
+        same = keys[order[1:]] == keys[order[:-1]]
+        order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+        keys, lines = keys[order], lines[order]
+        order = np.lexsort((lines, keys))
+        keys, lines = keys[order], lines[order]
+        once = np.ones(len(keys), bool)
+        once[1:] = (keys[1:] != keys[:-1]) | (lines[1:] != lines[:-1])
+        keys, lines = keys[once], lines[once]
+        start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        size = np.diff(np.append(start, len(keys)))
+        hub, several = np.repeat(lines[start], size), np.repeat(size > 1, size)
+        if several.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (keys.view(np.int64), lines, hub)], names=["key", "line", "hub"])
+
+
+def _signer(batches):
+    """line, norm -> line, sign."""
+    kind = pa.struct([(c, pa.int64()) for c in SIGN])
     for batch in batches:
-        names, lines, size = [], [], 0
-        for row in zip(*(batch.column(c).to_pylist() for c in (0, 1)), batch.column(2)):
-            if row[:2] in seen:
-                continue
-            seen.add(row[:2])
-            names.append(row[0])
-            lines.append(row[2].as_py())
-            size += len(lines[-1])
-            if size > CHARS:
-                yield from signed(names, lines)
-                names, lines, size = [], [], 0
-        if lines:
-            yield from signed(names, lines)
-        if len(seen) > NAMES:
-            seen.clear()
+        for names, texts in _slices(batch.column(0).to_pylist(), batch.column(1)):
+            h, owner = hashes(texts)
+            values, _, bins = minima(h, owner, len(texts))
+            sign = pa.StructArray.from_arrays([pa.array(c) for c in sign_of(values, bins, np.bincount(owner, minlength=len(texts)))], fields=list(kind))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), sign], names=["line", "sign"])
 
 
-def band_keys(lines: DataFrame) -> DataFrame:
-    """lines(line, second, norm), repeats and all -> KEYED: (key, line, sign); sign is null but in one row a
-    line, with a key of its own, which has two bits of each value and filled. No shuffle here."""
-    return lines.select("line", "second", "norm").mapInArrow(_signer, KEYED)
+def shared_keys(lines: DataFrame) -> DataFrame:
+    """lines(line, second, norm), repeats and all -> MEMBERS: (key, line, hub) of the band keys that several lines
+    have; hub is the least of them. Keys are shuffled as arrays, one row for each task and range of
+    keys: a row a key costs half as much again on disk and most of the sorting. A task puts one range in order at a time."""
+    ranges = RANGES * int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = lines.select("line", "second", "norm").mapInArrow(_packer(ranges), PACKED)
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(_shared, MEMBERS)
 
 
 def _alike(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
@@ -307,15 +366,12 @@ def _within_buckets(named: DataFrame, signs: DataFrame, percent: int, forest: bo
 
 def line_components(lines: DataFrame, percent: int = 80) -> DataFrame:
     """lines(line, second, norm), repeats and all -> (line, second, comp) of the lines that have links."""
-    bucket = Window.partitionBy("key")
-    keys = band_keys(lines)
-    keys = keys.withColumns({"hub": F.min("line").over(bucket), "_last": F.max("line").over(bucket)})
-    every = materialize(keys.where("hub <> _last or sign is not null").drop("_last"), "members")
-    signs, members = every.where("sign is not null").select("line", "sign").distinct(), every.where("sign is null").drop("sign").distinct()
+    every = materialize(shared_keys(lines), "members")
+    members = every.drop("hub")
     some = materialize(members.select("line").distinct(), "some")
     texts = lines.join(few(some), "line", "left_semi").groupBy("line", "second").agg(F.first("norm").alias("norm"))
     texts = materialize(texts.withColumn("id", F.monotonically_increasing_id()), "texts")
-    signs = materialize(signs.join(few(some), "line", "left_semi"), "signs")
+    signs = materialize(texts.select("line", "norm").mapInArrow(_signer, SIGNED), "signs")
     used = [every, some, texts, signs]
 
     def linked(close: DataFrame, found: DataFrame | None) -> DataFrame:
@@ -324,9 +380,9 @@ def line_components(lines: DataFrame, percent: int = 80) -> DataFrame:
         used.extend([close, links, out])
         return out
 
-    hubs = members.where("line <> hub").groupBy("line").agg(F.min("hub").alias("hub")).select(*_ordered("line", "hub")).distinct()
+    hubs = every.where("line <> hub").groupBy("line").agg(F.min("hub").alias("hub")).select(*_ordered("line", "hub")).distinct()
     found = linked(materialize(_alike(hubs, signs, percent), "close"), None)
-    members = members.select("key", "line").join(few(texts.select("line", "id")), "line")
+    members = members.join(few(texts.select("line", "id")), "line")
     tested = None
     for turn in range(FORESTS + 1):
         # what no round has left open stays closed

@@ -193,6 +193,30 @@ def test_lines_signed_in_slices(spark, docs, monkeypatch, chars, names):
     assert sorted(map(repr, map(tuple, line_dedup.dedup_lines(docs.repartition(5)).collect()))) == want
 
 
+@pytest.mark.parametrize("pack, ranges", [(1 << 20, 16), (500, 1), (0, 40)])
+def test_band_keys_packed(spark, monkeypatch, pack, ranges):
+    """Keys cross the shuffle as arrays, a row for each range and not for each key, and none that lines share is lost."""
+    monkeypatch.setattr(line_dedup, "PACK", pack)
+    monkeypatch.setattr(line_dedup, "RANGES", ranges)
+    monkeypatch.setattr(line_dedup, "CHARS", 2000)
+    words = "river stone cloud amber field night glass paper green wheel".split()
+    texts = [" ".join(words[(i * 7 + k * (1 + i % 3)) % 10] for k in range(12)) + (f" {i}" if i % 4 else "") for i in range(150)] + ["ab", "x"]
+    lines = [(k * 1000 - 70_000, k, t) for k, t in enumerate(texts)]
+    h, owner = line_dedup.hashes(texts)
+    values, there, _ = line_dedup.minima(h, owner, len(texts))
+    keys, at = line_dedup.keys_of(values, there, np.bincount(owner) <= line_dedup.SHORT)
+    found = {}
+    for key, k in zip(keys.tolist(), at.tolist()):
+        found.setdefault(key, set()).add(lines[k][0])
+    want = {(key, line, min(x)) for key, x in found.items() if len(x) > 1 for line in x}
+    df = spark.createDataFrame(lines + lines, "line bigint, second bigint, norm string").repartition(3)
+    got = [tuple(r) for r in line_dedup.shared_keys(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    if pack > len(keys):
+        packed = df.mapInArrow(line_dedup._packer(ranges * 4), line_dedup.PACKED).agg(F.count("*"), F.sum(F.length("keys"))).first()
+        assert packed[0] <= 3 * ranges * 4 < packed[1] // 8
+
+
 def test_rewrite_of_null_and_repeated_ids(spark, empty):
     """Each row keeps its own kept lines, whatever its doc_id; blank lines stay."""
     rows = [(None, "only here\nshared line of all\n"), (1, "shared line of all\nmine and mine alone"), (1, "another row of one\nmine and mine alone"), (2, "shared line of all"), (3, None), (4, "")]
