@@ -51,6 +51,8 @@ SHORT = 24
 AGREE, FILLED = 30, 30
 #: Lines outside a bucket's largest component that one task holds; pairs that it compares at once.
 BLOCK, CELLS = 2048, 1 << 21
+#: Tasks of at most so many pairs are compared together, as many as a batch has.
+FEW = 4096
 #: Rounds in which pairs that would join components already joined are put off.
 FORESTS = 2
 #: Characters that are signed at once, unless one line is longer; names that a task knows as signed.
@@ -261,13 +263,16 @@ def _alike(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
 
 def passes(one: list[np.ndarray], two: list[np.ndarray], percent: int) -> np.ndarray:
     """The sieve of columns SIGN against others, as a table."""
-    bits = lambda c: (np.bitwise_count(a.view(np.uint64)[:, None] ^ b.view(np.uint64)[None, :]) for a, b in zip(one[c], two[c]))
-    apart = sum(x.astype(np.int64) for x in bits(slice(2, 2 + GROUPS)))
-    filled = [sum(np.bitwise_count(x.view(np.uint64)).astype(np.int64) for x in side[2 : 2 + GROUPS]) for side in (one, two)]
-    unlike = (one[0][:, None] ^ two[0][None, :]) | (one[1][:, None] ^ two[1][None, :])
-    agree = VALUES - np.bitwise_count(unlike.view(np.uint64)).astype(np.int64)
-    may = apart * (100 + percent) <= (one[-1][:, None] + two[-1][None, :]) * (100 - percent)
-    return may & ((np.minimum(filled[0][:, None], filled[1][None, :]) < FILLED) | (agree >= AGREE))
+    return _sieve([c[:, None] for c in one], [c[None, :] for c in two], percent)
+
+
+def _sieve(one: list[np.ndarray], two: list[np.ndarray], percent: int) -> np.ndarray:
+    count = lambda x: np.bitwise_count(x.view(np.uint64)).astype(np.int64)
+    apart = sum(count(a ^ b) for a, b in zip(one[2 : 2 + GROUPS], two[2 : 2 + GROUPS]))
+    filled = [sum(map(count, side[2 : 2 + GROUPS])) for side in (one, two)]
+    agree = VALUES - count((one[0] ^ two[0]) | (one[1] ^ two[1]))
+    may = apart * (100 + percent) <= (one[-1] + two[-1]) * (100 - percent)
+    return may & ((np.minimum(*filled) < FILLED) | (agree >= AGREE))
 
 
 class _Joins:
@@ -297,9 +302,51 @@ def _comparer(percent: int, forest: bool):
     """Tasks (key, part) sorted, the lines outside the largest component first -> pairs (a, b) that pass the
     sieve; with forest only those that join components of the task."""
 
+    def together(batch: pa.RecordBatch, first: np.ndarray, outer: np.ndarray, every: np.ndarray):
+        """The pairs of small tasks, whole in the batch: each begins at first with outer lines outside, then every line."""
+        get = lambda c: np.asarray(batch.column(batch.schema.get_field_index(c)))
+        line, comp, sign = get("line"), get("comp"), [get(c) for c in SIGN]
+        pairs = outer * every
+        task = np.repeat(np.arange(len(first)), pairs)
+        at = np.arange(len(task)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+        i, j = first[task] + at // every[task], first[task] + outer[task] + at % every[task]
+        some = comp[i] != comp[j]
+        i, j, task = i[some], j[some], task[some]
+        some = _sieve([c[i] for c in sign], [c[j] for c in sign], percent)
+        i, j, task = i[some], j[some], task[some]
+        if forest and len(i):
+            # components of each task by themselves
+            _, own = np.unique(np.stack([np.tile(task, 2), np.concatenate([comp[i], comp[j]])]), axis=1, return_inverse=True)
+            own = own.reshape(-1)
+            k = _Joins().new(own[: len(i)], own[len(i) :])
+            i, j = i[k], j[k]
+        a, b = line[i], line[j]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def rest(batches, done: list):
+        """What is left of batches without the small tasks, whose pairs go to done."""
+        for batch in batches:
+            get = lambda c: np.asarray(batch.column(batch.schema.get_field_index(c)))  # noqa: B023, E731
+            key, part = get("key"), get("part")
+            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])])) if len(key) else np.zeros(0, np.int64)
+            if len(first) < 3:
+                yield batch
+                continue
+            size = np.diff(np.append(first, len(key)))
+            every = np.add.reduceat(get("side").astype(np.int64), first)
+            outer = size - every
+            # the first and the last may go on in other batches
+            small = outer * every <= FEW
+            small[[0, -1]] = False
+            if small.any():
+                done.append(together(batch, first[small], outer[small], every[small]))
+            yield batch.filter(pa.array(np.repeat(~small, size)))
+
     def run(batches):
-        last, held, joins = None, None, None
-        for group in runs(batches, ["key", "part", "side"], CELLS // BLOCK):
+        last, held, joins, done = None, None, None, []
+        for group in runs(rest(batches, done), ["key", "part", "side"], CELLS // BLOCK):
+            while done:
+                yield done.pop()
             task = (group.column("key")[0].as_py(), group.column("part")[0].as_py())
             get = lambda c: np.asarray(group.column(c))
             rows = [get("line"), get("comp"), [get(c) for c in SIGN]]
@@ -318,6 +365,8 @@ def _comparer(percent: int, forest: bool):
                         i, j = i[k], j[k]
                     a, b = line[i], rows[0][j]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        while done:
+            yield done.pop()
 
     return run
 

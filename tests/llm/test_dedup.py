@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,6 +218,30 @@ def test_band_keys_packed(spark, monkeypatch, pack, ranges):
         assert packed[0] <= 3 * ranges * 4 < packed[1] // 8
 
 
+@pytest.mark.parametrize("forest", [False, True])
+@pytest.mark.parametrize("step", [10_000, 77, 5])
+def test_small_buckets_compared_together(monkeypatch, forest, step):
+    """However batches cut them, small tasks compared together give what each gives by itself, in few turns of the sieve."""
+    r, rows, turns = np.random.default_rng(5), [], []
+    for key, n in enumerate([*r.integers(2, 9, 400), 150, 3, 2, 90, 2, 2]):
+        comp, line, sign = r.integers(0, 6, n), r.choice(10**6, n, replace=False), np.tile(r.integers(-(2**63), 2**63, 7), (n, 1))
+        sign[:, -1] = r.integers(60, 80, n)
+        flip = r.random(n) < 0.5
+        sign[flip, :6] ^= r.integers(-(2**63), 2**63, (flip.sum(), 6))
+        sides = [(0, x) for x in range(n) if comp[x] != comp[0]]
+        rows += [(key, 0, side, int(line[x]), int(comp[x]), *map(int, sign[x])) for side, x in (sides and sides + [(1, x) for x in range(n)])]
+    kinds = [pa.int64(), pa.int32(), pa.int32()] + [pa.int64()] * 9
+    batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["key", "part", "side", "line", "comp", *line_dedup.SIGN])
+    run = lambda: [p for b in line_dedup._comparer(80, forest)(batch.slice(k, step) for k in range(0, len(batch), step)) for p in zip(b["a"].to_pylist(), b["b"].to_pylist())]
+    real = line_dedup._sieve
+    monkeypatch.setattr(line_dedup, "_sieve", lambda *x: turns.append(1) or real(*x))
+    got, few = run(), len(turns)
+    monkeypatch.setattr(line_dedup, "FEW", -1)
+    want = run()
+    assert len(got) == len(want) > 300 and (forest or set(got) == set(want))
+    assert step < 10_000 or few * 20 < len(turns) - few
+
+
 def test_rewrite_of_null_and_repeated_ids(spark, empty):
     """Each row keeps its own kept lines, whatever its doc_id; blank lines stay."""
     rows = [(None, "only here\nshared line of all\n"), (1, "shared line of all\nmine and mine alone"), (1, "another row of one\nmine and mine alone"), (2, "shared line of all"), (3, None), (4, "")]
