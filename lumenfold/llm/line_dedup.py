@@ -87,8 +87,8 @@ def shingles(norm: str) -> str:
     """SQL of the distinct hashes of all shingles; a line shorter than WIDTH is one shingle.
 
     Four bytes a character make a shingle's place in the line known without a walk to it."""
-    return f"""transform(array(encode({norm}, 'UTF-32')), b -> array_distinct(transform(
-        sequence(0, greatest(length({norm}) - {WIDTH}, 0)), i -> xxhash64(substring(b, 4 * i + 1, {4 * WIDTH})))))[0]"""
+    return f"""array_distinct(transform(array(encode({norm}, 'UTF-32')), b -> transform(
+        sequence(1, greatest(length(b) - {4 * WIDTH - 1}, 1), 4), i -> xxhash64(substring(b, i, {4 * WIDTH}))))[0])"""
 
 
 def hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -375,13 +375,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of ids that are similar on their full sets of shingles; pairs has lines."""
     left = texts.select(F.col("line").alias("a"), F.col("id").alias("ia"), F.col("norm").alias("ta"))
     right = texts.select(F.col("line").alias("b"), F.col("id").alias("ib"), F.col("norm").alias("tb"))
-    # lambdas name the sets and the count: plain columns would be made again at every use
-    alike = F.expr(
-        f"""transform(array(named_struct('x', {shingles("ta")}, 'y', {shingles("tb")})),
-            p -> transform(array(size(array_intersect(p.x, p.y))),
-                n -> n * 100 >= (size(p.x) + size(p.y) - n) * {percent})[0])[0]"""
-    )
-    return pairs.join(left, "a").join(right, "b").where(alike).select(F.col("ia").alias("a"), F.col("ib").alias("b"))
+    near = pairs.join(left, "a").join(right, "b").select("ia", "ib", F.expr(f"struct({shingles('ta')} as x, {shingles('tb')} as y)").alias("s"))
+    # a generator between: else plans make the sets again at every use, and inside a lambda sets are met uncompiled
+    near = near.select("ia", "ib", F.explode(F.array("s")).alias("s")).select("ia", "ib", F.expr("struct(size(s.x) as x, size(s.y) as y, size(array_intersect(s.x, s.y)) as n)").alias("s"))
+    near = near.select("ia", "ib", F.explode(F.array("s")).alias("s"))
+    return near.where(F.expr(f"s.n * 100 >= (s.x + s.y - s.n) * {percent}")).select(F.col("ia").alias("a"), F.col("ib").alias("b"))
 
 
 def _ordered(line: str, other: str) -> list[Column]:

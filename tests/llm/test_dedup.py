@@ -252,6 +252,26 @@ def test_rewrite_of_null_and_repeated_ids(spark, empty):
     assert line_dedup.rewrite(empty, line_dedup.dedup_lines(empty)).count() == 0
 
 
+def test_line_sets_met_in_compiled_code(spark):
+    """Pairs are confirmed as brute force says, and no plan meets or sorts out their sets inside a lambda, which Spark doesn't compile."""
+    base = prose(31, 12)
+    norms = [base, edited(base, 3), edited(edited(base, 3), 9), base[:20], "abcd", "abc", "\U0001f600" + base, "aaaaaaa", "aaaaaaaaaa"]
+    sets = [{t[i : i + 5] for i in range(len(t) - 4)} or {t} for t in norms]
+    texts = spark.createDataFrame([(k, k + 100, t) for k, t in enumerate(norms)], "line bigint, id bigint, norm string")
+    pairs = spark.createDataFrame([(a, b) for b in range(len(norms)) for a in range(b)], "a bigint, b bigint")
+    got = line_dedup._verified(pairs, texts, 80)
+    assert sorted(map(tuple, got.collect())) == [(a + 100, b + 100) for a in range(len(norms)) for b in range(a + 1, len(norms)) if brute.similar(sets[a], sets[b])]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    lambdas = [plan[k:] for k in range(len(plan)) if plan.startswith("lambdafunction(", k)]
+    for x in lambdas:
+        depth, end = 1, len("lambdafunction(")
+        while depth:
+            depth += {"(": 1, ")": -1}.get(x[end], 0)
+            end += 1
+        assert "array_intersect" not in x[:end] and "array_distinct" not in x[:end]
+    assert "array_intersect" in plan
+
+
 def test_line_names_of_128_bits(spark, docs, monkeypatch):
     """Lines that share 64 bits of their name are lines of their own."""
     real = line_dedup.lines_of
